@@ -6,13 +6,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillscan.llm import language, pieces, quality, simhash, tokencount
+from quillscan.llm import language, neighbours, pieces, quality, simhash, tokencount
 from quillscan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
