@@ -82,3 +82,12 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
             held.append(b)
     if held:
         yield pd.concat(held, ignore_index=True)
+
+
+def sliced(batches: Iterator[pd.DataFrame], text: str, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """The batches in slices of about so many characters of text, so that what a worker makes of them stays small."""
+    for b in batches:
+        part = b[text].str.len().fillna(0).cumsum().to_numpy() // chars
+        for at in np.split(np.arange(len(b)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+            if len(at):
+                yield b.iloc[at[0] : at[-1] + 1].reset_index(drop=True)

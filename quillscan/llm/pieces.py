@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillscan.llm.common import sliced
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -397,10 +399,12 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 1 << 15) -> D
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = load(model)
-        for b in batches:
-            ids = [m.encode(t, 2 * chunk_chars) for t in b["text"]]
-            good = [m.decode(x) == t.replace(SPACE, " ") for x, t in zip(ids, b["text"], strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(x) for x in ids], "ids": [np.array(x, np.int32) for x in ids], "round_trip": good})
+        for b in sliced(batches, "text"):
+            out = []
+            for i, t in zip(b["doc_id"], b["text"], strict=True):
+                ids = m.encode(t, 2 * chunk_chars)
+                out.append((i, len(ids), np.array(ids, np.int32), m.decode(ids) == t.replace(SPACE, " ")))
+            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "round_trip"])
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = load(model)
@@ -412,7 +416,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 1 << 15) -> D
 
     def transfers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = load(model)
-        for b in batches:
+        for b in sliced(batches, "body"):
             yield pd.DataFrame({"key": b["key"], "k": b["k"], "m": [pickle.dumps(m.transfer(c.l, c.body, c.r, c.k == 0, c.k == c.n - 1)) for c in b.itertuples()]})
 
     def scanned(b: pd.DataFrame) -> pd.DataFrame:
@@ -422,7 +426,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 1 << 15) -> D
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = load(model)
-        for b in batches:
+        for b in sliced(batches, "body"):
             out = []
             for c in b.itertuples():
                 tokens = m.backtrace(c.l, c.body, c.r, *pickle.loads(c.way))
@@ -431,7 +435,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 1 << 15) -> D
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = load(model)
-        for b in batches:
+        for b in sliced(batches, "text"):
             good = [m.decode(x) == t.replace(SPACE, " ") for x, t in zip(b["ids"], b["text"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(x) for x in b["ids"]], "ids": b["ids"], "round_trip": good, "copies": b["copies"]})
 
