@@ -38,7 +38,7 @@ SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _LOADED: dict[str, Model] = {}
 #: Remembered words and neighbour tests of one process; beyond it they are forgotten and found again.
-REMEMBER = 300_000
+REMEMBER = 200_000
 State = tuple[int, int]  # code points a piece reaches beyond the boundary; the piece (0: any)
 Matrix = dict[State, dict[State, float]]
 
@@ -74,8 +74,15 @@ class Model:
         self.raw[self.unknown] = " ⁇ ".encode()
         self.pairs: dict[int, bool] = {}
         self.spines: dict[State, list[tuple[str, float, float]]] = {}
-        self.lookup = {p: self.ids.get(p, 0) for p in self.begins}
+        self.trie: dict = {}  # character -> [piece or 0, the same for what follows]
+        for p, k in self.ids.items():
+            node = self.trie
+            for c in p:
+                entry = node.setdefault(c, [0, {}])
+                node = entry[1]
+            entry[0] = k
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def follows(self, a: int, b: int) -> bool:
         """Whether piece b may stand after piece a (pieces below 0 are characters without one; 0 is a text's start)."""
@@ -84,7 +91,7 @@ class Model:
         key = a << 32 | b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= REMEMBER:
+            if len(self.pairs) >= 3 * REMEMBER:
                 self.pairs.clear()
             found = self.pairs[key] = self._allowed(a, b)
         return found
@@ -194,35 +201,50 @@ class Model:
         """The pieces between two places where all paths meet."""
         got = self.words.get(w)
         if got is None:
-            got = tuple(self._bpe_word(w) if self.bpe else self.trace(self.paths(w, [(0, 0, 0.0)], len(w)), len(w)))
+            got = self.older.get(w)
+            if got is None:
+                got = tuple(self._bpe_word(w) if self.bpe else self.trace(self.paths(w, [(0, 0, 0.0)], len(w)), len(w)))
             if len(w) <= 64:
                 if len(self.words) >= REMEMBER:
-                    self.words.clear()
+                    self.older, self.words = self.words, {}
                 self.words[w] = got
         return got
 
     def _bpe_word(self, w: str) -> list[int]:
-        """`paths` and `trace` for a BPE model, where each place has one allowed path."""
-        n, lookup, pairs, longest = len(w), self.lookup, self.pairs, self.longest
-        piece: list[int | None] = [None] * (n + 1)
-        start, piece[0] = [0] * (n + 1), 0
-        for i in range(n):
-            last = piece[i]
-            if last is None:
-                continue
-            for j in range(i + 1, min(i + longest, n) + 1):
-                k = lookup.get(w[i:j])
-                if k is None:
+        """`paths` and `trace` for a BPE model: as only one path is allowed, it is followed depth first, the longest piece
+        first, and a piece's end from which the word's end can't be reached isn't tried again."""
+        n, trie, pairs = len(w), self.trie, self.pairs
+        out: list[int] = []
+        ends, open_, dead = [0], [], set()
+        last = at = 0
+        while at < n:
+            if len(open_) < len(ends):  # a new place: the pieces that start here
+                found, node, j = [], trie, at
+                for c in w[at : at + self.longest]:
+                    entry = node.get(c)
+                    if entry is None:
+                        break
+                    j += 1
+                    k, node = entry
+                    if k:
+                        found.append((j, k))
+                if not found or found[0][0] != at + 1:
+                    found.insert(0, (at + 1, -ord(w[at]) - 1))
+                open_.append(found)
+            found = open_[-1]
+            while found:
+                step = found.pop()
+                k = step[1]
+                if (last <= 0 or k <= 0 or (ok := pairs.get(last << 32 | k)) or (ok is None and self.follows(last, k))) and step not in dead:
+                    at, last = step
+                    out.append(k)
+                    ends.append(at)
                     break
-                if k and piece[j] is None and (last <= 0 or (ok := pairs.get(last << 32 | k)) or (ok is None and self.follows(last, k))):
-                    piece[j], start[j] = k, i
-            if piece[i + 1] is None and not lookup.get(w[i]):
-                piece[i + 1], start[i + 1] = -ord(w[i]) - 1, i
-        out = []
-        while n:
-            out.append(piece[n])
-            n = start[n]
-        return out[::-1]
+            else:
+                open_.pop()
+                dead.add((ends.pop(), out.pop()))
+                at, last = ends[-1], out[-1] if out else 0
+        return out
 
     def normalised(self, text: str) -> str:
         return self.prefix + text.replace(" ", SPACE) if text else ""
