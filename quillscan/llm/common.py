@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -91,3 +92,14 @@ def sliced(batches: Iterator[pd.DataFrame], text: str, chars: int = 2_000_000) -
         for at in np.split(np.arange(len(b)), np.flatnonzero(part[1:] != part[:-1]) + 1):
             if len(at):
                 yield b.iloc[at[0] : at[-1] + 1].reset_index(drop=True)
+
+
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the value: found by a coarse list of bounds and then within its part."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    longs = lambda b: F.transform(F.split(F.lit(",".join(map(str, b))), ","), lambda x: x.cast("long")) if b else F.array().cast("array<long>")
+    low = lambda array: F.size(F.filter(array, lambda x: x <= value))
+    coarse = low(longs(bounds[step - 1 :: step]))
+    return coarse * step + low(F.slice(longs(bounds), coarse * step + 1, F.lit(step)))

@@ -18,12 +18,10 @@ Repeated rows follow one another; null ids come last. Extra columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillscan.llm.common import shuffle_partitions
+from quillscan.llm.common import range_of, shuffle_partitions
 
 CELLS = 18  # bits
 SUBSETS = 32
@@ -93,23 +91,13 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(*[of(k) for k in range(len(LEVELS))]))
 
 
-def _bucket(doc_id: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most the id: found by a coarse list of bounds and then within its part."""
-    if not bounds:
-        return F.lit(0)
-    step = math.isqrt(len(bounds)) + 1
-    low = lambda array: F.size(F.filter(array, lambda x: x <= doc_id))
-    coarse = low(F.array(*[F.lit(b).cast("long") for b in bounds[step - 1 :: step]]))
-    return coarse * step + low(F.slice(F.array(*[F.lit(b).cast("long") for b in bounds]), coarse * step + 1, F.lit(step)))
-
-
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Every row of docs(doc_id, text, ...) with next_<column>: that of the next document by descending id, after the
     last one the first. The texts are shuffled once, into id ranges cut at quantiles of all ids; the first row
     of each range also goes to the range before it."""
     n = 4 * shuffle_partitions(docs.sparkSession)
     found = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(20 * n))).first()[0] or []
-    rows = docs.withColumn("__b", _bucket(F.col("doc_id"), sorted(set(found)))).withColumn("__o", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1))).withColumn("__h", F.xxhash64("text"))
+    rows = docs.withColumn("__b", range_of(F.col("doc_id"), sorted(set(found)))).withColumn("__o", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1))).withColumn("__h", F.xxhash64("text"))
     heads = rows.groupBy("__b").agg(F.min(F.struct("__o", "__h")).alias("head"))  # a row for each range
     before = heads.select("head", F.coalesce(F.lag("__b").over(Window.orderBy(F.desc("__b"))), F.min("__b").over(Window.partitionBy())).alias("__to"))
     first = before.select(F.col("head.__o").alias("__o"), F.col("head.__h").alias("__h"), "__to")

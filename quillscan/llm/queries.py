@@ -8,12 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscan.llm import imatch, language, neighbours, pieces, quality, secrets, simhash, tokencount
+from quillscan.llm import imatch, language, mixing, neighbours, pieces, quality, secrets, simhash, tokencount
 from quillscan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weigh(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -47,4 +51,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {k: f for k, f in list(globals().items()) if k.startswith("op") and callable(f)}
-ORACLE: dict[str, str] = {"op2_secret_scan": secrets.oracle_sql()}
+ORACLE: dict[str, str] = {"op1_mixing": mixing.oracle_sql(), "op2_secret_scan": secrets.oracle_sql()}
