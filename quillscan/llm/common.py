@@ -99,7 +99,7 @@ def range_of(value: Column, bounds: list[int]) -> Column:
     if not bounds:
         return F.lit(0)
     step = math.isqrt(len(bounds)) + 1
-    longs = lambda b: F.transform(F.split(F.lit(",".join(map(str, b))), ","), lambda x: x.cast("long")) if b else F.array().cast("array<long>")
+    longs = lambda b: F.split(F.lit(",".join(map(str, b))), ",").cast("array<long>") if b else F.array().cast("array<long>")
     low = lambda array: F.size(F.filter(array, lambda x: x <= value))
     coarse = low(longs(bounds[step - 1 :: step]))
     return coarse * step + low(F.slice(longs(bounds), coarse * step + 1, F.lit(step)))

@@ -54,7 +54,7 @@ def lexicon(docs: DataFrame, low: int = 2, high: float = 0.02) -> list[int]:
 
 def _hashes(text: Column, band: list[int], few: int) -> Column:
     """One hash for each subset of each level, over the text's sorted terms in it."""
-    bits = F.transform(F.split(F.lit(",".join(map(str, band))), ","), lambda x: x.cast("long"))
+    bits = F.split(F.lit(",".join(map(str, band))), ",").cast("array<long>")
 
     def inside(h: Column) -> Column:
         cell = _cell(h)

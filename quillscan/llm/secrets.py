@@ -109,7 +109,7 @@ def _matches(text: Column, pattern: str, ordinal: int, group: int, least: int) -
 def _ratio(token: Column, table: list[int]) -> Column:
     """Whether a token's transitions are at least LEAST each on average more likely under the random model."""
     size = len(ALPHABET) + 1
-    ratios = F.transform(F.split(F.lit(",".join(map(str, table))), ","), lambda x: x.cast("int"))
+    ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
     at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
     total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0), lambda a, i: a + F.get(ratios, at(i) * size + at(i + 1)))
     return total >= LEAST * (F.length(token) - 1)
