@@ -25,6 +25,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _LOADED: dict[str, Model] = {}
 #: Remembered words and neighbour tests of one process; beyond it they are forgotten and found again.
-REMEMBER = 200_000
+REMEMBER = 300_000
 State = tuple[int, int]  # code points a piece reaches beyond the boundary; the piece (0: any)
 Matrix = dict[State, dict[State, float]]
 
@@ -91,7 +92,7 @@ class Model:
         key = a << 32 | b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= 3 * REMEMBER:
+            if len(self.pairs) >= 2 * REMEMBER:
                 self.pairs.clear()
             found = self.pairs[key] = self._allowed(a, b)
         return found
@@ -198,18 +199,25 @@ class Model:
         return out[::-1]
 
     def word(self, w: str) -> tuple[int, ...]:
-        """The pieces between two places where all paths meet."""
+        """The ids of what stands between two places where all paths meet."""
         got = self.words.get(w)
         if got is None:
             got = self.older.get(w)
             if got is None:
-                got = tuple(self._bpe_word(w) if self.bpe else self.trace(self.paths(w, [(0, 0, 0.0)], len(w)), len(w)))
+                got = tuple(self.spelled(self._bpe_word(w) if self.bpe else self.trace(self.paths(w, [(0, 0, 0.0)], len(w)), len(w))))
             if len(w) <= 64:
                 if len(self.words) >= REMEMBER:
                     self.older, self.words = self.words, {}
                 self.words[w] = got
         return got
 
+    def all_words(self, ws: list[str]) -> list[int]:
+        """The ids of many words in turn."""
+        got = list(map(self.words.get, ws))
+        if None in got:
+            got = [self.word(w) if x is None else x for w, x in zip(ws, got, strict=True)]
+        return list(chain.from_iterable(got))
+
     def _bpe_word(self, w: str) -> list[int]:
         """`paths` and `trace` for a BPE model: as only one path is allowed, it is followed depth first, the longest piece
         first, and a piece's end from which the word's end can't be reached isn't tried again."""
@@ -314,7 +322,7 @@ class Model:
     def _tail(self, s: str, meet: int, end: int) -> dict[State, float]:
         """`_all_exits` from a place where all paths meet, by way of the last such place."""
         words = _WORD.findall(s[meet:end])
-        inner = 0.0 if self.bpe else sum(self.score.get(t, self.unknown_score) for w in words[:-1] for t in self.word(w))
+        inner = 0.0 if self.bpe else sum(self.paths(w, [(0, 0, 0.0)], len(w))[len(w)][0] for w in words[:-1])
         return {k: inner + w for k, w in self._all_exits(s, end - len(words[-1]), 0, end).items()}
 
     def _all_exits(self, s: str, start: int, piece: int, end: int) -> dict[State, float]:
@@ -333,18 +341,16 @@ class Model:
         return out
 
     def backtrace(self, left: str, body: str, right: str, way: State, out: State) -> list[int]:
-        """The pieces that start in the chunk, on the best path from the entry state to the exit state."""
+        """The ids of the pieces that start in the chunk, on the best path from the entry state to the exit state."""
         s, b = left + body + right, len(left)
         end, meet, start, goal = b + len(body), b + self._head(body), b + way[0], b + len(body) + out[0]
         if start >= end:
             return []
         if start > meet or meet == end:
-            return self._to(s, start, way[1], end, goal, out[1])
-        tokens = self.trace(self.paths(s, [(start, way[1], 0.0)], meet), meet)
+            return self.spelled(self._to(s, start, way[1], end, goal, out[1]))
+        head = self.trace(self.paths(s, [(start, way[1], 0.0)], meet), meet)
         words = _WORD.findall(s[meet:end])
-        for w in words[:-1]:
-            tokens += self.word(w)
-        return tokens + self._to(s, end - len(words[-1]), 0, end, goal, out[1])
+        return self.spelled(head) + self.all_words(words[:-1]) + self.spelled(self._to(s, end - len(words[-1]), 0, end, goal, out[1]))
 
     def _to(self, s: str, start: int, last: int, end: int, goal: int, piece: int) -> list[int]:
         best = self.paths(s, [(start, last, 0.0)], end)
@@ -352,21 +358,17 @@ class Model:
             return self.trace(best, goal)
         return [*self.trace(best, goal - (len(self.text[piece]) if piece > 0 else 1)), piece]
 
-    def encode(self, text: str, chunk_chars: int = 1 << 15) -> list[int]:
+    def encode(self, text: str, chunk_chars: int = 1 << 16) -> list[int]:
         """One whole text in one process: chunks, transfer matrices, scan, backtrace."""
         chunks = cut(self.normalised(text), chunk_chars, self.longest)
         if not chunks:
             return []
         n = len(chunks)
         if n == 1:
-            body, tokens = chunks[0][1], []
-            if not self.meet:
-                return self.spelled(self.trace(self.paths(body, [(0, 0, 0.0)], len(body)), len(body)))
-            for w in _WORD.findall(body):
-                tokens += self.word(w)
-            return self.spelled(tokens)
+            body = chunks[0][1]
+            return self.all_words(_WORD.findall(body)) if self.meet else self.spelled(self.trace(self.paths(body, [(0, 0, 0.0)], len(body)), len(body)))
         plan = scan([self.transfer(*c, k == 0, k == n - 1) for k, c in enumerate(chunks)])
-        return self.spelled([t for c, (way, out) in zip(chunks, plan, strict=True) for t in self.backtrace(*c, way, out)])
+        return [t for c, (way, out) in zip(chunks, plan, strict=True) for t in self.backtrace(*c, way, out)]
 
 
 def cut(s: str, size: int, longest: int) -> list[tuple[str, str, str]]:
@@ -410,7 +412,7 @@ def load(path: str) -> Model:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 1 << 15) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 1 << 16) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (decoding the ids gives the normalised text back) for every row of docs.
 
     A document of one chunk is encoded where it is read. The chunks of the others are spread over the cluster; between
@@ -452,7 +454,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 1 << 15) -> D
             out = []
             for c in b.itertuples():
                 tokens = m.backtrace(c.l, c.body, c.r, *pickle.loads(c.way))
-                out.append((c.key, c.k, np.array(m.spelled(tokens), np.int32)))
+                out.append((c.key, c.k, np.array(tokens, np.int32)))
             yield pd.DataFrame(out, columns=["key", "k", "ids"])
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
