@@ -75,13 +75,15 @@ class Model:
         self.raw[self.unknown] = " ⁇ ".encode()
         self.pairs: dict[int, bool] = {}
         self.spines: dict[State, list[tuple[str, float, float]]] = {}
-        self.trie: dict = {}  # character -> [piece or 0, the same for what follows]
-        for p, k in self.ids.items():
+        # A node maps a character to the node of what follows, and "" to the (length, piece) of all pieces that begin a
+        # text which begins like this, the longest first.
+        self.trie: dict = {"": ()}
+        for p in sorted(self.begins, key=len):
             node = self.trie
-            for c in p:
-                entry = node.setdefault(c, [0, {}])
-                node = entry[1]
-            entry[0] = k
+            for c in p[:-1]:
+                node = node[c]
+            own = ((len(p), self.ids[p]),) if p in self.ids else ((1, -ord(p) - 1),) if len(p) == 1 else ()
+            node[p[-1]] = {"": own + node[""]}
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -221,37 +223,36 @@ class Model:
     def _bpe_word(self, w: str) -> list[int]:
         """`paths` and `trace` for a BPE model: as only one path is allowed, it is followed depth first, the longest piece
         first, and a piece's end from which the word's end can't be reached isn't tried again."""
-        n, trie, pairs = len(w), self.trie, self.pairs
+        n, trie, longest, pairs = len(w), self.trie, self.longest, self.pairs
         out: list[int] = []
-        ends, open_, dead = [0], [], set()
-        last = at = 0
+        tried: list[tuple] = []  # (place, piece before it, pieces there, which was taken) of each step
+        dead: set[tuple[int, int]] = set()
+        at = last = 0
         while at < n:
-            if len(open_) < len(ends):  # a new place: the pieces that start here
-                found, node, j = [], trie, at
-                for c in w[at : at + self.longest]:
-                    entry = node.get(c)
-                    if entry is None:
-                        break
-                    j += 1
-                    k, node = entry
-                    if k:
-                        found.append((j, k))
-                if not found or found[0][0] != at + 1:
-                    found.insert(0, (at + 1, -ord(w[at]) - 1))
-                open_.append(found)
-            found = open_[-1]
-            while found:
-                step = found.pop()
-                k = step[1]
-                if (last <= 0 or k <= 0 or (ok := pairs.get(last << 32 | k)) or (ok is None and self.follows(last, k))) and step not in dead:
-                    at, last = step
-                    out.append(k)
-                    ends.append(at)
+            node = trie
+            for c in w[at : at + longest]:
+                if (nxt := node.get(c)) is None:
                     break
-            else:
-                open_.pop()
-                dead.add((ends.pop(), out.pop()))
-                at, last = ends[-1], out[-1] if out else 0
+                node = nxt
+            found, k = node[""] or ((1, -ord(w[at]) - 1),), 0
+            while True:
+                size = len(found)
+                while k < size:
+                    length, piece = found[k]
+                    if (last <= 0 or piece <= 0 or (ok := pairs.get(last << 32 | piece)) or (ok is None and self.follows(last, piece))) and (not dead or (at + length, piece) not in dead):
+                        break
+                    k += 1
+                else:
+                    dead.add((at, last))
+                    out.pop()
+                    at, last, found, k = tried.pop()
+                    k += 1
+                    continue
+                break
+            tried.append((at, last, found, k))
+            out.append(piece)
+            at += length
+            last = piece
         return out
 
     def normalised(self, text: str) -> str:
