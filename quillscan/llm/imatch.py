@@ -91,9 +91,9 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(*[of(k) for k in range(len(LEVELS))]))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Every row of docs(doc_id, text, ...) with next_<column>: that of the next document by descending id, after the
-    last one the first. The texts are shuffled once, into id ranges cut at quantiles of all ids; the first row
+def with_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Every row of docs(doc_id, text) with the given columns, and as next_<column> those of the next document by
+    descending id, after the last one the first. The texts are shuffled once, into id ranges cut at quantiles of all ids; the first row
     of each range also goes to the range before it."""
     n = 4 * shuffle_partitions(docs.sparkSession)
     found = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(20 * n))).first()[0] or []
@@ -103,7 +103,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     first = before.select(F.col("head.__o").alias("__o"), F.col("head.__h").alias("__h"), "__to")
     ghosts = rows.drop("__b").join(F.broadcast(first), ["__o", "__h"]).withColumnRenamed("__to", "__b").dropDuplicates(["__b"]).withColumn("__ghost", F.lit(1))
     order = Window.partitionBy("__b").orderBy("__ghost", "__o", "__h")
-    both = rows.withColumn("__ghost", F.lit(0)).unionByName(ghosts)
+    both = rows.withColumn("__ghost", F.lit(0)).unionByName(ghosts).withColumns(columns)
     out = both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("__ghost = 0")
     return out.drop("__b", "__o", "__h", "__ghost")
 
@@ -112,7 +112,7 @@ def fingerprints(docs: DataFrame, low: int = 2, high: float = 0.02, few: int = 8
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     band = lexicon(rows, low, high)
-    rows = with_next(rows.withColumn("own", _hashes(F.col("text"), band, few)), ["text", "own"])
+    rows = with_next(rows, {"text": F.col("text"), "own": _hashes(F.col("text"), band, few)})
     size = F.length("text")
     part = F.floor(size / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), size - part), F.substring(F.col("next_text"), F.lit(1), part))
