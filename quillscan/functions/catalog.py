@@ -75,7 +75,7 @@ def to_python(pattern: str) -> str:
     """A pattern of a Unicode-aware linear-time dialect for Python's re."""
     pattern = re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern)
     pattern = pattern.replace(r"\p{Cyrillic}", _CYRILLIC).replace(r"\p{Greek}", _GREEK)
-    return re.sub(r"(?<!\\)\$(?=$|\))", r"\\Z", pattern).replace("[[", r"[\[")
+    return re.sub(r"(?<!\\)\$(?=$|\))", r"\\Z", pattern)
 
 
 def to_java(pattern: str) -> str:
