@@ -430,7 +430,7 @@ ORACLE: dict[str, str] = {
     "q_bin_entries": f"WITH {_M}, {_BINS} {_BIN_ROWS}",
     "q_dependencies": f"WITH {_M}, {_DEPS} SELECT path, ordinal, name FROM deps",
     "q_look_alikes": f"WITH {_look_alike_cte(_rows('dep', DEPENDENCIES))} SELECT dep, popular, distance FROM likes",
-    "q_confusions": f"WITH {_M}, {_DEPS}, {_POPULAR}, {_CONFUSED} SELECT path, scoped, name, "both" FROM confused",
+    "q_confusions": f"WITH {_M}, {_DEPS}, {_POPULAR}, {_CONFUSED} SELECT path, scoped, name, \"both\" FROM confused",
     "q_new_findings": "WITH e AS (SELECT DISTINCT user_id AS subject, ts::DATE AS day, event_type AS key FROM events), d AS (SELECT subject, day, lag(day) OVER (PARTITION BY subject ORDER BY day) AS prior FROM (SELECT DISTINCT subject, day FROM e)) "
     "SELECT e.subject, strftime(e.day, '%Y-%m-%d') AS day, e.key FROM e JOIN d USING (subject, day) WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.subject = e.subject AND o.day = d.prior AND o.key = e.key)",
     "q_version_changes": f"SELECT name, version, previous, poll FROM (SELECT *, lag(version) OVER (PARTITION BY name ORDER BY poll) AS previous FROM (SELECT name, version, poll::BIGINT AS poll FROM {_rows('name, version, poll', POLLS)})) WHERE previous IS NULL OR previous <> version",
