@@ -32,7 +32,7 @@ _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 def grams(text: str | None, bits: int) -> np.ndarray | None:
     """The counts of a whole text's hashed n-grams, or None when it has no letter."""
     words = _OTHER.sub(" ", (text or "").lower())
-    if not words.strip():
+    if not any(map(str.isalpha, words)):
         return None
     c = np.frombuffer(f" {words.strip()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     shift = np.uint32(32 - bits)
