@@ -24,8 +24,8 @@ from __future__ import annotations
 
 import pickle
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -73,6 +73,9 @@ class Model:
         for b, k in self.bytes.items():
             self.raw[k] = bytes([b])
         self.raw[self.unknown] = " ⁇ ".encode()
+        self.sizes = np.array([len(r) for r in self.raw], np.int64)
+        self.starts = self.sizes.cumsum() - self.sizes
+        self.joined = np.frombuffer(b"".join(self.raw), np.uint8)
         self.pairs: dict[int, bool] = {}
         self.spines: dict[State, list[tuple[str, float, float]]] = {}
         # A node maps a character to the node of what follows, and "" to the (length, piece) of all pieces that begin a
@@ -84,8 +87,8 @@ class Model:
                 node = node[c]
             own = ((len(p), self.ids[p]),) if p in self.ids else ((1, -ord(p) - 1),) if len(p) == 1 else ()
             node[p[-1]] = {"": own + node[""]}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def follows(self, a: int, b: int) -> bool:
         """Whether piece b may stand after piece a (pieces below 0 are characters without one; 0 is a text's start)."""
@@ -200,25 +203,25 @@ class Model:
             end = start
         return out[::-1]
 
-    def word(self, w: str) -> tuple[int, ...]:
-        """The ids of what stands between two places where all paths meet."""
+    def word(self, w: str) -> bytes:
+        """The ids, as 32-bit numbers, of what stands between two places where all paths meet."""
         got = self.words.get(w)
         if got is None:
             got = self.older.get(w)
             if got is None:
-                got = tuple(self.spelled(self._bpe_word(w) if self.bpe else self.trace(self.paths(w, [(0, 0, 0.0)], len(w)), len(w))))
+                got = self.spelled(self._bpe_word(w) if self.bpe else self.trace(self.paths(w, [(0, 0, 0.0)], len(w)), len(w)))
             if len(w) <= 64:
                 if len(self.words) >= REMEMBER:
                     self.older, self.words = self.words, {}
                 self.words[w] = got
         return got
 
-    def all_words(self, ws: list[str]) -> list[int]:
+    def all_words(self, ws: list[str]) -> bytes:
         """The ids of many words in turn."""
         got = list(map(self.words.get, ws))
         if None in got:
             got = [self.word(w) if x is None else x for w, x in zip(ws, got, strict=True)]
-        return list(chain.from_iterable(got))
+        return b"".join(got)
 
     def _bpe_word(self, w: str) -> list[int]:
         """`paths` and `trace` for a BPE model: as only one path is allowed, it is followed depth first, the longest piece
@@ -258,10 +261,10 @@ class Model:
     def normalised(self, text: str) -> str:
         return self.prefix + text.replace(" ", SPACE) if text else ""
 
-    def spelled(self, tokens: list[int]) -> list[int]:
-        """Piece ids, characters without a piece as bytes."""
+    def spelled(self, tokens: list[int]) -> bytes:
+        """Piece ids as 32-bit numbers, characters without a piece as bytes' pieces."""
         if min(tokens, default=1) > 0:
-            return tokens
+            return array("i", tokens).tobytes()
         out: list[int] = []
         for t in tokens:
             if t > 0:
@@ -269,10 +272,14 @@ class Model:
             else:
                 known = [self.bytes.get(b) for b in chr(-t - 1).encode("utf-8", "surrogatepass")]
                 out += known if None not in known else [self.unknown]
-        return out
+        return array("i", out).tobytes()
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int32)
+        size = self.sizes[ids]
+        ends = size.cumsum()
+        total = int(ends[-1]) if len(ends) else 0
+        text = self.joined[np.repeat(self.starts[ids] - ends + size, size) + np.arange(total)].tobytes().decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
     # A chunk is (left, body, right): up to longest - 1 code points of what stands around the body.
@@ -341,12 +348,12 @@ class Model:
                         out[key] = max(out.get(key, -np.inf), w + e)
         return out
 
-    def backtrace(self, left: str, body: str, right: str, way: State, out: State) -> list[int]:
+    def backtrace(self, left: str, body: str, right: str, way: State, out: State) -> bytes:
         """The ids of the pieces that start in the chunk, on the best path from the entry state to the exit state."""
         s, b = left + body + right, len(left)
         end, meet, start, goal = b + len(body), b + self._head(body), b + way[0], b + len(body) + out[0]
         if start >= end:
-            return []
+            return b""
         if start > meet or meet == end:
             return self.spelled(self._to(s, start, way[1], end, goal, out[1]))
         head = self.trace(self.paths(s, [(start, way[1], 0.0)], meet), meet)
@@ -362,14 +369,18 @@ class Model:
     def encode(self, text: str, chunk_chars: int = 1 << 16) -> list[int]:
         """One whole text in one process: chunks, transfer matrices, scan, backtrace."""
         chunks = cut(self.normalised(text), chunk_chars, self.longest)
-        if not chunks:
-            return []
         n = len(chunks)
-        if n == 1:
+        if not n:
+            ids = b""
+        elif n > 1:
+            plan = scan([self.transfer(*c, k == 0, k == n - 1) for k, c in enumerate(chunks)])
+            ids = b"".join(self.backtrace(*c, way, out) for c, (way, out) in zip(chunks, plan, strict=True))
+        elif self.meet:
+            ids = self.all_words(_WORD.findall(chunks[0][1]))
+        else:
             body = chunks[0][1]
-            return self.all_words(_WORD.findall(body)) if self.meet else self.spelled(self.trace(self.paths(body, [(0, 0, 0.0)], len(body)), len(body)))
-        plan = scan([self.transfer(*c, k == 0, k == n - 1) for k, c in enumerate(chunks)])
-        return [t for c, (way, out) in zip(chunks, plan, strict=True) for t in self.backtrace(*c, way, out)]
+            ids = self.spelled(self.trace(self.paths(body, [(0, 0, 0.0)], len(body)), len(body)))
+        return np.frombuffer(ids, np.int32)
 
 
 def cut(s: str, size: int, longest: int) -> list[tuple[str, str, str]]:
@@ -428,7 +439,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 1 << 16) -> D
             out = []
             for i, t in zip(b["doc_id"], b["text"], strict=True):
                 ids = m.encode(t, 2 * chunk_chars)
-                out.append((i, len(ids), np.array(ids, np.int32), m.decode(ids) == t.replace(SPACE, " ")))
+                out.append((i, len(ids), ids, m.decode(ids) == t.replace(SPACE, " ")))
             yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "round_trip"])
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -455,7 +466,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 1 << 16) -> D
             out = []
             for c in b.itertuples():
                 tokens = m.backtrace(c.l, c.body, c.r, *pickle.loads(c.way))
-                out.append((c.key, c.k, np.array(tokens, np.int32)))
+                out.append((c.key, c.k, np.frombuffer(tokens, np.int32)))
             yield pd.DataFrame(out, columns=["key", "k", "ids"])
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
