@@ -132,7 +132,8 @@ def train(docs: DataFrame, teaching, max_train_rows: int = 700, bits: int = 15)
                     out.append((i, lang, at.astype(np.int32).tobytes(), (v / max(np.sqrt(v @ v), 1e-12)).astype(np.float32).tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "lang", "at", "v"])
 
-    sample = rows.where(unit_hash(F.col("doc_id"), F.lit(3)) < share[F.col("lang")]).mapInPandas(sparse, "doc_id long, lang string, at binary, v binary").collect()
+    sample = rows.where(unit_hash(F.col("doc_id"), F.lit(3)) < share[F.col("lang")]).mapInPandas(sparse, "doc_id long, lang string, at binary, v binary")
+    sample = sample.groupBy("doc_id", "lang").agg(F.min(F.struct("at", "v")).alias("x")).select("doc_id", "lang", "x.*").collect()  # a repeated id teaches once
     sample.sort(key=lambda r: (-1 if r["doc_id"] is None else r["doc_id"], r["lang"], bytes(r["at"])))
     labels = sorted({r["lang"] for r in sample})
     if not labels:

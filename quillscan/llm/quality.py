@@ -7,7 +7,7 @@ row's id. Everything else covers all rows.
 
 Defined results: a null text counts as empty and gets a score like any other text. Labels with a null id or a null
 quality are not used; an id labelled several times counts with the mean of its labels, rounded half up; repeated
-documents count once each. Without any usable label all scores are 0.5; with labels of one class only, that class.
+ids of documents teach once. Without any usable label all scores are 0.5; with labels of one class only, that class.
 Extra columns of the input are ignored by `score` and kept by `keep_good`.
 """
 
@@ -186,8 +186,8 @@ def labelled_sample(labels: DataFrame, max_train_rows: int = 12_000, folds: int
 
 def train(stats: DataFrame, sample: DataFrame) -> Forest:
     """The forest from the statistics of the sampled ids; the sample is bounded, so it may be broadcast."""
-    rows = stats.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "stats").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["stats"]))
+    rows = stats.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("stats").alias("stats")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     if not rows:
         return Forest()
     return grow(np.array([r["stats"] for r in rows]), np.array([float(r["quality"] > 0) for r in rows]))

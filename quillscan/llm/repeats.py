@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillscan.llm.common import group_starts, materialize, range_of, shuffle_partitions, unit_hash, whole_groups
+from quillscan.llm.common import group_starts, materialize, range_of, shuffle_partitions, whole_groups
 
 GRAM = 32
 PIECE = 1_000_000  # bytes hashed at a time
@@ -216,9 +216,10 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     ranges = max(total // (85 * rows_per_range) + 1, shuffle_partitions(docs.sparkSession))
-    # Sampled splitters: the keys of about 64 segments for each range, from texts drawn by a hash.
+    # Sampled splitters: the keys of about 64 segments for each range, from rows drawn at random (the result doesn't
+    # depend on them, only the balance does).
     share = min(1.0, 64 * 85 * ranges / max(total, 1))
-    sample = sorted(r["key"] for r in _segments(rows.where(unit_hash(F.col("th")) < share), width).where(F.col("kind") != COVERED).select("key").collect())
+    sample = sorted(r["key"] for r in _segments(rows.where(F.rand(20) < share), width).where(F.col("kind") != COVERED).select("key").collect())
     cuts = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if len(sample) >= ranges else []
     several = np.array(sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b}), np.int64)
     bounds = sorted(set(cuts))
