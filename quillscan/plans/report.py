@@ -19,6 +19,7 @@ WORDS = {
     "CRITICAL": "BLOCK — likely malicious, do not use",
 }
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note"}
+_FIELDS = ("rule_id", "rule_name", "description", "severity", "file", "line", "column", "snippet", "tags", "deobfuscated")
 _SHORT = {"critical": "[CRIT]", "high": "[HIGH]", "medium": "[MED]", "low": "[LOW]"}
 
 
@@ -35,6 +36,11 @@ class Outcome:
     categories: Sequence[dict] = field(default=())
 
 
+def finding_lines(findings: DataFrame) -> DataFrame:
+    """value: the JSON object of each finding, for a distributed text or Kafka sink when there are too many to collect."""
+    return findings.select(F.to_json(F.struct(*_FIELDS)).alias("value"))
+
+
 def outcome(subject: str, findings: DataFrame, scored: DataFrame) -> Outcome:
     """Collects one subject's result; scored holds one row, or none when there are no findings."""
     rows = [r.asDict(recursive=True) for r in findings.collect()]
@@ -80,9 +86,6 @@ def text_report(o: Outcome, js_files: int = 0, manifest_files: int = 0, n_bytes:
     return "\n".join(out)
 
 
-_FIELDS = ("rule_id", "rule_name", "description", "severity", "file", "line", "column", "snippet", "tags", "deobfuscated")
-
-
 def json_report(o: Outcome) -> str:
     body = {"score": o.score, "risk_level": o.level.lower(), "verdict": o.verdict, "tags": list(o.tags), "categories": [dict(c) for c in o.categories], "findings": [{k: f[k] for k in _FIELDS} for f in o.findings]}
     return json.dumps(body, indent=2, ensure_ascii=False, sort_keys=True)

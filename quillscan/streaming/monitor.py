@@ -69,6 +69,20 @@ def to_download(latest: DataFrame, known: DataFrame | None) -> DataFrame:
     return latest if known is None else latest.join(known.select("name", "version"), ["name", "version"], "left_anti")
 
 
+def poll(manifests: DataFrame, documents: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """One registry poll: (packages to download and scan, the versions known from now on).
+
+    The dependencies of manifests(path, content), each name once, meet the registry's documents(name, json). A version
+    is known from the poll that saw it, whether or not its archive can be fetched later; the first poll (known is None) takes
+    every package. Known versions of names that this poll doesn't mention stay."""
+    wanted = manifest.merged(manifest.dependencies(manifests)).select("name")
+    latest = files.registry_versions(documents.join(wanted, "name", "left_semi"))
+    now = latest.select("name", "version")
+    if known is not None:
+        now = now.unionByName(known.select("name", "version").join(now, "name", "left_anti"))
+    return to_download(latest, known), now
+
+
 def manifests_below(found: DataFrame) -> DataFrame:
     """The manifests of sources.files outside the directories the monitor prunes."""
     return found.where((F.col("kind") == "manifest") & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, files.IGNORED_BY_MONITOR))))

@@ -196,6 +196,17 @@ def test_registry_and_chats(spark):
     assert sorted(map(tuple, files.chats(spark.createDataFrame([(updates,)], "json string")).collect())) == [(1, "T"), (2, "u"), (3, "(chat)")]
 
 
+def test_registry_polls(spark):
+    manifests = spark.createDataFrame([("package.json", '{"dependencies": {"a": "1", "b": "*"}, "devDependencies": {"a": "2"}, "peerDependencies": {"p": "1"}}')], "path string, content string")
+    document = lambda name, v: (name, json.dumps({"dist-tags": {"latest": v}, "versions": {v: {"dist": {"tarball": f"{name}-{v}"}}}}))
+    table = lambda *rows: spark.createDataFrame(list(rows), "name string, json string")
+    fetch, known = monitor.poll(manifests, table(document("a", "1"), document("b", "1"), document("p", "1"), document("z", "1")), None)
+    assert {r["tarball"] for r in fetch.collect()} == {"a-1", "b-1"}
+    fetch, known = monitor.poll(manifests, table(document("a", "2")), known)
+    assert {r["tarball"] for r in fetch.collect()} == {"a-2"} and {tuple(r) for r in known.collect()} == {("a", "2"), ("b", "1")}
+    assert monitor.poll(manifests, table(document("a", "2"), document("b", "1")), known)[0].count() == 0
+
+
 def test_new_keys_as_a_stream(spark, tmp_path):
     source, sink = tmp_path / "in", tmp_path / "out"
     for k, rows in enumerate([[("s", "a"), ("s", "b"), ("t", "a")], [("s", "b"), ("s", "c")], [("s", "a"), ("s", "c")]]):
@@ -219,3 +230,18 @@ def test_watching_a_folder(spark, tmp_path):
     run()
     assert len(lines) == 2 and "a.js — PASS (10/100, 1 finding)" in lines[0] and "package.json" in lines[1]
     assert [s["finding_count"] for s in sent] == [1, 2]
+
+
+def test_findings_as_lines(spark):
+    sources = spark.createDataFrame([("a.js", "eval(x)")], "path string, content string")
+    assert json.loads(report.finding_lines(scan.scan(sources)).first()["value"])["rule_id"] == "OBF-001"
+
+
+def test_functions_in_sql(spark):
+    from quillscan.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([("a.js", 'eval("1")'), ("b.txt", "eval(2)"), ("c.js", None)], "path string, content string").createOrReplaceTempView("sources")
+    assert [tuple(r) for r in spark.sql("SELECT path, f.rule_id, f.line FROM sources, LATERAL scan_source(path, content) f").collect()] == [("a.js", "OBF-001", 1)]
+    got = spark.sql("SELECT rewrite_source(content) AS r, entropy_of(content) AS e FROM sources ORDER BY path").collect()
+    assert got[0]["r"] == "/* unwrapped:eval */ 1" and got[2]["r"] is None and got[1]["e"] > 2
