@@ -106,7 +106,9 @@ class Tree:
                 near[who], name[who] = np.take_along_axis(s, top, 1), np.take_along_axis(n, top, 1)
         row, col = np.nonzero(name >= 0)
         entry = name[row, col]
-        score = (q[row] * self.vectors[entry].astype(np.float64)).sum(1)
+        score = np.zeros(len(row))
+        for j in range(q.shape[1]):  # in the order of the components, whatever the batch
+            score += q[row, j] * self.vectors[entry, j].astype(np.float64)
         many = self.first[entry + 1] - self.first[entry]
         at = np.repeat(self.first[entry], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         row, score, ids = np.repeat(row, many), np.repeat(score, many), self.ids[at]
@@ -118,7 +120,7 @@ class Tree:
         return row[rank < k], ids[rank < k], score[rank < k], visits
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.5, shard_rows: int = 16_384, block_rows: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, shard_rows: int = 16_384, block_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row for which is_query (over vec_id) holds."""
     e = F.col("embedding").cast("array<double>")
     sound = ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
@@ -151,3 +153,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
     found = met.repartition("dim", "shard", "block").select("tree", "asks").mapInPandas(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def oracle_sql(every: int = 20, k: int = 20) -> str:
+    """Brute force over all pairs of a query and a candidate, for DuckDB."""
+    return f"""
+WITH v AS (SELECT vec_id, min(embedding::FLOAT[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i]::DOUBLE * c.e[i]::DOUBLE), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON q.vec_id % {every} = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""

@@ -55,4 +55,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {k: f for k, f in list(globals().items()) if k.startswith("op") and callable(f)}
-ORACLE: dict[str, str] = {"op1_mixing": mixing.oracle_sql(), "op2_secret_scan": secrets.oracle_sql()}
+ORACLE: dict[str, str] = {
+    "op1_mixing": mixing.oracle_sql(),
+    "op2_secret_scan": secrets.oracle_sql(),
+    "op3_nearest_neighbours": neighbours.oracle_sql(),
+    "op4_repeat_removal": repeats.oracle_sql(),
+}

@@ -312,3 +312,18 @@ def _about(starts: list[int], n: int, size: int) -> Iterator[tuple[int, int]]:
         if s - at >= size or s == n:
             yield at, s
             at = s
+
+
+def oracle_sql(width: int = 200) -> str:
+    """Every window compared with every other by its MD5 digest, for DuckDB."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT rid, doc_id, b, h, octet_length(b) AS n FROM d),
+w AS (SELECT rid, i, md5(b[i:i + {width - 1}]) AS m FROM (SELECT rid, b, unnest(range(1, n - {width - 2})) AS i FROM n WHERE n >= {width})),
+twice AS (SELECT rid, i FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+steps AS (SELECT rid, i, sum(gap) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT rid, i, (i > lag(i, 1, -{2 * width}) OVER (PARTITION BY rid ORDER BY i) + {width})::INT AS gap FROM twice)),
+spans AS (SELECT rid, min(i) AS a, max(i) + {width - 1} AS z FROM steps GROUP BY rid, run),
+edges AS (SELECT rid, a, z, lag(z, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS prior FROM spans UNION ALL SELECT n.rid, n.n + 1, n.n + 1, coalesce(max(z), 0) FROM n LEFT JOIN spans USING (rid) GROUP BY n.rid, n.n),
+kept AS (SELECT rid, string_agg(substring(h, 2 * prior + 1, 2 * (a - prior - 1)), '' ORDER BY a) AS k FROM edges JOIN n USING (rid) GROUP BY rid),
+total AS (SELECT rid, sum(z - a + 1) AS removed, count(*) AS spans FROM spans GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM n JOIN kept USING (rid) LEFT JOIN total USING (rid)"""

@@ -33,6 +33,17 @@ def test_factor_one_is_exact(spark):
     assert close(got, slow(data, 7, 20))
 
 
+def test_equals_duckdb(spark):
+    import duckdb
+
+    data = rows() + [(1000, None), (1001, []), (1002, [0.0] * 12), (1040, [float("nan")] * 12), (1060, [float("inf")] + [1.0] * 11), (1080, [1.0, 2.0]), (1080, [1.0, 2.0])]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    c.executemany("INSERT INTO embeddings VALUES (?, ?)", data)
+    got = neighbours.nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, shard_rows=100).collect()
+    assert sorted(map(tuple, got)) == sorted(c.execute(neighbours.oracle_sql()).fetchall())
+
+
 def test_few_candidates_repeated_rows_and_none(spark):
     data = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (3, [0.5, 0.5]), (20, [-1.0, 0.2])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
@@ -41,7 +52,7 @@ def test_few_candidates_repeated_rows_and_none(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_recall_and_pruning_with_the_production_factor():
+def test_recall_and_pruning_with_a_larger_factor():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(10, 64))
     v = centres[rng.integers(0, 10, 6000)] + rng.normal(size=(6000, 64)) * 0.8
@@ -49,7 +60,7 @@ def test_recall_and_pruning_with_the_production_factor():
     tree = neighbours.Tree(v, np.arange(6000), 1.0 + 1e-6, 21)
     q = v[::20]
     exact = np.argsort(-(q.astype(float) @ v.astype(float).T), axis=1)[:, :21]
-    row, ids, _, visits = tree.search(q, np.arange(0, 6000, 20), 20, neighbours.nearest.__defaults__[1])
+    row, ids, _, visits = tree.search(q, np.arange(0, 6000, 20), 20, 2.0)
     hits = sum(len(set(ids[row == r]) & (set(exact[r]) - {20 * r})) for r in range(len(q)))
     assert hits / (20 * len(q)) > 0.9
     *_, every = tree.search(q, np.arange(0, 6000, 20), 20, 1.0)

@@ -55,6 +55,17 @@ def test_equals_brute_force(spark, large):
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, *tuple(r)[1:]) for r in got) == slow(rows, 200)
 
 
+def test_equals_duckdb():
+    import duckdb
+
+    rows = corpus()
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = c.execute(repeats.oracle_sql()).fetchall()
+    assert sorted((i if i is not None else -1, *r) for i, *r in got) == slow(rows, 200)
+
+
 def test_other_width_one_range_and_no_rows(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     got = repeats.remove_repeats(docs, width=60).drop("kept").collect()
