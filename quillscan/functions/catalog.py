@@ -94,18 +94,28 @@ def compiled(pattern: str) -> re.Pattern | None:
         return None
 
 
-def needed(pattern: str) -> tuple[str, ...]:
-    """Literals of which any match contains at least one; empty when none are known. Lets most texts skip a pattern."""
+@dataclass(frozen=True)
+class Needs:
+    """What a text must have for a pattern to match: one of the literals (empty: unknown), compared case-folded where the
+    pattern ignores case, or a character that isn't ASCII."""
+
+    literals: tuple[str, ...] = ()
+    folded: bool = False
+    wide: bool = False
+
+
+def needed(pattern: str) -> Needs:
+    """The needs of a pattern, from its syntax tree. Lets most texts skip most patterns."""
     from re import _constants as c
     from re import _parser
 
-    def of(seq) -> tuple[str, ...]:
+    def literals(seq) -> tuple[str, ...]:
         best: tuple[str, ...] = ()
         run = ""
 
         def better(found: tuple[str, ...]) -> None:
             nonlocal best
-            if found and min(map(len, found)) >= 3 and (not best or min(map(len, found)) > min(map(len, best))):
+            if found and min(map(len, found)) >= 2 and (not best or min(map(len, found)) > min(map(len, best))):
                 best = found
 
         for op, arg in seq:
@@ -115,21 +125,33 @@ def needed(pattern: str) -> tuple[str, ...]:
             better((run,))
             run = ""
             if op is c.SUBPATTERN:
-                better(of(arg[3]))
+                better(literals(arg[3]))
             elif op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT) and arg[0] > 0:
-                better(of(arg[2]))
+                better(literals(arg[2]))
             elif op is c.BRANCH:
-                parts = [of(x) for x in arg[1]]
+                parts = [literals(x) for x in arg[1]]
                 if all(parts):
                     better(tuple({x for p in parts for x in p}))
         better((run,))
         return best
 
+    def wide(seq) -> bool:
+        for op, arg in seq:
+            if op is c.LITERAL and arg > 127:
+                return True
+            if op is c.IN and all((o is c.LITERAL and v > 127) or (o is c.RANGE and v[0] > 127) for o, v in arg):
+                return True
+            if op is c.SUBPATTERN and wide(arg[3]) or op is c.BRANCH and all(map(wide, arg[1])):
+                return True
+        return False
+
     try:
         tree = _parser.parse(to_python(pattern))
     except re.error:
-        return ()
-    return () if tree.state.flags & re.I else of(tree)
+        return Needs()
+    folded = bool(tree.state.flags & re.I)
+    found = literals(tree)
+    return Needs(tuple(x.casefold() for x in found) if folded else found, folded, wide(tree) and not folded)
 
 
 # A finding's category is that of its first tag found here.

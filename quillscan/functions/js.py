@@ -4,7 +4,7 @@ calls, member and subscript accesses, constructions and string literals. Works o
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from typing import NamedTuple
 
 _TOKEN = re.compile(
     r"""(?P<space>\s+|//[^\n]*|/\*(?:.*?\*/|.*)|\#![^\n]*)
@@ -16,13 +16,12 @@ _TOKEN = re.compile(
     |(?P<mark>\?\.(?!\d)|\.\.\.|=>|[{}()\[\].;,<>+\-*/%&|^!~?:=@\\]|.)""",
     re.X | re.S,
 )
-_VALUE_WORDS = frozenset("this super true false null undefined".split())
+_STEPS = frozenset((".", "?.", "[", "("))
 _OPERATOR_WORDS = frozenset("return typeof instanceof in of new delete void throw case do else yield await".split())
 _NOT_CALLED = frozenset("if for while switch catch with function return typeof await yield void delete throw new in of instanceof do else case".split())
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     kind: str  # string template number name regex mark
     start: int
     end: int
@@ -34,8 +33,7 @@ def tokens(text: str) -> list[Token]:
     tokens of its substitutions follow it."""
     out: list[Token] = []
     holes: list[tuple[int, int]] = []  # brace depth at which a template goes on, its start
-    pending: list[Token] = []
-    depth, at, n = 0, 0, len(text)
+    depth, at, n, templates, match = 0, 0, len(text), False, _TOKEN.match
 
     def template(start: int, at: int) -> int:
         """Reads template text; the place after its end, or after the ${ of its next substitution."""
@@ -55,12 +53,16 @@ def tokens(text: str) -> list[Token]:
         return n
 
     while at < n:
-        m = _TOKEN.match(text, at)
+        m = match(text, at)
         kind, s = m.lastgroup, m[0]
+        if kind == "space":
+            at = m.end()
+            continue
         if kind == "regex" and _ends_value(out[-1] if out else None):
             kind, s = "mark", "/"
         end = at + len(s)
         if kind == "template":
+            templates = True
             at = template(at, end)
             continue
         if s == "{":
@@ -71,11 +73,9 @@ def tokens(text: str) -> list[Token]:
                 at = template(start, end)
                 continue
             depth -= 1
-        if kind != "space":
-            out.append(Token(kind, at, end, s))
+        out.append(Token(kind, at, end, s))
         at = end
-    out += pending
-    return sorted(out, key=lambda t: (t.start, -t.end))
+    return sorted(out, key=lambda t: (t.start, -t.end)) if templates else out
 
 
 def _ends_value(t: Token | None) -> bool:
@@ -87,8 +87,7 @@ def _ends_value(t: Token | None) -> bool:
     return t.kind in ("string", "template", "number", "regex") or t.text in (")", "]", "}")
 
 
-@dataclass(frozen=True)
-class Node:
+class Node(NamedTuple):
     """A postfix expression: kind as in the usual grammars, its span, what stands before its last step (`head`: callee,
     object or constructor) and the names along the chain (None where they aren't plain)."""
 
@@ -119,7 +118,7 @@ def nodes(text: str) -> list[Node]:
             if end > k + 1:
                 last = close.get(end, end - 1) if end < len(ts) and ts[end].text == "(" else end - 1
                 out.append(Node("new_expression", t.start, ts[last].end, text[ts[k + 1].start : ts[end - 1].end]))
-        if t.kind == "name" and not (before and before.text in (".", "?.")):
+        if t.kind == "name" and k + 1 < len(ts) and ts[k + 1].text in _STEPS and not (before and before.text in (".", "?.")):
             out += _chain(text, ts, close, k)
     return sorted(out, key=lambda x: (x.start, -x.end))
 

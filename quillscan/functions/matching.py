@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from quillscan.functions import js
-from quillscan.functions.catalog import NEAR, Rule, compiled, needed
+from quillscan.functions.catalog import NEAR, Needs, Rule, compiled, needed
 
 DIALECTS = {
     "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript",
@@ -43,7 +43,7 @@ class Ready:
     rule: Rule
     primary: re.Pattern | None
     near: re.Pattern | None
-    literals: tuple[str, ...]
+    needs: Needs
 
 
 def prepare(rules: list[Rule]) -> list[Ready]:
@@ -53,7 +53,7 @@ def prepare(rules: list[Rule]) -> list[Ready]:
         primary = compiled(r.pattern) if r.kind == "regex" else None
         if primary is not None and primary.match("") and r.kind == "regex":
             raise ValueError(f"{r.id}: its pattern matches the empty text")
-        out.append(Ready(r, primary, compiled(r.near) if r.near and r.kind == "regex" else None, needed(r.pattern) if r.kind == "regex" else ()))
+        out.append(Ready(r, primary, compiled(r.near) if r.near and r.kind == "regex" else None, needed(r.pattern) if r.kind == "regex" else Needs()))
     return out
 
 
@@ -65,6 +65,19 @@ class Text:
         self.breaks = [m.start() for m in re.finditer("\n", content)]
         self.ascii = content.isascii()
         self._nodes: list[js.Node] | None = None
+        self._folded: str | None = None
+
+    def may_match(self, needs: Needs) -> bool:
+        if needs.wide and self.ascii:
+            return False
+        if not needs.literals:
+            return True
+        text = self.content
+        if needs.folded:
+            if self._folded is None:
+                self._folded = text.casefold()
+            text = self._folded
+        return any(x in text for x in needs.literals)
 
     @property
     def nodes(self) -> list[js.Node]:
@@ -114,18 +127,22 @@ def entropy(text: str) -> float:
 def _offsets(t: Text, r: Ready) -> Iterator[int]:
     rule, kind = r.rule, r.rule.kind
     if kind == "regex":
-        if r.primary is None or (r.literals and not any(x in t.content for x in r.literals)):
+        if r.primary is None or not t.may_match(r.needs):
             return
         for m in r.primary.finditer(t.content):
             if r.near is None or r.near.search(t.content[slice(*t.window(m.start(), m.end()))]):
                 yield m.start()
     elif kind == "entropy":
         limit = 4.5 if rule.threshold is None else rule.threshold
+        if len(set(t.content)) <= 2**limit:  # no literal can have more characters than the text
+            return
         for n in t.nodes:
             if n.kind in ("string", "template_string"):
                 inner = t.content[n.start : n.end].strip("\"'`")
                 if len(inner.encode("utf-8", "surrogatepass")) >= 16 and entropy(inner) > limit:
                     yield n.start
+    elif rule.pattern.split(":")[-1].split(".")[-1] not in t.content and kind != "ast_node_type":
+        return
     elif kind == "call_expression":
         yield from (n.start for n in t.nodes if n.kind == kind and n.head == rule.pattern)
     elif kind == "member_expression":

@@ -29,6 +29,15 @@ def test_every_rule_finds_its_sample_and_leaves_plain_code(rule_id):
     assert rule_id not in plain
 
 
+def test_needs_never_hide_a_match():
+    texts = [*RULES.values(), *(v.upper() for v in RULES.values()), *(v.swapcase() for v in RULES.values())]
+    for r in ALL:
+        for t in texts:
+            if r.rule.kind == "regex" and r.primary.search(t):
+                assert Text(t).may_match(r.needs), (r.rule.id, t)
+    assert sum(bool(r.needs.literals) or r.needs.wide for r in ALL) >= 92
+
+
 def test_places_and_snippets():
     assert one("regex", "b", "a\r\nébb\n𝕏b") == [(2, 2), (2, 3), (3, 2)]
     assert one("regex", "x$", "x\nx") == [(2, 1)]
