@@ -95,7 +95,7 @@ def with_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Every row of docs(doc_id, text) with the given columns, and as next_<column> those of the next document by
     descending id, after the last one the first. The texts are shuffled once, into id ranges cut at quantiles of all ids; the first row
     of each range also goes to the range before it."""
-    n = 4 * shuffle_partitions(docs.sparkSession)
+    n = min(4 * shuffle_partitions(docs.sparkSession), 1 << 16)  # quantiles stay cheap; a range's rows sort with spilling
     found = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(20 * n))).first()[0] or []
     rows = docs.withColumn("__b", range_of(F.col("doc_id"), sorted(set(found)))).withColumn("__o", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1))).withColumn("__h", F.xxhash64("text"))
     heads = rows.groupBy("__b").agg(F.min(F.struct("__o", "__h")).alias("head"))  # a row for each range
