@@ -44,7 +44,8 @@ def ignored_paths(root: str) -> list[str]:
 def files(spark: SparkSession, paths: list[str], ignored: tuple[str, ...] = IGNORED, max_bytes: int = MAX_BYTES) -> DataFrame:
     """path, kind (code or manifest), n_bytes, content (null: over the limit or not UTF-8) of the files below the paths.
 
-    Names and sizes are filtered before any content is read. A path that is a file is taken directly; below a
+    Names and sizes are filtered before any content is read. A path
+    given twice counts once. A path that is a file is taken directly; below a
     directory, and for the directory itself, those named in `ignored` are pruned."""
     out = None
     for root in paths or ["."]:
@@ -61,10 +62,14 @@ def files(spark: SparkSession, paths: list[str], ignored: tuple[str, ...] = IGNO
         if skip:
             part = part.join(F.broadcast(spark.createDataFrame([(p,) for p in skip], "path string")), "path", "left_anti")
         out = part if out is None else out.unionByName(part)
-    kind = F.when(is_manifest(F.col("path")), "manifest").otherwise("code")
-    fits = (kind == "manifest") | (F.col("length") <= max_bytes)
-    text = F.when(fits & F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    return out.dropDuplicates(["path"]).select("path", kind.alias("kind"), F.col("length").alias("n_bytes"), text.alias("content"))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    row = lambda kind, content: [F.lit(kind).alias("kind"), F.col("length").alias("n_bytes"), content.alias("content")]
+    code = out.where(is_code(F.col("path")))
+    # The size test on its own column reaches the reader, and files over the limit are listed without their content.
+    small = code.where(F.col("length") <= max_bytes).select("path", *row("code", text))
+    large = code.where(F.col("length") > max_bytes).select("path", *row("code", F.lit(None).cast("string")))
+    manifests = out.where(is_manifest(F.col("path"))).select("path", *row("manifest", text))
+    return small.unionByName(large).unionByName(manifests).dropDuplicates(["path"])
 
 
 def scan_stats(found: DataFrame) -> DataFrame:
