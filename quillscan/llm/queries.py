@@ -27,7 +27,7 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,10 +34,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillscan.llm.common import group_starts, materialize, range_of, shuffle_partitions, whole_groups
+from quillscan.llm.common import group_starts, materialize, range_of, shuffle_partitions, sliced, whole_groups
 
 GRAM = 32
-PIECE = 1_000_000  # bytes hashed at a time
+PIECE = 500_000  # bytes hashed at a time
 SEGMENT = "key long, seg long, kind byte, doc_id long, th long, pos int, n int, off int"
 COVERED, OPEN, SETTLED = 0, 1, 2
 
@@ -137,7 +137,7 @@ def _segments(docs: DataFrame, width: int) -> DataFrame:
     """Step 1, over docs(doc_id, th, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches, "text"):
             ids, th = b["doc_id"], b["th"].to_numpy()
             for data, ends, owner, place in _joined([t.encode("utf-8", "surrogatepass") for t in b["text"]], width):
                 start, n, off, key, seg = find_segments(data, ends, width)
@@ -209,8 +209,8 @@ def _runs(b: pd.DataFrame, row: np.ndarray, k: np.ndarray) -> pd.DataFrame:
     return out.assign(pos=(out["pos"].to_numpy() + k[first]).astype(np.int32), n=size.astype(np.int32))
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_000_000, large: int = 20_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row of docs."""
+def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_000_000, large: int = 20_000, keep_bytes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_bytes, kept (the remaining bytes) of every row of docs."""
     if not GRAM < width <= 1000:
         raise ValueError("width must be over 32 and at most 1000")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
@@ -283,8 +283,11 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
     covered = found.where(F.col("kind") == COVERED).select("doc_id", "th", "pos", "n").unionByName(few).unionByName(many)
     covered = covered.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("c"))
 
+    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
+    names = [c.split()[0] for c in shape.split(", ")]
+
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches, "text"):
             out = []
             for i, text, c in zip(b["doc_id"], b["text"], b["c"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -299,10 +302,10 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
                     kept.append(raw[at:a])
                     at = z
                 left = b"".join([*kept, raw[at:]])
-                out.append((i, len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((i, len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left)[: len(names)])
+            yield pd.DataFrame(out, columns=names)
 
-    return together(rows, covered, "left").select("doc_id", "text", "c").mapInPandas(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return together(rows, covered, "left").select("doc_id", "text", "c").mapInPandas(cut_out, shape)
 
 
 def _about(starts: list[int], n: int, size: int) -> Iterator[tuple[int, int]]:
