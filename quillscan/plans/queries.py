@@ -396,6 +396,14 @@ last AS (SELECT path, base, arg_max(scoped, ordinal) AS scoped FROM scoped GROUP
 plain AS (SELECT path, name FROM deps WHERE NOT starts_with(name, '@')),
 confused AS (SELECT last.path, scoped, name, true AS "both" FROM last JOIN plain ON last.path = plain.path AND base = name
   UNION ALL SELECT path, scoped, p, false FROM last JOIN popular ON base = p WHERE NOT EXISTS (SELECT 1 FROM plain WHERE plain.path = last.path AND name = p))"""
+_HOW = "CASE distance WHEN 0 THEN 'separator trick' ELSE 'distance ' || distance END"
+_MANIFEST_FINDINGS = f"""WITH {_M}, {_STEPS}, {_BINS}, {_DEPS}, {_look_alike_cte('(SELECT path, name AS dep, ordinal FROM deps)')}, {_CONFUSED},
+every AS (SELECT path, rule_id, severity, detail, 1 AS part, list_position({_list(P.LIFECYCLE)}, split_part(detail, ':', 1)) AS o FROM ({_INSTALL})
+  UNION ALL SELECT path, rule_id, severity, detail, 2, row_number() OVER (PARTITION BY path ORDER BY detail) FROM ({_BIN_ROWS})
+  UNION ALL SELECT path, 'MANIFEST-002', 'medium', dep || ' ~ ' || popular || ' (' || {_HOW} || ')', 3, ordinal * 1000 + list_position({_list(P.POPULAR)}, popular) FROM likes
+  UNION ALL SELECT path, 'MANIFEST-003', CASE WHEN "both" THEN 'high' ELSE 'medium' END, scoped || CASE WHEN "both" THEN ' vs ' ELSE ' shadows ' END || name, 4,
+    CASE WHEN "both" THEN (SELECT d.ordinal FROM deps d WHERE d.path = confused.path AND d.name = confused.name) ELSE 100000 + list_position({_list(P.POPULAR)}, name) END FROM confused)
+SELECT path AS file, rule_id, severity, detail AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY path, rule_id ORDER BY part, o) AS k FROM every) WHERE k = 1"""
 _LABELS = "(SELECT doc_id::VARCHAR AS file, quality::BIGINT AS label FROM labels)"
 
 ORACLE: dict[str, str] = {
@@ -431,6 +439,7 @@ ORACLE: dict[str, str] = {
     "q_dependencies": f"WITH {_M}, {_DEPS} SELECT path, ordinal, name FROM deps",
     "q_look_alikes": f"WITH {_look_alike_cte(_rows('dep', DEPENDENCIES))} SELECT dep, popular, distance FROM likes",
     "q_confusions": f"WITH {_M}, {_DEPS}, {_POPULAR}, {_CONFUSED} SELECT path, scoped, name, \"both\" FROM confused",
+    "q_manifest_findings": _MANIFEST_FINDINGS,
     "q_new_findings": "WITH e AS (SELECT DISTINCT user_id AS subject, ts::DATE AS day, event_type AS key FROM events), d AS (SELECT subject, day, lag(day) OVER (PARTITION BY subject ORDER BY day) AS prior FROM (SELECT DISTINCT subject, day FROM e)) "
     "SELECT e.subject, strftime(e.day, '%Y-%m-%d') AS day, e.key FROM e JOIN d USING (subject, day) WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.subject = e.subject AND o.day = d.prior AND o.key = e.key)",
     "q_version_changes": f"SELECT name, version, previous, poll FROM (SELECT *, lag(version) OVER (PARTITION BY name ORDER BY poll) AS previous FROM (SELECT name, version, poll::BIGINT AS poll FROM {_rows('name, version, poll', POLLS)})) WHERE previous IS NULL OR previous <> version",
