@@ -16,6 +16,7 @@ from quillscan.functions.catalog import CATEGORIES, POINTS, Rule, builtin_rules,
 from quillscan.operators import manifest, scan, score
 from quillscan.plans import report, samples
 from quillscan.sources import files
+from quillscan.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,12 +33,8 @@ CORPUS_RULES = [
 ]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
 
 
 def _values(spark: SparkSession, rows: list[tuple], shape: str) -> DataFrame:
@@ -64,7 +61,7 @@ def _shown(found: DataFrame) -> DataFrame:
 
 
 def q_scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select(F.lit("code").alias("kind"), F.octet_length("text").cast("long").alias("n_bytes"))
+    docs = read_table(spark, sf_dir, "documents").select(F.lit("code").alias("kind"), F.octet_length("text").cast("long").alias("n_bytes"))
     return docs.agg(F.count(F.lit(1)).alias("js_files"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes"), F.count_if(F.col("n_bytes") > 10_000).alias("over_limit"))
 
 
@@ -95,12 +92,12 @@ def q_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("content"))
+    pages = read_table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("content"))
     return native.long_lines(_documents(spark, sf_dir).unionByName(pages), "content").select("path", F.col("line").cast("long").alias("line"), F.col("n_bytes").cast("long").alias("n_bytes"))
 
 
 def q_literal_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('"([^"\n]+)"'), F.lit(1))).alias("literal"))
+    pages = read_table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('"([^"\n]+)"'), F.lit(1))).alias("literal"))
     rows = pages.where(F.octet_length("literal") >= 8).withColumn("entropy", F.round(native.entropy(F.col("literal")), 6))
     return rows.where("entropy > 2.5").select("page_id", "literal", "entropy")
 
@@ -169,7 +166,7 @@ def q_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_flagged_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score.scores(_found(spark, sf_dir), _documents(spark, sf_dir).select(F.col("path").alias("file")))
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("file"), F.col("quality").cast("long").alias("label"))
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("file"), F.col("quality").cast("long").alias("label"))
     return score.flagged_by_label(scored, labels).select("label", "subjects", "flagged", F.round("share", 9).alias("share"))
 
 
@@ -237,7 +234,7 @@ def q_manifest_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as scans: a user's day is a scan of the subject, its event types the keys found."""
-    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("subject"), F.to_date("ts").alias("day"), F.col("event_type").alias("key")).distinct()
+    return read_table(spark, sf_dir, "events").select(F.col("user_id").alias("subject"), F.to_date("ts").alias("day"), F.col("event_type").alias("key")).distinct()
 
 
 def q_new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
