@@ -9,49 +9,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscan.llm import imatch, language, mixing, neighbours, pieces, quality, repeats, secrets, simhash, tokencount
-from quillscan.llm.common import table
+from quillscan.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.weigh(table(spark, sf_dir, "documents"))
+    return mixing.weigh(read_table(spark, sf_dir, "documents"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"))
+    return pieces.encode(read_table(spark, sf_dir, "documents"))
 
 
 def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+    return imatch.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(table(spark, sf_dir, "documents"))
+    return language.identify(read_table(spark, sf_dir, "documents"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+    return tokencount.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {k: f for k, f in list(globals().items()) if k.startswith("op") and callable(f)}

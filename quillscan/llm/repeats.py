@@ -215,7 +215,8 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
         raise ValueError("width must be over 32 and at most 1000")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    ranges = max(total // (85 * rows_per_range) + 1, shuffle_partitions(docs.sparkSession))
+    tasks = max(total // (85 * rows_per_range) + 1, shuffle_partitions(docs.sparkSession))
+    ranges = 4 * tasks  # several ranges a task even out their sizes
     # Sampled splitters: the keys of about 64 segments for each range, from rows drawn at random (the result doesn't
     # depend on them, only the balance does).
     share = min(1.0, 64 * 85 * ranges / max(total, 1))
@@ -232,7 +233,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
         for b in whole_groups(batches, ["key"]):
             yield _sorted_out(b, several)
 
-    dealt = _segments(rows, width).repartition(ranges, place).sortWithinPartitions("key", "seg")
+    dealt = _segments(rows, width).repartition(tasks, place).sortWithinPartitions("key", "seg")
     found = materialize(dealt.mapInPandas(sort_out, SEGMENT), "segments")
     onward = found.where(F.col("kind") != COVERED)
     crowded = onward.groupBy("key").count().where(F.col("count") > large).select("key", F.lit(True).alias("crowded"))
@@ -276,7 +277,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
                 row, k, h = _windows(part, width)
                 yield pd.DataFrame({"h": h.view(np.int64), "kind": part["kind"].to_numpy()[row], "doc_id": part["doc_id"].iloc[row].array, "th": part["th"].to_numpy()[row], "pos": (part["pos"].to_numpy()[row] + k).astype(np.int32)})
 
-    few = contexts.where("NOT crowded").drop("crowded").repartition(ranges, "key").sortWithinPartitions("key").mapInPandas(compare, cover)
+    few = contexts.where("NOT crowded").drop("crowded").repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(compare, cover)
     many = contexts.where("crowded").mapInPandas(spread_windows, "h long, kind byte, doc_id long, th long, pos int")
     twice = many.groupBy("h").count().where("count > 1")
     many = many.where(F.col("kind") == OPEN).join(twice, "h", "left_semi").select("doc_id", "th", "pos", F.lit(1).alias("n"))
