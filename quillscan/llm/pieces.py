@@ -39,7 +39,7 @@ SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _LOADED: dict[str, Model] = {}
 #: Remembered words and neighbour tests of one process; beyond it they are forgotten and found again.
-REMEMBER = 300_000
+REMEMBER = 160_000
 State = tuple[int, int]  # code points a piece reaches beyond the boundary; the piece (0: any)
 Matrix = dict[State, dict[State, float]]
 
