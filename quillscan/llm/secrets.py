@@ -6,6 +6,10 @@ The models are first-order over a fixed alphabet and trained by SQL from a table
 the ratio of each pair of characters, rounded to thousandths (a table whose size the alphabet fixes), and it enters
 the plan as a literal. All else happens in each row: no shuffle, no Python.
 
+`redact` looks closer than `scan`, whose result SQL fixes. It adds secrets glued to names and paths: the transitions of a run are
+summed less LEAST each, a stretch ends where its sum falls to zero or by DROP below its top, and a stretch of CORE
+characters with a sum of NEED is widened to the separators (= / _ -) around it. It asks neither for a digit nor for distance from base spans.
+
 Positions are code points, ends exclusive. A pattern's matches are leftmost and non-overlapping, and a match that
 fails its length test is dropped after it has consumed its text. Added spans never overlap base spans.
 
@@ -34,6 +38,8 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Thousandths of a nat for each transition.
 LEAST = 200
+#: Of stretches within a run, in the same unit: fall that ends one, least sum, least characters.
+DROP, NEED, CORE = 8000, 4000, 10
 PLACEHOLDER = "[SECRET]"
 _SPAN = "struct<s:int,k:int,e:int>"
 
@@ -115,8 +121,34 @@ def _ratio(token: Column, table: list[int]) -> Column:
     return total >= LEAST * (F.length(token) - 1)
 
 
-def with_spans(docs: DataFrame, table: list[int]) -> DataFrame:
-    """docs with __base and __all: arrays of (start, ordinal of the kind, end), by start and then kind."""
+def _stretches(token: Column, table: list[int], begin: Column) -> Column:
+    """array<struct<s, k, e>> of the random stretches in a run that begins there."""
+    size = len(ALPHABET) + 1
+    ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
+    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
+    value = lambda i: F.get(ratios, at(i) * size + at(i + 1)) - LEAST
+    state = lambda first, total, top, last, out: F.struct(first.alias("first"), total.alias("total"), top.alias("top"), last.alias("last"), out.alias("out"))
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    def put(a: Column) -> Column:
+        s = a["first"] - F.length(F.regexp_extract(F.substring(token, F.lit(1), a["first"]), "[^=/_-]*$", 0))
+        e = a["last"] + 1 + F.length(F.regexp_extract(F.substring(token, a["last"] + 2, F.length(token)), "^[^=/_-]*", 0))
+        good = (a["top"] >= NEED) & (a["last"] - a["first"] + 1 >= CORE) & (e - s >= 20)
+        span = F.struct((begin + s).cast("int").alias("s"), F.lit(len(BASE)).alias("k"), (begin + e).cast("int").alias("e"))
+        return F.when(good, F.array_append(a["out"], span)).otherwise(a["out"])
+
+    def step(a: Column, x: Column) -> Column:
+        total = a["total"] + x["v"]
+        top, last = F.greatest(a["top"], total), F.when(total > a["top"], x["i"]).otherwise(a["last"])
+        ends = (total <= 0) | (total < top - DROP)
+        return F.when(ends, state(x["i"], F.lit(0), F.lit(0), x["i"], put(a))).otherwise(state(a["first"], total, top, last, a["out"]))
+
+    steps = F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.struct(i.alias("i"), value(i).alias("v")))
+    return F.aggregate(steps, state(F.lit(0), F.lit(0), F.lit(0), F.lit(0), none), step, put)
+
+
+def with_spans(docs: DataFrame, table: list[int], closer: bool = False) -> DataFrame:
+    """docs with __base and __all: arrays of (start, ordinal of the kind, end), by start and then kind; `closer` adds the random stretches of runs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = F.array_sort(F.concat(*[_matches(text, p, k, g, n) for k, (_, p, g, n) in enumerate(BASE)]))
     docs = docs.withColumn("__base", base)
@@ -127,7 +159,10 @@ def with_spans(docs: DataFrame, table: list[int]) -> DataFrame:
         apart = ~F.exists("__base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
         return apart & token.rlike("[0-9]") & token.rlike("[A-Za-z]") & _ratio(token, table)
 
-    return docs.withColumn("__all", F.array_sort(F.concat("__base", F.filter(runs, added))))
+    spans = ["__base", F.filter(runs, added)]
+    if closer:
+        spans.append(F.flatten(F.transform(runs, lambda x: _stretches(F.substring(text, x["s"] + 1, x["e"] - x["s"]), table, x["s"]))))
+    return docs.withColumn("__all", F.array_sort(F.concat(*spans)))
 
 
 def _written(spans: str) -> Column:
@@ -147,7 +182,7 @@ def scan(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
 def redact(docs: DataFrame, samples: DataFrame | None = None, placeholder: str = PLACEHOLDER) -> DataFrame:
     """docs with every span of the text replaced (spans that overlap by one placeholder), n_chars counted anew where it is a column."""
     table = train(samples if samples is not None else samples_table(docs.sparkSession))
-    found = with_spans(docs, table)
+    found = with_spans(docs, table, closer=True)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:

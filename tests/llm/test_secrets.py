@@ -65,3 +65,17 @@ def test_redaction(spark):
     out = secrets.redact(docs)
     assert out.columns == docs.columns
     assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "a [SECRET] b 𝕏 [SECRET]", 23), (2, "clean", 77), (3, None, None)]
+
+
+def test_redaction_of_secrets_glued_to_names_and_paths(spark):
+    rng = random.Random(4)
+    before = ("stripe_live_publishable_account_key=", "com/services/webhooks/production/notification/", "getUserProfileSettings-", "")
+    after = ("", "/download/index", "=")
+    keys = ["".join(rng.choice(secrets.ALPHABET[: (62, 52)[k % 2]]) for _ in range(rng.randint(24, 40))) for k in range(240)]  # every second one without a digit
+    glued = [(k, f"see {before[k % 4]}{key}{after[k % 3]} there") for k, key in enumerate(keys)]
+    plain = [(1000 + k, f"see {t} there") for k, (t, y) in enumerate(secrets.labelled_samples(300, seed=99)) if not y]
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(glued + plain, "doc_id long, text string")).collect()}
+    assert sum(key not in out[k] and "[SECRET]" in out[k] and not any(key[i : i + 6] in out[k] for i in range(len(key) - 5)) for k, key in enumerate(keys)) > 0.95 * len(keys)
+    assert sum(out[k] != t for k, t in plain) == 0
+    row = spark.createDataFrame([(1, "0123456789abcdef01234567_config_Zq8vX2mP9kLr4TnB7wYc1HsD ok")], "doc_id long, text string")
+    assert re.fullmatch(r"\[SECRET\]_(config_)?\[SECRET\] ok", secrets.redact(row).first()["text"])
