@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from quillscan.llm.common import materialize
 
-#: Candidates kept beyond those asked for, so that rounding in the search can't decide the last place.
-SPARE = 8
+#: Share of the largest squared norm by which a score of the search may be off; whatever is as near to the last place stays until exact scores decide.
+MARGIN = 1e-9
+#: Candidates of a block held before they are trimmed by exact score and id.
+HELD = 1 << 20
 
 
 class Tree:
@@ -81,10 +83,23 @@ class Tree:
                 np.maximum(out[:, k], np.maximum(low - d[:, node], d[:, node] - high), out=out[:, k])
         return out
 
+    def _trim(self, q: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]], want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query position, entry, score): of the entries held, the best for each query by exact score and smallest id."""
+        row, entry = (np.concatenate([np.zeros(0, np.int64), *(h[j] for h in held)]) for j in (0, 1))
+        score = np.zeros(len(row))
+        for j in range(q.shape[1]):  # in the order of the components, whatever the batch
+            score += q[row, j] * self.vectors[entry, j].astype(np.float64)
+        order = np.lexsort((self.ids[self.first[entry]], -score, row))
+        row, entry, score = row[order], entry[order], score[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < want
+        return row[keep], entry[keep], score[keep]
+
     def search(self, q: np.ndarray, own: np.ndarray, k: int, factor: float, probe: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(query position, id, score) of the k best for each query, in order, and the number of leaf visits."""
-        q, want = q.astype(np.float64), k + 1 + SPARE
-        near, name = np.full((len(q), want), -np.inf), np.full((len(q), want), -1)
+        q, want = q.astype(np.float64), k + 1
+        near, margin = np.full((len(q), want), -np.inf), MARGIN * self.top
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        many = 0
         bound, square = self.bounds(q), (q * q).sum(1) + self.top
         first = np.argsort(bound, axis=1, kind="stable")[:, :probe]
         probed = np.zeros(bound.shape, bool)
@@ -93,22 +108,22 @@ class Tree:
         for second in (False, True):
             for j, members in enumerate(self.leaves):
                 if second:
-                    reach = np.sqrt(np.maximum(square - 2 * near[:, -1], 0))
+                    reach = np.sqrt(np.maximum(square - 2 * near[:, -1], 0)) + 1e-6 * np.sqrt(self.top)
                     who = np.flatnonzero(~probed[:, j] & (bound[:, j] * factor <= reach))
                 else:
                     who = np.flatnonzero(probed[:, j])
                 if not len(who):
                     continue
                 visits += len(who)
-                s = np.hstack([near[who], q[who] @ self.vectors[members].astype(np.float64).T])
-                n = np.hstack([name[who], np.broadcast_to(members, (len(who), len(members)))])
-                top = np.argsort(-s, axis=1, kind="stable")[:, :want]
-                near[who], name[who] = np.take_along_axis(s, top, 1), np.take_along_axis(n, top, 1)
-        row, col = np.nonzero(name >= 0)
-        entry = name[row, col]
-        score = np.zeros(len(row))
-        for j in range(q.shape[1]):  # in the order of the components, whatever the batch
-            score += q[row, j] * self.vectors[entry, j].astype(np.float64)
+                s = q[who] @ self.vectors[members].astype(np.float64).T
+                near[who] = -np.sort(-np.hstack([near[who], s]), axis=1)[:, :want]
+                row, col = np.nonzero(s >= near[who, -1:] - margin)
+                held.append((who[row], members[col]))
+                many += len(row)
+                if many > HELD:
+                    row, entry, _ = self._trim(q, held, want)
+                    held, many = [(row, entry)], 0
+        row, entry, score = self._trim(q, held, want)
         many = self.first[entry + 1] - self.first[entry]
         at = np.repeat(self.first[entry], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         row, score, ids = np.repeat(row, many), np.repeat(score, many), self.ids[at]

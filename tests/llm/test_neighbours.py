@@ -65,3 +65,16 @@ def test_recall_and_pruning_with_a_larger_factor():
     assert hits / (20 * len(q)) > 0.9
     *_, every = tree.search(q, np.arange(0, 6000, 20), 20, 1.0)
     assert visits < every
+
+
+def test_ties_of_many_different_vectors_go_to_smaller_ids(monkeypatch):
+    rng = np.random.default_rng(8)
+    v = np.unique(rng.choice([-1.0, 1.0], (3000, 16)).astype(np.float32), axis=0)
+    ids = rng.permutation(len(v))
+    exact = v.astype(float) @ v.astype(float).T
+    for held in (1 << 20, 500):
+        monkeypatch.setattr(neighbours, "HELD", held, raising=False)
+        row, found, _, _ = neighbours.Tree(v, ids, 16.0 * (1 + 1e-9), 21).search(v[:100], ids[:100], 20, 1.0)
+        for r in range(100):
+            want = [ids[j] for j in np.lexsort((ids, -exact[r])) if j != r][:20]
+            assert found[row == r].tolist() == want
