@@ -15,20 +15,25 @@ No piece spans from another character to the space sign, so all paths meet befor
 one, the words between two such places are solved once (and remembered, up to a bound), and only the word at a
 chunk's start is solved for each entry state. Characters without a piece become their UTF-8 bytes' pieces.
 
-Defined results: a null or empty text has no tokens. Of several unigram segmentations with equal weight one is
+Defined results: an empty table gives no rows. A null or empty text has no tokens. Very long texts are cut into chunks as above,
+never short. Of several unigram segmentations with equal weight one is
 taken, the same one for equal texts and chunk sizes. Decoding gives the normalised text back: U+2581, the space sign,
 returns as a space. Repeated rows get one result row each; null ids are kept. Extra columns are ignored by `encode`.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import re
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +44,11 @@ SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _LOADED: dict[str, Model] = {}
 #: Remembered words and neighbour tests of one process; beyond it they are forgotten and found again.
-REMEMBER = 160_000
+WORDS, PAIRS = 120_000, 250_000
+#: Chunks whose matrices one task combines; with two levels that is enough for any string Spark can hold.
+GROUP = 256
+#: Characters of text encoded before what was found is handed on.
+SLICE = 1_000_000
 State = tuple[int, int]  # code points a piece reaches beyond the boundary; the piece (0: any)
 Matrix = dict[State, dict[State, float]]
 
@@ -97,7 +106,7 @@ class Model:
         key = a << 32 | b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= 2 * REMEMBER:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             found = self.pairs[key] = self._allowed(a, b)
         return found
@@ -211,7 +220,7 @@ class Model:
             if got is None:
                 got = self.spelled(self._bpe_word(w) if self.bpe else self.trace(self.paths(w, [(0, 0, 0.0)], len(w)), len(w)))
             if len(w) <= 64:
-                if len(self.words) >= REMEMBER:
+                if len(self.words) >= WORDS:
                     self.older, self.words = self.words, {}
                 self.words[w] = got
         return got
@@ -401,13 +410,20 @@ def combine(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def scan(matrices: list[Matrix]) -> list[tuple[State, State]]:
-    """The entry and exit state of each chunk on the document's best path."""
-    before: list[dict[State, float]] = [{(0, 0): 0.0}]
+def combined(matrices: list[Matrix]) -> Matrix:
+    """The product of a run of matrices, halves first."""
+    half = len(matrices) // 2
+    return matrices[0] if len(matrices) == 1 else combine(combined(matrices[:half]), combined(matrices[half:]))
+
+
+def scan(matrices: list[Matrix], way: State = (0, 0), out: State | None = None) -> list[tuple[State, State]]:
+    """The entry and exit state of each chunk in a run of chunks, on the best path from a state to another (none: any)."""
+    before: list[dict[State, float]] = [{way: 0.0}]
     for m in matrices:
-        row = combine({(0, 0): before[-1]}, m)
+        row = combine({way: before[-1]}, m)
         before.append(next(iter(row.values()), {}))
-    out = min(before[-1], key=lambda s: -before[-1][s])
+    if out is None:
+        out = min(before[-1], key=lambda s: -before[-1][s])
     plan = []
     for m, prior in zip(reversed(matrices), reversed(before[:-1]), strict=True):
         ways = [(i, w) for i, w in prior.items() if out in m.get(i, {})]
@@ -417,51 +433,84 @@ def scan(matrices: list[Matrix]) -> list[tuple[State, State]]:
     return plan[::-1]
 
 
-def load(path: str) -> Model:
-    if path not in _LOADED:
-        with open(path, "rb") as f:
-            _LOADED[path] = Model(f.read())
-    return _LOADED[path]
+def load(source: str | Broadcast) -> Model:
+    """A model from a file's path or from its broadcast bytes, made once in each process."""
+    proto = source.value if isinstance(source, Broadcast) else Path(source).read_bytes()
+    name = hashlib.sha256(proto).hexdigest()
+    if name not in _LOADED:
+        _LOADED[name] = Model(proto)
+    return _LOADED[name]
+
+
+def shipped(docs: DataFrame, path: str) -> Broadcast:
+    """The model file, read where the driver runs; it is some hundred kilobytes, whatever the corpus."""
+    return docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+
+
+def _encoded(pending: list[tuple], ids: list[np.ndarray]) -> pa.RecordBatch:
+    """(doc_id, whether the round trip held) and the ids of some rows as one Arrow batch."""
+    sizes = np.array([len(x) for x in ids], np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]), pa.int32()), pa.array(np.concatenate(ids)))
+    columns = [pa.array([i for i, _ in pending], pa.int64()), pa.array(sizes), lists, pa.array([g for _, g in pending], pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "round_trip"])
 
 
 def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 1 << 16) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (decoding the ids gives the normalised text back) for every row of docs.
 
-    A document of one chunk is encoded where it is read. The chunks of the others are spread over the cluster; between
-    the two passes over them only their small matrices are grouped, by document."""
+    A document of one chunk is encoded where it is read. The chunks of the others are spread over the cluster. Their matrices
+    are combined in groups of GROUP chunks, each group in a task of its own; the groups' products of a document are scanned, and each
+    group then finds the states inside it."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     giant = F.length("text") >= chunk_chars
     shape = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
+    held, group = shipped(docs, model), GROUP
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = load(model)
-        for b in sliced(batches, "text"):
-            out = []
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
-                ids = m.encode(t, 2 * chunk_chars)
-                out.append((i, len(ids), ids, m.decode(ids) == t.replace(SPACE, " ")))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "round_trip"])
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = load(held)
+        pending, found, size = [], [], 0
+        for b in batches:
+            ids, texts = b.column(0), b.column(1)
+            for k in range(len(b)):  # one text at a time becomes a Python string
+                text = texts[k].as_py()
+                got = m.encode(text, 2 * chunk_chars)
+                pending.append((ids[k].as_py(), m.decode(got) == text.replace(SPACE, " ")))
+                found.append(got)
+                size += len(text) + 64
+                if size >= SLICE:
+                    yield _encoded(pending, found)
+                    pending, found, size = [], [], 0
+        if pending:
+            yield _encoded(pending, found)
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = load(model)
+        m = load(held)
         for b in batches:
             for key, text in zip(b["key"], b["text"], strict=True):
                 parts = cut(m.normalised(text), chunk_chars, m.longest)
                 for k in range(0, len(parts), 64):
-                    yield pd.DataFrame([(key, i, len(parts), *c) for i, c in enumerate(parts[k : k + 64], k)], columns=["key", "k", "n", "l", "body", "r"])
+                    yield pd.DataFrame([(key, i // group, i, len(parts), *c) for i, c in enumerate(parts[k : k + 64], k)], columns=["key", "g", "k", "n", "l", "body", "r"])
 
     def transfers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = load(model)
+        m = load(held)
         for b in sliced(batches, "body"):
-            yield pd.DataFrame({"key": b["key"], "k": b["k"], "m": [pickle.dumps(m.transfer(c.l, c.body, c.r, c.k == 0, c.k == c.n - 1)) for c in b.itertuples()]})
+            yield pd.DataFrame({"key": b["key"], "g": b["g"], "k": b["k"], "m": [pickle.dumps(m.transfer(c.l, c.body, c.r, c.k == 0, c.k == c.n - 1)) for c in b.itertuples()]})
 
-    def scanned(b: pd.DataFrame) -> pd.DataFrame:
+    def product(b: pd.DataFrame) -> pd.DataFrame:
+        found = [pickle.loads(x) for x in b.sort_values("k")["m"]]
+        return pd.DataFrame({"key": b["key"].iloc[:1], "g": b["g"].iloc[:1], "m": [pickle.dumps(combined(found))]})
+
+    def over_groups(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("g")
+        return pd.DataFrame({"key": b["key"], "g": b["g"], "way": [pickle.dumps(x) for x in scan([pickle.loads(x) for x in b["m"]])]})
+
+    def inside(b: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("k")
-        plan = scan([pickle.loads(x) for x in b["m"]])
+        plan = scan([pickle.loads(x) for x in b["m"]], *pickle.loads(ends["way"].iloc[0])) if len(b) else []
         return pd.DataFrame({"key": b["key"], "k": b["k"], "way": [pickle.dumps(x) for x in plan]})
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = load(model)
+        m = load(held)
         for b in sliced(batches, "body"):
             out = []
             for c in b.itertuples():
@@ -470,15 +519,17 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 1 << 16) -> D
             yield pd.DataFrame(out, columns=["key", "k", "ids"])
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = load(model)
+        m = load(held)
         for b in sliced(batches, "text"):
             good = [m.decode(x) == t.replace(SPACE, " ") for x, t in zip(b["ids"], b["text"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(x) for x in b["ids"]], "ids": b["ids"], "round_trip": good, "copies": b["copies"]})
 
-    small = read.where(~giant).mapInPandas(whole, shape)
+    small = read.where(~giant).mapInArrow(whole, shape)
     large = read.where(giant).withColumn("key", F.sha2(F.col("text"), 256)).groupBy("key").agg(F.first("text").alias("text"), F.collect_list(F.struct("doc_id")).alias("copies"))
-    parts = large.select("key", "text").mapInPandas(chunks, "key string, k int, n int, l string, body string, r string").repartition("key", "k")
-    ways = parts.mapInPandas(transfers, "key string, k int, m binary").groupBy("key").applyInPandas(scanned, "key string, k int, way binary")
+    parts = large.select("key", "text").mapInPandas(chunks, "key string, g int, k int, n int, l string, body string, r string").repartition("key", "k")
+    matrices = parts.mapInPandas(transfers, "key string, g int, k int, m binary")
+    ends = matrices.groupBy("key", "g").applyInPandas(product, "key string, g int, m binary").groupBy("key").applyInPandas(over_groups, "key string, g int, way binary")
+    ways = matrices.groupBy("key", "g").cogroup(ends.groupBy("key", "g")).applyInPandas(inside, "key string, k int, way binary")
     ids = parts.join(ways, ["key", "k"]).mapInPandas(traced, "key string, k int, ids array<int>")
     ids = ids.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     done = large.join(ids, "key").select(F.lit(0).cast("long").alias("doc_id"), "text", "ids", "copies").mapInPandas(decoded, shape + ", copies array<struct<doc_id: bigint>>")
@@ -489,8 +540,10 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = 1 << 16) -> D
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and the text of tokens(doc_id, ids)."""
 
+    held = shipped(tokens, model)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = load(model)
+        m = load(held)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": [m.decode(x) if x is not None else "" for x in b["ids"]]})
 

@@ -65,7 +65,18 @@ def test_product_is_associative():
     assert all(left[i].keys() == right[i].keys() and all(abs(left[i][j] - right[i][j]) < 1e-6 for j in left[i]) for i in left)
 
 
-def test_table_with_giants_and_edges(spark):
+def test_scan_of_groups_equals_that_of_all():
+    model, rng = pieces.Model(proto("unigram")), random.Random(8)
+    parts = pieces.cut(model.normalised("".join(rng.choice("abcdefgh 日") for _ in range(400))), 20, model.longest)
+    m = [model.transfer(*c, k == 0, k == len(parts) - 1) for k, c in enumerate(parts)]
+    groups = [m[k : k + 3] for k in range(0, len(m), 3)]
+    ends = pieces.scan([pieces.combined(g) for g in groups])
+    assert [x for g, e in zip(groups, ends, strict=True) for x in pieces.scan(g, *e)] == pieces.scan(m)
+
+
+@pytest.mark.parametrize("group", [2, 256])
+def test_table_with_giants_and_edges(spark, monkeypatch, group):
+    monkeypatch.setattr(pieces, "GROUP", group)
     rng = random.Random(6)
     text = "".join(rng.choice(PIECES) for _ in range(3000))
     rows = [(1, "one two"), (2, None), (3, ""), (None, text), (5, text), (5, text), (6, text[:199]), (7, text[:200]), (8, "z" * 900)]
