@@ -8,20 +8,23 @@ anchor form a segment, about one for every 85 bytes.
 
 1. Segments are found where a text is read. A segment's key is its anchor gram: its first three bytes, then a
    hash of all of it. Segments equal within a batch are settled there; one of them goes on as a witness.
-2. Splitters sampled from the keys cut the keys into ranges; a key that spans several ranges is dealt over them. Each
+2. Splitters sampled from the keys cut the keys into ranges by their leading bytes; a key that spans several ranges is dealt over them. The
+   sample has a fixed bound: beyond MOST_RANGES ranges, each is dealt on by a hash of the key. Each
    range is sorted by key and then segment. Equal neighbours are repeats. A key with different segments (the edges of repeated passages), or one that
    lies in several ranges, goes on to step 3, with one segment for each different one.
-3. Of those few segments the bytes are fetched, and their windows are compared at each distance from the anchor: the windows' hashes are
-   sorted together with key and distance, and equal neighbours are repeats. A key with more than `large` segments is
+3. Of those few segments the bytes are fetched. The suffixes at all their windows are sorted by their first `width` bytes with a
+   multikey quicksort over tokens of eight bytes; suffixes that share all of them are repeats. A key with more than `large` segments is
    compared window by window over the whole cluster.
 4. The repeats are gathered for each document, merged and cut out.
 
-Windows are compared by 64-bit hashes of their bytes, together with their anchors' keys; equal strings always agree, and different
-ones with a chance of about 2^-64 for each pair of windows with the same anchor gram. Texts are never cut short: a very long one is handled in overlapping
+Step 2 takes segments for equal whose keys (24 bits of bytes and 40 of a hash), lengths and 64-bit hashes agree, step 3's crowded keys
+windows whose hashes and keys agree; equal strings always agree, and different ones with a chance of about 2^-64 for each pair with the same anchor gram.
+Step 3 compares bytes. Texts are never cut short: a very long one is handled in overlapping
 pieces, which only moves some of its segments to step 3. Matches never cross documents.
 
-Defined results: a null text counts as empty; texts under `width` bytes are kept whole. A repeated row repeats its own text, so all copies'
-bytes go when there are at least `width`. Null ids are kept. Extra columns are ignored.
+Defined results: an empty table gives no rows. A null text counts as empty; texts under `width` bytes are kept whole. A repeated row repeats its
+own text, so all copies' bytes go when there are at least `width`; rows with equal id and text, however many, are asked for and told their
+repeats once, not once for each pair. Null ids are kept. There are no ties: every copy goes. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ from quillscan.llm.common import group_starts, materialize, range_of, shuffle_pa
 
 GRAM = 32
 PIECE = 500_000  # bytes hashed at a time
+MOST_RANGES = 2048
 SEGMENT = "key long, seg long, kind byte, doc_id long, th long, pos int, n int, off int"
 COVERED, OPEN, SETTLED = 0, 1, 2
 
@@ -184,18 +188,45 @@ def _sorted_out(b: pd.DataFrame, several: np.ndarray) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def _windows(b: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of b, window's place in its segment, hash of key, distance from the anchor and bytes) of rows with `context`."""
+def _windows(b: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of b, window's place in its segment, its place in the joined bytes) of rows with `context`, and these bytes."""
     n = b["n"].to_numpy(np.int64)
     data = np.frombuffer(b"".join(b["context"]), np.uint8)
     begin = np.concatenate([[0], np.cumsum(n + width - 1)])[:-1]
     row = np.repeat(np.arange(len(b)), n)
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    hashes = Hashes(data)
-    at = begin[row] + k
-    h = _mix(hashes.of(at, at + width))
+    return row, k, begin[row] + k, data
+
+
+def _window_hashes(b: pd.DataFrame, row: np.ndarray, k: np.ndarray, at: np.ndarray, data: np.ndarray, width: int) -> np.ndarray:
+    """Of key, distance from the anchor and bytes."""
     distance = (b["off"].to_numpy(np.int64)[row] - k).astype(np.uint64)
-    return row, k, _mix(h + _mix(b["key"].to_numpy().view(np.uint64)[row] + distance))
+    return _mix(_mix(Hashes(data).of(at, at + width)) + _mix(b["key"].to_numpy().view(np.uint64)[row] + distance))
+
+
+def suffix_classes(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """How many of the suffixes of data that start at the given places have the same first `width` bytes as each, itself
+    included, by multikey quicksort: a group of suffixes alike so far is split by its next token of eight bytes, and goes on
+    until it has one member or its tokens are used up. All groups take a step at once."""
+    tokens = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        tokens[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
+    many = np.ones(len(at), np.int64)
+    group, left = np.zeros(len(at), np.int64), np.arange(len(at))
+    for depth in [*range(0, width - 7, 8), width - 8][: width // 8 + (width % 8 > 0)]:
+        token = tokens[at[left] + depth]
+        order = np.lexsort((token, group))
+        left, group, token = left[order], group[order], token[order]
+        new = np.ones(len(left), bool)
+        new[1:] = (group[1:] != group[:-1]) | (token[1:] != token[:-1])
+        group = np.cumsum(new) - 1
+        size = np.bincount(group)
+        more = size[group] > 1
+        left, group = left[more], group[more]
+        if not len(left):
+            return many
+    many[left] = np.bincount(group)[group]
+    return many
 
 
 def _runs(b: pd.DataFrame, row: np.ndarray, k: np.ndarray) -> pd.DataFrame:
@@ -216,15 +247,17 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     tasks = max(total // (85 * rows_per_range) + 1, shuffle_partitions(docs.sparkSession))
-    ranges = 4 * tasks  # several ranges a task even out their sizes
     # Sampled splitters: the keys of about 64 segments for each range, from rows drawn at random (the result doesn't
-    # depend on them, only the balance does).
+    # depend on them, only the balance does). Several ranges a task even out their sizes. There are at most MOST_RANGES, so that
+    # the driver's sample has a fixed bound; on larger tables each range is dealt on by a hash of the key.
+    ranges = min(4 * tasks, MOST_RANGES)
+    parts = -(-4 * tasks // ranges)
     share = min(1.0, 64 * 85 * ranges / max(total, 1))
     sample = sorted(r["key"] for r in _segments(rows.where(F.rand(20) < share), width).where(F.col("kind") != COVERED).select("key").collect())
     cuts = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if len(sample) >= ranges else []
     several = np.array(sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b}), np.int64)
     bounds = sorted(set(cuts))
-    place = range_of(F.col("key"), bounds) * 1000
+    place = (range_of(F.col("key"), bounds) * parts + F.pmod(F.xxhash64("key"), F.lit(parts))) * 1000
     if len(several):
         spread = F.create_map(*[x for k in several.tolist() for x in (F.lit(k).cast("long"), F.lit(cuts.count(k)))])
         place = place + F.pmod(F.xxhash64("th", "pos"), F.coalesce(F.try_element_at(spread, F.col("key")), F.lit(1)))
@@ -238,7 +271,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
     onward = found.where(F.col("kind") != COVERED)
     crowded = onward.groupBy("key").count().where(F.col("count") > large).select("key", F.lit(True).alias("crowded"))
     onward = onward.join(crowded, "key", "left").select("doc_id", "th", F.struct("key", "kind", "pos", "n", "off", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("s"))
-    asked = onward.groupBy("doc_id", "th").agg(F.collect_list("s").alias("s"))
+    asked = onward.distinct().groupBy("doc_id", "th").agg(F.collect_list("s").alias("s"))
     together = lambda a, b, how: a.join(b.withColumnsRenamed({"doc_id": "__i", "th": "__t"}), F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("th") == F.col("__t")), how).drop("__i", "__t")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,7 +287,8 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
 
     fetched = ["key", "kind", "crowded", "doc_id", "th", "pos", "n", "off", "context"]
     contexts = together(rows, asked, "inner").mapInPandas(fetch, "key long, kind byte, crowded boolean, doc_id long, th long, pos int, n int, off int, context binary")
-    contexts = materialize(contexts, "contexts")
+    # Equal rows are asked alike: what they send is one context.
+    contexts = materialize(contexts.groupBy("doc_id", "th", "pos", "n", "off", "key", "crowded").agg(F.max("kind").alias("kind"), F.first("context").alias("context")), "contexts")
     cover = "doc_id long, th long, pos int, n int"
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,19 +296,16 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
             starts = group_starts(b, ["key"])
             for i, j in _about(starts, len(b), 5000):
                 part = b.iloc[i:j].reset_index(drop=True)
-                row, k, h = _windows(part, width)
-                order = np.argsort(h, kind="stable")
-                same = h[order][1:] == h[order][:-1]
-                twice = np.zeros(len(h), bool)
-                twice[order[1:][same]] = twice[order[:-1][same]] = True
-                twice &= (part["kind"].to_numpy() == OPEN)[row]
+                row, k, at, data = _windows(part, width)
+                twice = (suffix_classes(data, at, width) > 1) & (part["kind"].to_numpy() == OPEN)[row]
                 yield _runs(part, row[twice], k[twice])
 
     def spread_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), 2000):
                 part = b.iloc[i : i + 2000].reset_index(drop=True)
-                row, k, h = _windows(part, width)
+                row, k, at, data = _windows(part, width)
+                h = _window_hashes(part, row, k, at, data, width)
                 yield pd.DataFrame({"h": h.view(np.int64), "kind": part["kind"].to_numpy()[row], "doc_id": part["doc_id"].iloc[row].array, "th": part["th"].to_numpy()[row], "pos": (part["pos"].to_numpy()[row] + k).astype(np.int32)})
 
     few = contexts.where("NOT crowded").drop("crowded").repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(compare, cover)
@@ -282,7 +313,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
     twice = many.groupBy("h").count().where("count > 1")
     many = many.where(F.col("kind") == OPEN).join(twice, "h", "left_semi").select("doc_id", "th", "pos", F.lit(1).alias("n"))
     covered = found.where(F.col("kind") == COVERED).select("doc_id", "th", "pos", "n").unionByName(few).unionByName(many)
-    covered = covered.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("c"))
+    covered = covered.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("c"))
 
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
     names = [c.split()[0] for c in shape.split(", ")]

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillscan.llm import repeats
 
@@ -89,3 +90,24 @@ def test_very_long_text_repeats_only_what_it_repeats(spark):
     long += long[999_000:1_001_500]
     got = repeats.remove_repeats(spark.createDataFrame([(1, long), (2, long[5000:5100])], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["n_removed"], r["n_spans"]) for r in got) == [(1, 5000, 2), (2, 0, 0)]
+
+
+@pytest.mark.parametrize("width", [40, 61, 200])
+def test_suffix_classes_equal_a_count_of_the_bytes(width):
+    rng = np.random.default_rng(width)
+    data = rng.choice(np.frombuffer(b"ab", np.uint8), 4000, p=[0.999, 0.001])
+    data[1000:1400] = data[2000:2400] = rng.integers(0, 256, 400)
+    at = rng.permutation(len(data) - width + 1)
+    raw = [data[k : k + width].tobytes() for k in at]
+    count = {r: raw.count(r) for r in set(raw)}
+    assert repeats.suffix_classes(data, at, width).tolist() == [count[r] for r in raw]
+    assert len(repeats.suffix_classes(data, at[:0], width)) == 0
+
+
+def test_many_equal_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "MOST_RANGES", 5)
+    text = "".join(np.random.default_rng(3).choice(list("abcdefgh "), 2300))
+    docs = spark.range(6_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(1, text[:250] + "#" + text[300:380]), (2, "z" * 150)], "doc_id long, text string"))
+    got = repeats.remove_repeats(docs, keep_bytes=False).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"], r["n_spans"], r["count"]) for r in got) == [(0, 2300, 1, 6_000), (1, 250, 1, 1), (2, 0, 0, 1)]
