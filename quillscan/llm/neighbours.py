@@ -8,11 +8,11 @@ bounds a leaf. A leaf is skipped when its bound times `factor` exceeds the dista
 factor one restores exact search, larger factors prune more. Each query first visits its few most promising leaves,
 which gives the distance to prune by, and then all leaves left, a leaf for all its queries at once.
 
-Equal vectors of a shard are one entry of its tree with the smallest ids. The queries are dealt into blocks, and each
-block meets each shard's tree in a task of its own; a task's memory is a shard and a block. Scores come from the
-original vectors in double precision, summed in the order of the components.
+Equal vectors of a shard are one entry of its tree with the smallest ids. The queries are dealt into blocks, and every
+shard gets all of them, a lot of `lot_blocks` blocks in each task, which searches one tree; a task's memory is a shard and a lot. Scores come from the
+original vectors (doubles where the column holds them) in double precision, summed in the order of the components.
 
-Defined results: vectors that are null, zero or hold a null or non-finite component take no part, nor do rows without
+Defined results: an empty table gives no rows; ties go to the smaller id. Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows without
 an id. Rows with the same id count once (the least vector). Vectors of different lengths aren't compared. A query with
 fewer candidates than k gets them all. Extra columns are ignored.
 """
@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from quillscan.llm.common import materialize
 
@@ -81,7 +82,7 @@ class Tree:
         for k, way in enumerate(self.ways):
             for node, low, high in way:
                 np.maximum(out[:, k], np.maximum(low - d[:, node], d[:, node] - high), out=out[:, k])
-        return out
+        return np.nan_to_num(out, nan=0.0, posinf=0.0)  # squares of very large components: nothing is known
 
     def _trim(self, q: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]], want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query position, entry, score): of the entries held, the best for each query by exact score and smallest id."""
@@ -109,7 +110,7 @@ class Tree:
             for j, members in enumerate(self.leaves):
                 if second:
                     reach = np.sqrt(np.maximum(square - 2 * near[:, -1], 0)) + 1e-6 * np.sqrt(self.top)
-                    who = np.flatnonzero(~probed[:, j] & (bound[:, j] * factor <= reach))
+                    who = np.flatnonzero(~probed[:, j] & ~(bound[:, j] * factor > reach))
                 else:
                     who = np.flatnonzero(probed[:, j])
                 if not len(who):
@@ -117,7 +118,7 @@ class Tree:
                 visits += len(who)
                 s = q[who] @ self.vectors[members].astype(np.float64).T
                 near[who] = -np.sort(-np.hstack([near[who], s]), axis=1)[:, :want]
-                row, col = np.nonzero(s >= near[who, -1:] - margin)
+                row, col = np.nonzero(~(s < near[who, -1:] - margin))
                 held.append((who[row], members[col]))
                 many += len(row)
                 if many > HELD:
@@ -135,37 +136,42 @@ class Tree:
         return row[rank < k], ids[rank < k], score[rank < k], visits
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, shard_rows: int = 16_384, block_rows: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, shard_rows: int = 16_384, block_rows: int = 1024, lot_blocks: int = 32) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row for which is_query (over vec_id) holds."""
     e = F.col("embedding").cast("array<double>")
     sound = ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
+    single = vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    kind, own = (np.float32, "array<float>") if single else (np.float64, "array<double>")
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound)
-    rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast(own).alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     rows = materialize(rows.withColumn("dim", F.size("embedding")), "vectors")
-    e = F.col("embedding").cast("array<double>")
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.max(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()
     shards, blocks, top = -(-seen["n"] // shard_rows) or 1, -(-seen["q"] // block_rows) or 1, (seen["top"] or 0.0) * (1 + 1e-9)
+    lots = -(-blocks // lot_blocks)
 
     def grow(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("vec_id")
-        tree = Tree(np.stack(b["embedding"].to_list()).astype(np.float32), b["vec_id"].to_numpy(np.int64), top, k + 1)
+        tree = Tree(np.stack(b["embedding"].to_list()).astype(kind), b["vec_id"].to_numpy(np.int64), top, k + 1)
         return pd.DataFrame({"dim": b["dim"].iloc[:1], "shard": b["shard"].iloc[:1], "tree": [pickle.dumps(tree)]})
 
     def pack(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": b["dim"].iloc[:1], "block": b["block"].iloc[:1], "asks": [pickle.dumps((b["vec_id"].to_numpy(np.int64), np.stack(b["embedding"].to_list()).astype(np.float32)))]})
+        return pd.DataFrame({"dim": b["dim"].iloc[:1], "block": b["block"].iloc[:1], "asks": [pickle.dumps((b["vec_id"].to_numpy(np.int64), np.stack(b["embedding"].to_list()).astype(kind)))]})
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for tree, asks in zip(b["tree"], b["asks"], strict=True):
-                ids, q = pickle.loads(asks)
-                row, found, score, _ = pickle.loads(tree).search(q, ids, k, factor)
-                yield pd.DataFrame({"query_id": ids[row], "vec_id": found, "score": score})
+    def search(trees: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})]
+        for tree in map(pickle.loads, trees["tree"]):  # one, or none where no vector of this length fell in the shard
+            for ids, q in map(pickle.loads, asks["asks"]):
+                row, found, score, _ = tree.search(q, ids, k, factor)
+                out.append(pd.DataFrame({"query_id": ids[row], "vec_id": found, "score": score}))
+        return pd.concat(out, ignore_index=True)
 
     trees = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInPandas(grow, "dim int, shard int, tree binary")
     asks = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(pack, "dim int, block int, asks binary")
-    # A stated query set against all rows, in blocks: each block meets each shard once.
-    met = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(materialize(trees, "vp-trees"), ["dim", "shard"])
-    found = met.repartition("dim", "shard", "block").select("tree", "asks").mapInPandas(search, "query_id long, vec_id long, score double")
+    # A stated query set against all rows, in blocks: each block meets each shard once. Blocks, which are small, go to the shards; a tree is
+    # copied only once for each lot of blocks.
+    asks = materialize(asks, "asks").select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod("block", F.lit(lots)).cast("int").alias("lot"), "asks")
+    trees = materialize(trees, "vp-trees").select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"), "tree")
+    found = trees.groupBy("dim", "shard", "lot").cogroup(asks.groupBy("dim", "shard", "lot")).applyInPandas(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -173,9 +179,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
 def oracle_sql(every: int = 20, k: int = 20) -> str:
     """Brute force over all pairs of a query and a candidate, for DuckDB."""
     return f"""
-WITH v AS (SELECT vec_id, min(embedding::FLOAT[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+WITH v AS (SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i]::DOUBLE * c.e[i]::DOUBLE), lambda a, b: a + b) AS score
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda a, b: a + b) AS score
   FROM v q JOIN v c ON q.vec_id % {every} = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""

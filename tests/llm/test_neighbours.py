@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 
 from quillscan.llm import neighbours
@@ -78,3 +80,17 @@ def test_ties_of_many_different_vectors_go_to_smaller_ids(monkeypatch):
         for r in range(100):
             want = [ids[j] for j in np.lexsort((ids, -exact[r])) if j != r][:20]
             assert found[row == r].tolist() == want
+
+
+def test_doubles_keep_their_precision_and_ties_their_order(spark):
+    rng = np.random.default_rng(12)
+    base = rng.integers(-1, 2, (240, 6)) + 1e-10 * rng.integers(0, 3, (240, 6))  # equal as floats, not as doubles
+    base[5], base[6] = 1e200, -1e200
+    rows = [(k, list(map(float, x))) for k, x in enumerate(base)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, shard_rows=64, block_rows=4, lot_blocks=2).collect()
+    want = []
+    for q in range(0, 240, 20):
+        score = lambda c: functools.reduce(lambda t, j: t + rows[q][1][j] * rows[c][1][j], range(6), 0.0)
+        order = sorted((c for c, x in rows if c != q and any(x)), key=lambda c: (-score(c), c))[:20]
+        want += [(q, r, c, score(c)) for r, c in enumerate(order, 1)] if any(rows[q][1]) else []
+    assert sorted(map(tuple, got)) == want
