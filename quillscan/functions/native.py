@@ -3,6 +3,8 @@ findings as functions.matching for patterns that both dialects read alike."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,19 +12,30 @@ from quillscan.functions.catalog import NEAR, to_java
 from quillscan.functions.matching import SNIPPET
 
 
+def folded(steps: Column, step: Callable[[Column, Column], Column], length: Callable[[Column], Column], none: Column) -> Column:
+    """What `step` collects over an array, from struct(at, out) on, with `length` added to `at` by each entry: `aggregate` copies what it
+    has collected at every entry, so the array is folded in blocks of about the square root of its size, each from its own start."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(steps))).cast("int"), F.lit(1))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(steps) / size).cast("int") - 1, F.lit(0))), lambda b: F.slice(steps, b * size + 1, size))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    advance = lambda a, b: F.struct((a["at"] + F.aggregate(b, F.lit(0), lambda n, x: n + length(x))).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+    starts = F.aggregate(blocks, begin, advance, lambda a: a["out"])
+    return F.flatten(F.zip_with(blocks, starts, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])))
+
+
 def matches(rows: DataFrame, text: str, pattern: str) -> DataFrame:
     """rows with a row for each match: ordinal, matched, offset (code points from 0). The offset is the length of
     everything before: gaps and earlier matches."""
     java = to_java(pattern)
     found, gaps = F.regexp_extract_all(F.col(text), F.lit(java), F.lit(0)), F.split(F.col(text), java, -1)
     pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<matched:string,offset:int>>").alias("out"))
+    none = F.array().cast("array<struct<matched:string,offset:int>>")
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + x["g"]
         return F.struct((at + F.length(x["m"])).alias("at"), F.array_append(acc["out"], F.struct(x["m"].alias("matched"), at.alias("offset"))).alias("out"))
 
-    hits = F.aggregate(pairs, start, step, lambda a: a["out"])
+    hits = folded(pairs, step, lambda x: x["g"] + F.length(x["m"]), none)
     return rows.where(F.col(text).rlike(java)).select("*", F.posexplode(hits).alias("ordinal", "hit")).select("*", "hit.matched", "hit.offset").drop("hit")
 
 
