@@ -5,7 +5,7 @@ meet the targets of all three, and documents are sampled with the calibrated pro
 token count is its number of runs of characters other than white space.
 
 Targets are given for each margin as a dict of shares or as a temperature: a margin's natural shares to that power, scaled to one.
-Raking scales the weights of one margin after the other, `rounds` times. It works on the table of cells, whose size the
+Raking scales the weights of one margin after the other, up to `rounds` times, and stops when no marginal is off by more than CLOSE. It works on the table of cells, whose size the
 numbers of sources, languages and topics bound, and writes it to the shared folder every few rounds, which keeps the plans short.
 
 The expected number of sampled tokens is `budget` times all tokens, in the proportions of the raked weights; a cell whose
@@ -13,7 +13,7 @@ probability would exceed one is taken whole and the rest is scaled up for it, so
 the documents allow. A document is taken when a number in [0, 1) derived from its id alone is below its cell's probability: the same at every
 size and in every partitioning.
 
-Topics: a given column, or else bands of document length. Defined results: nulls in source, language or topic form cells of
+Topics: a given column, or else bands of document length. Defined results: an empty table gives no rows, and very long texts are counted whole. Nulls in source, language or topic form cells of
 their own (written as the empty string); a null text has no tokens; documents without tokens have their cell's
 probability, and if a cell has no tokens at all, zero. Categories without a target get weight zero; targets for categories that don't
 occur are left out and the others scaled to one. Repeated rows share their id's fate, null ids share one. Extra columns are ignored by `weigh` and
@@ -25,11 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillscan.llm.common import materialize
+from quillscan.llm.common import free_names, materialize
 
 MARGINS = ("source", "lang", "topic")
 #: Upper ends, in tokens, of the default topics' bands.
 BANDS = (("short", 150), ("medium", 600))
+#: A marginal's distance from its target at which raking ends.
+CLOSE = 1e-13
 Target = dict[str, float] | float
 
 
@@ -38,16 +40,17 @@ def token_count(text: Column) -> Column:
     return F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+"))).cast("long")
 
 
-def _keyed(docs: DataFrame, topic: str | None) -> DataFrame:
-    """docs with __tokens and the three margins as __source, __lang, __topic."""
-    have = docs.withColumn("__tokens", token_count(F.col("text").cast("string")))
+def _keyed(docs: DataFrame, topic: str | None) -> tuple[DataFrame, list[str]]:
+    """docs with its tokens and the three margins, and these columns' names, which no column of docs has."""
+    tokens, *names = free_names(docs, "__tokens", *(f"__{m}" for m in MARGINS))
+    have = docs.withColumn(tokens, token_count(F.col("text").cast("string")))
     band = F.lit("long")
     for name, most in reversed(BANDS):
-        band = F.when(F.col("__tokens") <= most, name).otherwise(band)
-    for m in MARGINS:
+        band = F.when(F.col(tokens) <= most, name).otherwise(band)
+    for m, name in zip(MARGINS, names, strict=True):
         own = band if m == "topic" and topic is None else F.col(topic if m == "topic" else m).cast("string")
-        have = have.withColumn(f"__{m}", F.coalesce(own, F.lit("")))
-    return have
+        have = have.withColumn(name, F.coalesce(own, F.lit("")))
+    return have, [tokens, *names]
 
 
 def _targets(cells: DataFrame, margin: str, target: Target) -> DataFrame:
@@ -67,33 +70,43 @@ def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = 24, every:
     out = cells
     for m in MARGINS:
         out = out.join(_targets(cells, m, targets[m]).withColumnRenamed("share", f"t_{m}"), m, "left")
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    out = materialize(out.withColumn("weight", F.when(F.col("tokens") > 0, F.col("tokens") / total).otherwise(0.0)), "cells")
+    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    out = materialize(out.withColumn("weight", F.when(F.col("tokens") > 0, F.col("tokens") / F.lit(total)).otherwise(0.0)), "cells")
     for done in range(1, rounds + 1):
         for m in MARGINS:
             held = F.sum("weight").over(Window.partitionBy(m))
             out = out.withColumn("weight", F.when(held > 0, F.col("weight") * F.coalesce(f"t_{m}", F.lit(0.0)) / held).otherwise(0.0))
         if done % every == 0 or done == rounds:
             out = materialize(out, "cells")
+            if residual(out) <= CLOSE:
+                break
     return out.select(*MARGINS, "docs", "tokens", "weight")
 
 
+def residual(cells: DataFrame) -> float:
+    """The largest distance of a marginal of cells(..., weight, t_source, t_lang, t_topic) from its target, as a share of all weight."""
+    off = [cells.groupBy(m).agg((F.sum("weight") - F.coalesce(F.first(f"t_{m}"), F.lit(0.0))).alias("d")).select("d") for m in MARGINS]
+    return off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max(F.abs("d"))).first()[0] or 0.0
+
+
 def calibrate(cells: DataFrame, budget: float) -> DataFrame:
     """cells with `probability`, such that the expected tokens are the budget's share of all, if there are as many.
 
-    In order of weight for each token, the first cells that the scale would lift above one are taken whole. With k of
-    them whole the scale is (wanted - their tokens) / (weight of the rest); the right k is the first whose scale lifts no further cell."""
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("density"), *MARGINS)
-    every = Window.partitionBy(F.lit(1))
+    Cells that the scale would lift above one are taken whole, and the scale of the rest rises for it: (wanted - their tokens) /
+    (weight of the rest). As it only rises, each step takes at least the cells of the one before, and a few steps end it. A step is one
+    aggregate over the cells; the driver gets its sums."""
     cells = cells.withColumn("density", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    scale = (F.lit(budget) * F.sum("tokens").over(every) - F.coalesce(F.sum("tokens").over(before), F.lit(0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    cells = cells.withColumn("scale", F.when(F.col("density") > 0, scale))
-    cells = cells.withColumn("__k", F.row_number().over(order))
-    right = F.min(F.when(F.col("scale") * F.col("density") <= 1, F.struct("__k", "scale"))).over(every)
-    cells = cells.withColumn("__right", right)
-    taken = F.when(F.col("density") == 0, 0.0).when(F.col("__right").isNull() | (F.col("__k") < F.col("__right.__k")), 1.0).otherwise(F.least(F.lit(1.0), F.col("__right.scale") * F.col("density")))
-    return cells.withColumn("probability", F.round(F.greatest(taken, F.lit(0.0)), 9)).select(*MARGINS, "docs", "tokens", "weight", "probability")
+    held = F.col("density") > 0
+    wanted = budget * (cells.agg(F.sum("tokens")).first()[0] or 0)
+    least, taken = None, -1  # the scale so far, and how many cells it takes whole
+    while True:
+        whole = F.lit(False) if least is None else held & (F.col("density") * F.lit(least) > 1)
+        r = cells.agg(F.count_if(whole).alias("n"), F.sum(F.when(whole, F.col("tokens"))).alias("t"), F.sum(F.when(held & ~whole, F.col("weight"))).alias("w")).first()
+        if r["n"] <= taken or not r["w"]:
+            break
+        taken, least = r["n"], max(wanted - (r["t"] or 0), 0.0) / r["w"]
+    chance = F.lit(0.0) if least is None else F.when(whole, 1.0).otherwise(F.least(F.lit(1.0), F.col("density") * F.lit(least)))
+    return cells.withColumn("probability", F.round(F.when(held, chance).otherwise(0.0), 9)).select(*MARGINS, "docs", "tokens", "weight", "probability")
 
 
 def draw(doc_id: Column, seed: int) -> Column:
@@ -102,31 +115,31 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def _probabilities(keyed: DataFrame, targets: dict[str, Target], budget: float, rounds: int) -> DataFrame:
-    cells = keyed.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.count(F.lit(1)).alias("docs"), F.sum("__tokens").alias("tokens"))
-    return calibrate(rake(materialize(cells, "cells"), targets, rounds), budget)
-
-
 DEFAULT_TARGETS: dict[str, Target] = {"source": 0.7, "lang": 0.8, "topic": 1.0}
 
 
-def _placed(docs: DataFrame, targets: dict[str, Target], budget: float, topic: str | None, rounds: int, seed: int) -> DataFrame:
-    keyed = _keyed(docs, topic)
-    chance = _probabilities(keyed, targets, budget, rounds).select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("probability").alias("__p"), F.col("weight").alias("__w"))
+def _placed(docs: DataFrame, targets: dict[str, Target], budget: float, topic: str | None, rounds: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """docs with tokens, margins, probability, weight and whether it is sampled, and these columns' names."""
+    keyed, (tokens, *margins) = _keyed(docs, topic)
+    p, w, taken = free_names(keyed, "__p", "__w", "__sampled")
+    cells = keyed.groupBy(*[F.col(c).alias(m) for c, m in zip(margins, MARGINS, strict=True)]).agg(F.count(F.lit(1)).alias("docs"), F.sum(tokens).alias("tokens"))
+    chance = calibrate(rake(materialize(cells, "cells"), targets, rounds), budget)
+    chance = chance.select(*[F.col(m).alias(c) for c, m in zip(margins, MARGINS, strict=True)], F.col("probability").alias(p), F.col("weight").alias(w))
     # The cells are aggregates of three category columns; Spark broadcasts them while they are small and shuffles otherwise.
-    return keyed.join(chance, [f"__{m}" for m in MARGINS], "left").withColumn("__sampled", draw(F.col("doc_id"), seed) < F.col("__p"))
+    return keyed.join(chance, margins, "left").withColumn(taken, draw(F.col("doc_id"), seed) < F.col(p)), [tokens, *margins, p, w, taken]
 
 
 def weigh(docs: DataFrame, targets: dict[str, Target] = DEFAULT_TARGETS, budget: float = 0.5, topic: str | None = None, rounds: int = 24, seed: int = 17) -> DataFrame:
     """doc_id, n_tokens, topic, cell_weight, probability, sampled for every row of docs."""
-    own = [c for c in ("doc_id", "text", "source", "lang", topic) if c]
-    out = _placed(docs.select(*own), targets, budget, topic, rounds, seed)
-    return out.select(F.col("doc_id").cast("long"), F.col("__tokens").alias("n_tokens"), F.col("__topic").alias("topic"), F.round("__w", 9).alias("cell_weight"), F.col("__p").alias("probability"), F.col("__sampled").alias("sampled"))
+    own = [c for c in dict.fromkeys(("doc_id", "text", "source", "lang", topic)) if c]
+    out, (tokens, _, _, band, p, w, taken) = _placed(docs.select(*own), targets, budget, topic, rounds, seed)
+    return out.select(F.col("doc_id").cast("long"), F.col(tokens).alias("n_tokens"), F.col(band).alias("topic"), F.round(w, 9).alias("cell_weight"), F.col(p).alias("probability"), F.col(taken).alias("sampled"))
 
 
 def sample(docs: DataFrame, targets: dict[str, Target] = DEFAULT_TARGETS, budget: float = 0.5, topic: str | None = None, rounds: int = 24, seed: int = 17) -> DataFrame:
     """The sampled rows of docs, with all their columns."""
-    return _placed(docs, targets, budget, topic, rounds, seed).where("__sampled").select(*docs.columns)
+    out, names = _placed(docs, targets, budget, topic, rounds, seed)
+    return out.where(F.col(names[-1])).select(*docs.columns)
 
 
 def oracle_sql(budget: float = 0.5, rounds: int = 24, seed: int = 17) -> str:

@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillscan.llm import mixing
 
@@ -32,8 +33,8 @@ def test_equals_duckdb(spark):
 def test_raked_margins_meet_the_targets(spark):
     targets = {"source": {"hot": 0.2, "a": 0.3, "b": 0.5, "absent": 9.0}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"short": 0.4, "medium": 0.4, "long": 0.2}}
     docs = spark.createDataFrame([r for r in rows() if r[2] in ("en", "de") and r[3] in ("hot", "a", "b")], SHAPE)
-    keyed = mixing._keyed(docs, None)
-    cells = keyed.groupBy(*[keyed[f"__{m}"].alias(m) for m in mixing.MARGINS]).agg({"__tokens": "sum", "doc_id": "count"}).toDF(*mixing.MARGINS, "tokens", "docs")
+    keyed, (tokens, *names) = mixing._keyed(docs, None)
+    cells = keyed.groupBy(*[keyed[c].alias(m) for c, m in zip(names, mixing.MARGINS, strict=True)]).agg({tokens: "sum", "doc_id": "count"}).toDF(*mixing.MARGINS, "tokens", "docs")
     raked = mixing.rake(cells, targets, rounds=60).toPandas()
     for m in mixing.MARGINS:
         shares = {k: v for k, v in targets[m].items() if k != "absent"}
@@ -54,4 +55,6 @@ def test_sample_keeps_columns_and_follows_the_probabilities(spark):
     assert expected == pytest.approx(0.5 * sum(r["n_tokens"] for r in weighed), rel=1e-4)
     assert abs(sum(r["n_tokens"] for r in weighed if r["sampled"]) / expected - 1) < 0.2
     assert mixing.sample(docs.limit(0)).count() == 0
+    odd = docs.withColumns({c: F.lit("x") for c in ("__tokens", "__SOURCE", "__topic", "__p", "__w", "__sampled")})
+    assert mixing.sample(odd).select(*docs.columns).exceptAll(taken).count() == 0 and mixing.sample(odd).where("__tokens = 'x' AND __p = 'x'").count() == taken.count()
     assert mixing.weigh(docs, topic="weight").where("topic = '7'").count() == 600
