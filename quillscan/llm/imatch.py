@@ -2,11 +2,12 @@
 frequency are sorted and hashed once for each of many randomised subsets of the lexicon; two texts are alike to the
 degree that these hashes agree.
 
-Terms (runs of letters and digits, lower-cased) are known by their 64-bit hash. Document frequencies are counted over all documents in 2^18
+Terms (runs of letters and digits, lower-cased) are known by their 64-bit hash. Document frequencies are counted over all documents in 2^22
 cells chosen by bits of that hash, so the lexicon's band is a bitmap of fixed size whatever the vocabulary, and looking up a
 term is a constant-time test in the row: no join, no shuffle of terms. A cell's count is the sum over its terms, so
-rare terms may look more frequent than they are, by their share of the documents' distinct terms divided by 2^18; that is far below the band's upper
-edge at any size of the corpus. Other bits of the hash choose the subsets: four levels with 32 disjoint random
+rare terms may look more frequent than they are: of v distinct terms beside it a term shares its cell with v / 2^22. The band's lower edge
+holds while the vocabulary is below a few million terms and fades beyond (exact counts would move every distinct term of every document twice); the
+upper edge holds at any size. Other bits of the hash choose the subsets: four levels with 32 disjoint random
 subsets each, of 1/32, 1/128, 1/512 and 1/4096 of the lexicon, so that short and long texts both have subsets with a
 few of their terms. Likeness is the share of agreeing hashes among the subsets that either text has terms in, at the
 level where it is highest.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillscan.llm.common import range_of, shuffle_partitions
 
-CELLS = 18  # bits
+CELLS = 22  # bits
 SUBSETS = 32
 #: (first bit of the hash, bits) of each level
 LEVELS = ((0, 5), (5, 7), (12, 9), (21, 12))
@@ -41,13 +42,13 @@ def _cell(h: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: int = 2, high: float = 0.02) -> list[int]:
-    """The band as a bitmap in 2^12 longs: cells whose documents number at least `low` and at most `high` of all."""
+    """The band as a bitmap in 2^16 longs: cells whose documents number at least `low` and at most `high` of all."""
     cells = docs.select(F.array_distinct(F.transform(_terms(F.coalesce(F.col("text").cast("string"), F.lit(""))), _cell)).alias("cells"))
     total = docs.count()
     counts = cells.select(F.explode("cells").alias("cell")).groupBy("cell").count().where((F.col("count") >= low) & (F.col("count") <= max(high * total, low)))
     words = counts.groupBy(F.shiftright("cell", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 AS int)))").alias("bits"))
     found = [0] * (1 << CELLS - 6)
-    for r in words.collect():  # 4096 rows at most
+    for r in words.collect():  # 65,536 rows at most
         found[r["at"]] = r["bits"]
     return found
 
