@@ -13,7 +13,8 @@ characters with a sum of NEED is widened to the separators (= / _ -) around it.
 Positions are code points, ends exclusive. A pattern's matches are leftmost and non-overlapping, and a match that
 fails its length test is dropped after it has consumed its text. Added spans never overlap base spans.
 
-Defined results: a null text counts as empty and has no spans; repeated rows are scanned alike; other columns,
+A run without a digit or without a letter is not asked about by `scan`. Defined results: an empty table gives no rows; very long texts are scanned
+whole. A null text counts as empty and has no spans; repeated rows are scanned alike; other columns,
 whatever their names, are kept by `redact` and ignored by `scan`.
 """
 
@@ -26,6 +27,9 @@ from base64 import b64encode
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillscan.functions import native
+from quillscan.llm.common import free_names
+
 # The base patterns, in both engines' common dialect.
 _ANY_CASE = {c: f"[{c.upper()}{c}]" for c in "abcdefghijklmnopqrstuvwxyz"}
 _NAMES = "|".join("".join(_ANY_CASE.get(c, c) for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
@@ -101,7 +105,7 @@ def _matches(text: Column, pattern: str, ordinal: int, group: int, least: int) -
     found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
     tested = found if group == 0 else F.regexp_extract_all(text, p, F.lit(group))
     steps = F.zip_with(F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))), tested, lambda x, t: F.struct(x["g"].alias("g"), x["m"].alias("m"), F.length(t).alias("t")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["g"]
@@ -109,7 +113,7 @@ def _matches(text: Column, pattern: str, ordinal: int, group: int, least: int) -
         span = F.struct(begin.alias("s"), F.lit(ordinal).alias("k"), end.alias("e"))
         return F.struct(end.alias("at"), F.when(x["m"].isNotNull() & (x["t"] >= least), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda a: a["out"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.when(text.rlike(pattern), native.folded(steps, step, lambda x: x["g"] + F.coalesce(x["m"], F.lit(0)), none)).otherwise(none)
 
 
 def _ratio(token: Column, table: list[int]) -> Column:
@@ -147,22 +151,22 @@ def _stretches(token: Column, table: list[int], begin: Column) -> Column:
     return F.aggregate(steps, state(F.lit(0), F.lit(0), F.lit(0), F.lit(0), none), step, put)
 
 
-def with_spans(docs: DataFrame, table: list[int], closer: bool = False) -> DataFrame:
-    """docs with __base and __all: arrays of (start, ordinal of the kind, end), by start and then kind; `closer` adds the random stretches of runs."""
+def with_spans(docs: DataFrame, table: list[int], closer: bool = False, names: tuple[str, str] = ("__base", "__all")) -> DataFrame:
+    """docs with two columns, by their names the base spans and all spans: arrays of (start, ordinal of the kind, end), by start and then kind; `closer` adds the random stretches of runs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = F.array_sort(F.concat(*[_matches(text, p, k, g, n) for k, (_, p, g, n) in enumerate(BASE)]))
-    docs = docs.withColumn("__base", base)
+    docs = docs.withColumn(names[0], base)
     runs = _matches(text, CANDIDATE, len(BASE), 0, 20)
 
     def added(x: Column) -> Column:
         token = F.substring(text, x["s"] + 1, x["e"] - x["s"])
-        apart = ~F.exists("__base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+        apart = ~F.exists(names[0], lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
         return apart & token.rlike("[0-9]") & token.rlike("[A-Za-z]") & _ratio(token, table)
 
-    spans = ["__base", F.filter(runs, added)]
+    spans = [names[0], F.filter(runs, added)]
     if closer:
         spans.append(F.flatten(F.transform(runs, lambda x: _stretches(F.substring(text, x["s"] + 1, x["e"] - x["s"]), table, x["s"]))))
-    return docs.withColumn("__all", F.array_sort(F.concat(*spans)))
+    return docs.withColumn(names[1], F.array_sort(F.concat(*spans)))
 
 
 def _written(spans: str) -> Column:
@@ -182,17 +186,18 @@ def scan(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
 def redact(docs: DataFrame, samples: DataFrame | None = None, placeholder: str = PLACEHOLDER) -> DataFrame:
     """docs with every span of the text replaced (spans that overlap by one placeholder), n_chars counted anew where it is a column."""
     table = train(samples if samples is not None else samples_table(docs.sparkSession))
-    found = with_spans(docs, table, closer=True)
+    base, every = free_names(docs, "__base", "__all")
+    found = with_spans(docs, table, closer=True, names=(base, every))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         kept = F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"])
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], F.concat(acc["out"], kept, F.lit(placeholder))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("__all", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("__all") > 0, clean).otherwise(F.col("text")))
+    clean = F.aggregate(every, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    out = found.withColumn("text", F.when(F.size(every) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(every) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

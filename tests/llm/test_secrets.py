@@ -79,3 +79,11 @@ def test_redaction_of_secrets_glued_to_names_and_paths(spark):
     assert sum(out[k] != t for k, t in plain) == 0
     row = spark.createDataFrame([(1, "0123456789abcdef01234567_config_Zq8vX2mP9kLr4TnB7wYc1HsD ok")], "doc_id long, text string")
     assert re.fullmatch(r"\[SECRET\]_(config_)?\[SECRET\] ok", secrets.redact(row).first()["text"])
+
+
+def test_columns_of_any_name_and_very_many_matches(spark):
+    text = "token=abcdef1 " * 3_000
+    docs = spark.createDataFrame([(1, text, "b", "a", 7)], "doc_id long, text string, __base string, __all string, n int")
+    got = secrets.redact(docs).first()
+    assert got["__base"] == "b" and got["__all"] == "a" and got["text"] == f"{secrets.PLACEHOLDER} " * 3_000
+    assert secrets.scan(docs).first()["n_assign"] == 3_000
