@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder all executors share: the session's spark.checkpoint.dir, else (local mode, as in tests) one of our own.
+    On a cluster a machine's own folder would lose rows, so there the setting is needed."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillscan-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -34,6 +37,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text modulo folds; a null id falls in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0))

@@ -14,12 +14,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round shuffles the links alone and writes them to the shared folder, so that a lost executor costs one round.
     A star's centre may hold most links: each step takes the least neighbour by a pre-aggregated minimum and joins it back, which
-    adaptive execution splits when it is skewed."""
+    adaptive execution splits when it is skewed. The rounds needed grow with the logarithm of the longest path; if `rounds` don't
+    suffice, that is an error."""
     edges = materialize(_down(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).distinct(), "links")
     state = _state(edges)
-    for _ in range(rounds):
+    for done in range(rounds + 1):
         if not state[0]:
             break
+        if done == rounds:
+            raise RuntimeError(f"components are not complete after {rounds} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
