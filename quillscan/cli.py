@@ -77,7 +77,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     if a.monitor:
         from quillscan.streaming import monitor
 
-        monitor.watch(spark, a.paths[0], settings, os.path.join(a.output or ".", ".quillscan-monitor"), rules, transport, say).awaitTermination()
+        monitor.watch(spark, list(a.paths), settings, os.path.join(a.output or ".", ".quillscan-monitor"), rules, transport, say).awaitTermination()
         return 0
     accepted = files.accepted(spark, a.baseline) if a.baseline and not a.write_baseline else None
     result = oneshot.run(spark, options, rules, accepted)

@@ -97,31 +97,75 @@ def archive_findings(archives: DataFrame, rules: list[Rule] | None = None) -> Da
     return found.withColumn("subject", F.split("file", split)[0]).withColumn("file", F.split("file", split)[1])
 
 
-def watch(spark: SparkSession, folder: str, config: Config, checkpoint: str, rules: list[Rule] | None = None, transport: notify.Transport = notify.post, show: Callable[[str], None] = print, once: bool = False):
+def next_state(scanned: DataFrame, found: DataFrame, state: DataFrame | None) -> DataFrame:
+    """(subject, keys) after a scan of the subjects scanned(subject) that gave found(subject, key): a scan replaces what its
+    subject had, by nothing if it is clean; the other subjects of state(subject, keys) stay."""
+    keys = found.groupBy("subject").agg(F.collect_set("key").alias("keys"))
+    now = scanned.select("subject").distinct().join(keys, "subject", "left").select("subject", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
+    return now if state is None else now.unionByName(state.join(now.select("subject"), "subject", "left_anti"))
+
+
+def watch(
+    spark: SparkSession,
+    folders: str | list[str],
+    config: Config,
+    checkpoint: str,
+    rules: list[Rule] | None = None,
+    transport: notify.Transport = notify.post,
+    show: Callable[[str], None] = print,
+    once: bool = False,
+    subject: Callable[[F.Column], F.Column] = lambda path: path,
+    documents: Callable[[DataFrame], DataFrame] | None = None,
+):
     """Starts the file stream: each batch's subjects are scanned, compared with their previous findings in the shared folder
-    and, where something is new, shown and sent."""
+    and, where something is new, shown and sent.
+
+    `subject` says whose version a file is: an edit lands as a new file, and a subject's later file replaces its earlier one. The state is one compacted table,
+    written anew by each batch (the batch before is kept until then, for a restart). With `config.registry`, each batch also polls: `documents` gives the registry's
+    (name, json) for wanted(name), and changed versions are shown."""
+
+    folders = [folders] if isinstance(folders, str) else list(folders)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+
+    def at(kind: str, number: int) -> str:
+        return f"{checkpoint.rstrip('/')}/{kind}-{number}"
+
+    def drop(path: str) -> None:
+        where = hadoop.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def handle(batch: DataFrame, number: int) -> None:
-        found = scan.deduplicate(findings_of(batch, rules)).withColumn("subject", F.col("file")).withColumn("key", scan.key())
-        path = f"{checkpoint.rstrip('/')}/findings"
-        now = f"{path}/batch={number}"
-        found.write.mode("overwrite").parquet(now)
-        found = spark.read.parquet(now)
-        fresh = new_since(found, _previous(spark, path, number))
-        for r in fresh.select("subject").distinct().toLocalIterator():
+        named = batch.withColumn("subject", subject(F.col("path")))
+        of = named.select(F.col("path").alias("file"), "subject")
+        found = scan.deduplicate(findings_of(batch, rules)).join(of, "file").withColumn("key", F.concat_ws(":", "rule_id", "subject", F.col("line").cast("string"), F.col("column").cast("string")))
+        found.write.mode("overwrite").parquet(at("findings", number))
+        found = spark.read.parquet(at("findings", number))
+        state = spark.read.parquet(at("state", number - 1)) if number else None
+        next_state(named, found, state).write.mode("overwrite").parquet(at("state", number))
+        previous = state.select("subject", F.explode("keys").alias("key")) if number else spark.createDataFrame([], "subject string, key string")
+        for r in new_since(found, previous).select("subject").distinct().toLocalIterator():
             rows = scan.ordered(found.where(F.col("subject") == r["subject"]))
             o = outcome(r["subject"], rows, score.scores(rows, subject="subject"))
             show(notify.summary(o))
             notify.dispatch(config.targets, o, transport)
-
-    stream = changed_files(spark, folder).writeStream.foreachBatch(handle).option("checkpointLocation", os.path.join(checkpoint, "stream"))
+        if config.registry and documents is not None:
+            manifests = batch.where(files.is_manifest(F.col("path")))
+            known = spark.read.parquet(at("known", number - 1)) if number else None
+            wanted = manifest.merged(manifest.dependencies(manifests)).select("name")
+            if known is not None:
+                wanted = wanted.unionByName(known.select("name")).distinct()
+            polled = documents(wanted)
+            latest = files.registry_versions(polled)
+            now = latest.select("name", "version")
+            now = now if known is None else now.unionByName(known.select("name", "version").join(now, "name", "left_anti"))
+            now.write.mode("overwrite").parquet(at("known", number))
+            for r in to_download(latest, known).toLocalIterator():
+                show(f"{r['name']} {r['version']} — {r['tarball']}")
+        for kind in ("findings", "state", "known"):
+            drop(at(kind, number - 2))
+
+    batches = changed_files(spark, folders[0])
+    for f in folders[1:]:
+        batches = batches.unionByName(changed_files(spark, f))
+    stream = batches.writeStream.foreachBatch(handle).option("checkpointLocation", os.path.join(checkpoint, "stream"))
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime=f"{config.interval_s:g} seconds")).start()
-
-
-def _previous(spark: SparkSession, path: str, number: int) -> DataFrame:
-    """Each subject's latest findings before a batch."""
-    if number == 0:
-        return spark.createDataFrame([], "subject string, key string")
-    seen = spark.read.schema("subject string, key string, batch int").option("ignoreMissingFiles", "true").option("basePath", path).parquet(path).where(F.col("batch") < number)
-    last = seen.groupBy("subject").agg(F.max("batch").alias("batch"))
-    return seen.join(last, ["subject", "batch"]).select("subject", "key")

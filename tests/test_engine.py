@@ -232,6 +232,28 @@ def test_watching_a_folder(spark, tmp_path):
     assert [s["finding_count"] for s in sent] == [1, 2]
 
 
+def test_a_finding_that_goes_and_comes_back_is_new_again(spark, tmp_path):
+    folders, lines = [tmp_path / "v", tmp_path / "w"], []
+    for f in folders:
+        f.mkdir()
+    settings = config.Config(registry=True)
+    version = lambda path: F.regexp_replace(path, r"@[0-9]+(?=[.])", "")
+    registry = {"lodash": "1.0"}
+
+    def documents(wanted):
+        names = [r["name"] for r in wanted.collect()]
+        table = [(n, json.dumps({"dist-tags": {"latest": v}, "versions": {v: {"dist": {"tarball": f"{n}-{v}"}}}})) for n, v in registry.items() if n in names]
+        return spark.createDataFrame(table, "name string, json string")
+
+    (folders[1] / "package.json").write_text('{"dependencies": {"lodash": "1"}}')
+    for k, text in enumerate(["eval(x)", "eval(x)", "let a = 1", "eval(x)"]):
+        (folders[0] / f"a@{k}.js").write_text(text)
+        registry["lodash"] = "1.0" if k < 3 else "2.0"
+        monitor.watch(spark, [str(f) for f in folders], settings, str(tmp_path / "state"), show=lines.append, once=True, subject=version, documents=documents).awaitTermination()
+    assert [line.split("/")[-1] for line in lines if "a.js" in line] == [line.split("/")[-1] for line in lines if "a.js" in line][:1] * 2
+    assert [line for line in lines if line.startswith("lodash")] == ["lodash 1.0 — lodash-1.0", "lodash 2.0 — lodash-2.0"]
+
+
 def test_findings_as_lines(spark):
     sources = spark.createDataFrame([("a.js", "eval(x)")], "path string, content string")
     assert json.loads(report.finding_lines(scan.scan(sources)).first()["value"])["rule_id"] == "OBF-001"
