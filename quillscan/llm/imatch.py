@@ -11,7 +11,7 @@ subsets each, of 1/32, 1/128, 1/512 and 1/4096 of the lexicon, so that short and
 few of their terms. Likeness is the share of agreeing hashes among the subsets that either text has terms in, at the
 level where it is highest.
 
-A text with fewer than `few` terms in the band is fingerprinted by all its terms. Defined results: a null text counts
+A text with fewer than `few` terms in the band is fingerprinted by all its terms. Defined results: an empty table gives no rows, and very long texts are read whole; a null text counts
 as empty; it and any text without terms have the fingerprint of no terms. Equal texts have equal fingerprints; equal fingerprints have likeness one.
 Repeated rows follow one another; null ids come last. Extra columns are ignored.
 """

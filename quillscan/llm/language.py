@@ -7,7 +7,7 @@ documents, scaled to unit length. Document frequencies cover every training docu
 sample of labelled rows: about `max_train_rows` for each language, drawn by a stable hash of the id, of which a fifth
 sets the temperature.
 
-Defined results: a null text, or one without a letter, gets `und` with score 0. Rows with a null lang, or without a
+Defined results: an empty table gives no rows, and very long texts are read whole; a null text, or one without a letter, gets `und` with score 0. Rows with a null lang, or without a
 letter, teach nothing. Without any teaching row every prediction is `und`. Repeated rows are predicted alike. Extra
 columns are ignored.
 """

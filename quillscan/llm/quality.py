@@ -5,7 +5,7 @@ Statistics are taken from whole texts, in Arrow batches on the executors. The tr
 statistics (never the texts) of a bounded sample of labelled rows: `max_train_rows`, drawn by a stable hash of the
 row's id. Everything else covers all rows.
 
-Defined results: a null text counts as empty and gets a score like any other text. Labels with a null id or a null
+Defined results: an empty table gives no rows, and very long texts are read whole; a null text counts as empty and gets a score like any other text. Labels with a null id or a null
 quality are not used; an id labelled several times counts with the mean of its labels, rounded half up; repeated
 ids of documents teach once. Without any usable label all scores are 0.5; with labels of one class only, that class.
 Extra columns of the input are ignored by `score` and kept by `keep_good`.

@@ -13,7 +13,7 @@ it would grow with the corpus.
 Copies never multiply: equal fingerprints are one node, and a tree query only joins the asker to trees' members by
 union-find, so a shard emits one link for each member at most, never all its pairs.
 
-Defined results: a null text counts as empty; texts without words have fingerprint zero, linked like any other. A null
+Defined results: an empty table gives no rows, and very long texts are read whole; a null text counts as empty; texts without words have fingerprint zero, linked like any other. A null
 doc_id is kept: its row gets the component of its fingerprint, null where no row of the component has an id. Repeated rows get one result row each.
 Extra columns are ignored by `near_duplicates` and kept by `drop_near_duplicates`.
 """

@@ -10,7 +10,7 @@ Rules: `start` gives a crossing token to the section that holds its first code p
 `majority` to the section with most of its code points (ties: the earlier one), `shared` splits it in proportion to
 its code points in each section. Under every rule a document's counts sum to its tokens.
 
-Defined results: a null or empty text has no tokens and no sections. Default sections are lines, a line feed belonging
+Defined results: an empty table gives no rows, and very long texts are read whole; a null or empty text has no tokens and no sections. Default sections are lines, a line feed belonging
 to the line it ends; text after the last line feed is a section. Special tokens' strings are ordinary text. Repeated
 rows count once each. Extra columns are ignored.
 """
