@@ -13,7 +13,9 @@ so the one finite path is the encoding, and a boundary state also names the piec
 
 No piece spans from another character to the space sign, so all paths meet before each space sign: there the matrix has rank
 one, the words between two such places are solved once (and remembered, up to a bound), and only the word at a
-chunk's start is solved for each entry state. Characters without a piece become their UTF-8 bytes' pieces.
+chunk's start is solved for each entry state. Words are cut further where two neighbouring characters stand together in no
+piece, as between a letter and a comma: no piece and no merge crosses such a cut. Characters without a piece become their UTF-8
+bytes' pieces.
 
 Defined results: an empty table gives no rows. A null or empty text has no tokens. Very long texts are cut into chunks as above,
 never short. Of several unigram segmentations with equal weight one is
@@ -44,7 +46,7 @@ SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _LOADED: dict[str, Model] = {}
 #: Remembered words and neighbour tests of one process; beyond it they are forgotten and found again.
-WORDS, PAIRS = 120_000, 250_000
+WORDS, PAIRS = 250_000, 500_000
 #: Chunks whose matrices one task combines; with two levels that is enough for any string Spark can hold.
 GROUP = 256
 #: Characters of text encoded before what was found is handed on.
@@ -96,9 +98,35 @@ class Model:
                 node = node[c]
             own = ((len(p), self.ids[p]),) if p in self.ids else ((1, -ord(p) - 1),) if len(p) == 1 else ()
             node[p[-1]] = {"": own + node[""]}
+        self.parts = self._cutter()
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _cutter(self) -> re.Pattern:
+        """Splits text into runs that no piece crosses: each is some space signs and characters which pieces join, directly or by
+        way of others. A character that no piece joins to any stands alone."""
+        joins: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while (up := joins.setdefault(c, c)) != c:
+                joins[c] = joins[up]
+                c = up
+            return c
+
+        joined: set[str] = set()
+        for p in self.ids:
+            body = p.lstrip(SPACE)
+            for a, b in zip(body, body[1:], strict=False):
+                joined |= {a, b}
+                joins[root(a)] = root(b)
+        groups: dict[str, list[str]] = {}
+        for c in sorted(joined):
+            groups.setdefault(root(c), []).append(c)
+        sets = sorted(groups.values(), key=len, reverse=True)
+        sets = [*sets[:8], [c for more in sets[8:] for c in more]] if len(sets) > 8 else sets
+        runs = [f"[{''.join(map(re.escape, c))}]+" for c in sets] + [f"[^{SPACE}{''.join(map(re.escape, sorted(joined)))}]"]
+        return re.compile(f"{SPACE}*(?:{'|'.join(runs)})|{SPACE}+")
+
     def follows(self, a: int, b: int) -> bool:
         """Whether piece b may stand after piece a (pieces below 0 are characters without one; 0 is a text's start)."""
         if not self.bpe or a <= 0 or b <= 0:
@@ -225,8 +253,9 @@ class Model:
                 self.words[w] = got
         return got
 
-    def all_words(self, ws: list[str]) -> bytes:
-        """The ids of many words in turn."""
+    def all_words(self, s: str) -> bytes:
+        """The ids of a text that ends where all paths meet, word by word."""
+        ws = self.parts.findall(s)
         got = list(map(self.words.get, ws))
         if None in got:
             got = [self.word(w) if x is None else x for w, x in zip(ws, got, strict=True)]
@@ -366,8 +395,8 @@ class Model:
         if start > meet or meet == end:
             return self.spelled(self._to(s, start, way[1], end, goal, out[1]))
         head = self.trace(self.paths(s, [(start, way[1], 0.0)], meet), meet)
-        words = _WORD.findall(s[meet:end])
-        return self.spelled(head) + self.all_words(words[:-1]) + self.spelled(self._to(s, end - len(words[-1]), 0, end, goal, out[1]))
+        edge = end - len(_WORD.findall(s[meet:end])[-1])
+        return self.spelled(head) + self.all_words(s[meet:edge]) + self.spelled(self._to(s, edge, 0, end, goal, out[1]))
 
     def _to(self, s: str, start: int, last: int, end: int, goal: int, piece: int) -> list[int]:
         best = self.paths(s, [(start, last, 0.0)], end)
@@ -385,7 +414,7 @@ class Model:
             plan = scan([self.transfer(*c, k == 0, k == n - 1) for k, c in enumerate(chunks)])
             ids = b"".join(self.backtrace(*c, way, out) for c, (way, out) in zip(chunks, plan, strict=True))
         elif self.meet:
-            ids = self.all_words(_WORD.findall(chunks[0][1]))
+            ids = self.all_words(chunks[0][1])
         else:
             body = chunks[0][1]
             ids = self.spelled(self.trace(self.paths(body, [(0, 0, 0.0)], len(body)), len(body)))

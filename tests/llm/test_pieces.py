@@ -47,6 +47,22 @@ def test_long_words_and_no_space_at_all():
         assert model.encode(text, 64).tolist() == library.encode(text)
 
 
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+def test_no_piece_crosses_a_cut(kind):
+    model, rng = pieces.Model(proto(kind)), random.Random(6)
+    assert all(len(model.parts.findall(p)) == 1 for p in model.ids)
+    joins = {p.lstrip("▁")[k : k + 2] for p in model.ids for k in range(len(p.lstrip("▁")) - 1)}
+    signs = [*"aeZ,.;)(-&#|'\\]^▁\n\t ", "é", "ñ", "Ж", "ё", "日", "本", "据数", "الا", "𝕏", "·"]
+    library = sentencepiece.SentencePieceProcessor(model_proto=proto(kind))
+    for _ in range(500):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 50)))
+        parts = model.parts.findall(model.normalised(text))
+        assert "".join(parts) == model.normalised(text)
+        assert not any(x[-1] + y[0] in joins for x, y in zip(parts, parts[1:], strict=False))
+        if kind == "bpe":
+            assert model.encode(text).tolist() == model.encode(text, 7).tolist() == library.encode(text)
+
+
 def test_neighbour_rule_equals_merging():
     model, rng = pieces.Model(proto("bpe")), random.Random(2)
     known = list(model.text)
