@@ -53,3 +53,40 @@ def test_edited_copies_go_and_others_stay(spark):
 
 def test_no_rows(spark):
     assert neardup.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def loose_group():
+    """Copies of one text of 150 words with 1 to 14 words changed: some pairs are alike, most aren't, and nearly all meet in a shard."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in rng.choice(2000, 150, replace=False)]
+    texts = []
+    for n in range(240):
+        w = list(base)
+        for at in rng.choice(150, 1 + n % 14, replace=False):
+            w[at] = f"edit{rng.integers(10**6)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def as_groups(found):
+    least = {}
+    for r in found:
+        least[r["root"]] = min(r["doc_id"], least.get(r["root"], r["doc_id"]))
+    return [least[r["root"]] for r in sorted(found, key=lambda r: r["doc_id"])]
+
+
+def test_a_group_of_near_copies_does_not_make_a_row_for_each_pair(spark, monkeypatch):
+    texts, pairs, verified = loose_group(), [], neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda p, *more: pairs.append(p.count()) or verified(p, *more))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = slow_groups(texts)
+    assert 20 < len(set(want)) < 200
+    assert as_groups(neardup.near_groups(docs).collect()) == want
+    assert sum(pairs) < 20 * len(texts)
+
+
+def test_pieces_of_a_shard_lose_no_link(spark):
+    texts = loose_group()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limits in ({"shard_rows": 7}, {"shard_hashes": 1500}):
+        assert as_groups(neardup.near_groups(docs, **limits).collect()) == slow_groups(texts)
