@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscan.llm import imatch, language, mixing, neighbours, pieces, quality, repeats, secrets, simhash, tokencount
+from quillscan.llm import imatch, language, licenses, merkle, mixing, neighbours, pieces, quality, repeats, secrets, simhash, tokencount, turns
 from quillscan.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,10 +54,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    return turns.digest(turns.placed(turns.damaged(rows)), rows)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return merkle.verified(merkle.manifest(docs, changed=merkle.tampered(docs)))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {k: f for k, f in list(globals().items()) if k.startswith("op") and callable(f)}
 ORACLE: dict[str, str] = {
     "op1_mixing": mixing.oracle_sql(),
     "op2_secret_scan": secrets.oracle_sql(),
     "op3_nearest_neighbours": neighbours.oracle_sql(),
     "op4_repeat_removal": repeats.oracle_sql(),
+    "op12_merkle_manifest": merkle.oracle_sql(),
 }
