@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quillscan.llm import licenses, queries
@@ -16,26 +17,31 @@ def low(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-def distance_somewhere(notice, text):
-    """{end: fewest edits} of the notice against any stretch of text that ends there (Sellers)."""
-    above = list(range(len(notice) + 1))
-    out = {}
-    for k, c in enumerate(text, 1):
-        now = [0]
-        for j, x in enumerate(notice, 1):
-            now.append(min(above[j] + 1, now[j - 1] + 1, above[j - 1] + (x != c)))
-        above = now
-        out[k] = now[-1]
-    return out
+def stands(n, text):
+    """Whether any stretch of text (words between single spaces) is within the notice's edits and its words hold the core: all starts at once."""
+    if f" {n.core} " not in text:
+        return False
+    m, codes = len(n.words), np.array([ord(c) for c in text] + [0] * (len(n.words) + n.edits))
+    starts = np.arange(len(text))
+    d = [np.full(len(text), j) for j in range(m + 1)]
+    for k in range(1, m + n.edits + 1):
+        c, above = codes[starts + k - 1], d
+        d = [np.full(len(text), k)]
+        for j, x in enumerate(n.words, 1):
+            d.append(np.minimum(np.minimum(above[j], d[j - 1]) + 1, above[j - 1] + (c != ord(x))))
+        for s in np.flatnonzero((d[m] <= n.edits) & (starts + k <= len(text))):
+            part = text[s : s + k]
+            first, last = s + len(part) - len(part.lstrip(" ")), s + len(part.rstrip(" "))
+            if n.core and f" {n.core} " in text[text.rfind(" ", 0, first + 1) : text.find(" ", last) + 1]:
+                return True
+    return False
 
 
 def brute_labels(text):
     words = WORD.findall(low(text))
     joined = f" {' '.join(words)} "
     found = {label for phrase, label in licenses.BASE if f" {phrase} " in joined}
-    for n in licenses.NOTICES:
-        if f" {n.core} " in joined and min(distance_somewhere(n.words, joined).values(), default=99) <= n.edits:
-            found.add(n.label)
+    found |= {n.label for n in licenses.NOTICES if n.label not in found and stands(n, joined)}
     return ",".join(sorted(found))
 
 
