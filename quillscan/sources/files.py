@@ -112,11 +112,11 @@ def archive_members(archives: DataFrame, max_bytes: int = MAX_BYTES) -> DataFram
     return out.where(is_code(F.col("path")) | is_manifest(F.col("path")))
 
 
-def registry_versions(documents: DataFrame) -> DataFrame:
-    """name, version, tarball from registry documents(name, json): the version tagged latest and its archive."""
+def registry_versions(documents: DataFrame, *kept: str) -> DataFrame:
+    """name, version, tarball (and the columns kept) from registry documents(name, json): the version tagged latest and its archive."""
     meta = F.from_json("json", "`dist-tags` map<string,string>, versions map<string,struct<dist:struct<tarball:string>>>")
     rows = documents.withColumn("m", meta).withColumn("version", F.try_element_at(F.col("m.dist-tags"), F.lit("latest")))
-    return rows.select("name", "version", F.try_element_at(F.col("m.versions"), F.col("version"))["dist"]["tarball"].alias("tarball")).where("version IS NOT NULL AND tarball IS NOT NULL")
+    return rows.select(*kept, "name", "version", F.try_element_at(F.col("m.versions"), F.col("version"))["dist"]["tarball"].alias("tarball")).where("version IS NOT NULL AND tarball IS NOT NULL")
 
 
 def registry_url(base: str, name: str) -> str:

@@ -1,11 +1,11 @@
-"""Continuous monitoring: new and changed files are scanned as a stream, registry polls as snapshots, and only findings
-that the subject's previous scan didn't have are reported. State is the engine's own, so it survives restarts."""
+"""Continuous monitoring: new and changed files are scanned as they come, the registry is polled at its own pace, and only findings
+that the subject's previous scan didn't have are reported. State is Spark's own, so it survives restarts."""
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable, Iterator
+from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,22 +15,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quillscan.functions.catalog import Rule
 from quillscan.operators import manifest, scan, score
 from quillscan.plans import notify
-from quillscan.plans.report import outcome
-from quillscan.sources import files
-from quillscan.sources.config import Config
+from quillscan.plans.report import Outcome
+from quillscan.sources import files, registry
+from quillscan.sources.config import Config, Target
+from quillscan.streaming import state, tree
+from quillscan.streaming.landing import drop, exists, land, landings
+from quillscan.streaming.ticks import ticks
 
-_BINARY = "path string, modificationTime timestamp, length long, content binary"
-
-
-def changed_files(spark: SparkSession, folder: str, per_batch: int | None = None) -> DataFrame:
-    """path, content of code files and manifests as they land below a folder. An edit must land as a new file name or
-    time-stamped copy: the file source reads each name once."""
-    reader = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", "true")
-    if per_batch:
-        reader = reader.option("maxFilesPerTrigger", per_batch)
-    found = reader.load(folder).where(files.is_code(F.col("path")) | files.is_manifest(F.col("path")))
-    text = F.col("content").cast("string")
-    return found.where(files.is_manifest(F.col("path")) | (F.col("length") <= files.MAX_BYTES)).where(F.is_valid_utf8(text)).select("path", text.alias("content"))
+SCANS = "subject string, scan long, key string, payload string"
 
 
 def findings_of(sources: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -97,12 +89,73 @@ def archive_findings(archives: DataFrame, rules: list[Rule] | None = None) -> Da
     return found.withColumn("subject", F.split("file", split)[0]).withColumn("file", F.split("file", split)[1])
 
 
-def next_state(scanned: DataFrame, found: DataFrame, state: DataFrame | None) -> DataFrame:
-    """(subject, keys) after a scan of the subjects scanned(subject) that gave found(subject, key): a scan replaces what its
-    subject had, by nothing if it is clean; the other subjects of state(subject, keys) stay."""
-    keys = found.groupBy("subject").agg(F.collect_set("key").alias("keys"))
-    now = scanned.select("subject").distinct().join(keys, "subject", "left").select("subject", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
-    return now if state is None else now.unionByName(state.join(now.select("subject"), "subject", "left_anti"))
+def scanned(subjects: DataFrame, found: DataFrame, number: int) -> DataFrame:
+    """SCANS of subjects(subject) and their findings found(subject, ...): each finding with its key and all of it as JSON, and a row without a key for
+    each subject that is clean."""
+    key = F.concat_ws(":", "rule_id", "subject", F.col("line").cast("string"), F.col("column").cast("string"))
+    rows = found.select("subject", key.alias("key"), F.to_json(F.struct(*scan.COLUMNS)).alias("payload"))
+    every = subjects.select("subject").distinct().join(rows, "subject", "left")
+    return every.select("subject", F.lit(number).cast("long").alias("scan"), "key", "payload")
+
+
+def reports(fresh: DataFrame, verbose: bool = False) -> DataFrame:
+    """subject, scan, fresh, line, outcome (JSON) of each scan in state.fresh_findings' rows that has something new; with `verbose`, of every scan."""
+    each = Window.partitionBy("subject", "scan")
+    kept = fresh if verbose else fresh.withColumn("any", F.max("fresh").over(each)).where("any").drop("any")
+    one = kept.withColumn("id", F.concat_ws("\u0001", F.col("scan").cast("string"), "subject"))
+    found = one.where("key IS NOT NULL").select("id", "fresh", F.from_json("payload", scan.FINDINGS).alias("f")).select("id", "fresh", "f.*")
+    parts = found.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("severity_rank")).alias("o"), "file", "deobfuscated", "rule_ordinal", "match_ordinal", F.struct(*scan.COLUMNS).alias("f")))).alias("found"), F.max("fresh").alias("fresh")
+    )
+    parts = parts.join(score.scores(found, subject="id"), "id")
+    rows = one.select("id", "subject", "scan").distinct().join(parts, "id", "left")
+
+    @F.pandas_udf("line string, outcome string")
+    def told(subject: pd.Series, facts: pd.Series) -> pd.DataFrame:
+        out = [Outcome(s, **json.loads(f)) for s, f in zip(subject, facts, strict=True)]
+        return pd.DataFrame({"line": [notify.summary(o) if o.findings else f"{o.subject} — clean" for o in out], "outcome": [json.dumps(asdict(o)) for o in out]})
+
+    listed = F.when(F.col("found").isNotNull(), F.transform("found", lambda x: x["f"])).otherwise(F.array().cast(f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in scan.FINDINGS.split(', '))}>>"))
+    facts = F.struct(
+        listed.alias("findings"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("level", F.lit("CLEAN")).alias("level"), F.coalesce("verdict", F.lit("PASS")).alias("verdict"),
+        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("categories", F.array().cast("array<struct<category:string,findings:int,points:int>>")).alias("categories"),
+    )
+    rows = rows.withColumn("t", told("subject", F.to_json(facts)))
+    return rows.select("subject", "scan", F.coalesce("fresh", F.lit(False)).alias("fresh"), "t.line", "t.outcome")
+
+
+def send(row: dict, targets: tuple[Target, ...], transport: notify.Transport) -> list[str]:
+    """Sends a report to the targets that fire, if it has something new; the errors."""
+    if not row["fresh"]:
+        return []
+    o = json.loads(row["outcome"])
+    return [e for e in notify.dispatch(targets, Outcome(**o), transport) if e is not None]
+
+
+def delivered(told: DataFrame, targets: tuple[Target, ...], transport: notify.Transport) -> DataFrame:
+    """subject, scan, line, errors: the reports sent by the tasks that hold them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            errors = ["; ".join(send(r, targets, transport)) for r in b.to_dict("records")]
+            yield pd.DataFrame({"subject": b["subject"], "scan": b["scan"], "line": b["line"], "errors": errors})
+
+    return told.mapInPandas(run, "subject string, scan long, line string, errors string")
+
+
+class Watch:
+    """The queries of a running monitor."""
+
+    def __init__(self, queries: list) -> None:
+        self.queries = queries
+
+    def awaitTermination(self) -> None:  # noqa: N802  as a streaming query's
+        for q in self.queries:
+            q.awaitTermination()
+
+    def stop(self) -> None:
+        for q in self.queries:
+            q.stop()
 
 
 def watch(
@@ -115,57 +168,89 @@ def watch(
     show: Callable[[str], None] = print,
     once: bool = False,
     subject: Callable[[F.Column], F.Column] = lambda path: path,
-    documents: Callable[[DataFrame], DataFrame] | None = None,
-):
-    """Starts the file stream: each batch's subjects are scanned, compared with their previous findings in the shared folder
-    and, where something is new, shown and sent.
-
-    `subject` says whose version a file is: an edit lands as a new file, and a subject's later file replaces its earlier one. The state is one compacted table,
-    written anew by each batch (the batch before is kept until then, for a restart). With `config.registry`, each batch also polls: `documents` gives the registry's
-    (name, json) for wanted(name), and changed versions are shown."""
-
-    folders = [folders] if isinstance(folders, str) else list(folders)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-
-    def at(kind: str, number: int) -> str:
-        return f"{checkpoint.rstrip('/')}/{kind}-{number}"
-
-    def drop(path: str) -> None:
-        where = hadoop.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-    def handle(batch: DataFrame, number: int) -> None:
-        named = batch.withColumn("subject", subject(F.col("path")))
-        of = named.select(F.col("path").alias("file"), "subject")
-        found = scan.deduplicate(findings_of(batch, rules)).join(of, "file").withColumn("key", F.concat_ws(":", "rule_id", "subject", F.col("line").cast("string"), F.col("column").cast("string")))
-        found.write.mode("overwrite").parquet(at("findings", number))
-        found = spark.read.parquet(at("findings", number))
-        state = spark.read.parquet(at("state", number - 1)) if number else None
-        next_state(named, found, state).write.mode("overwrite").parquet(at("state", number))
-        previous = state.select("subject", F.explode("keys").alias("key")) if number else spark.createDataFrame([], "subject string, key string")
-        for r in new_since(found, previous).select("subject").distinct().toLocalIterator():
-            rows = scan.ordered(found.where(F.col("subject") == r["subject"]))
-            o = outcome(r["subject"], rows, score.scores(rows, subject="subject"))
-            show(notify.summary(o))
-            notify.dispatch(config.targets, o, transport)
-        if config.registry and documents is not None:
-            manifests = batch.where(files.is_manifest(F.col("path")))
-            known = spark.read.parquet(at("known", number - 1)) if number else None
-            wanted = manifest.merged(manifest.dependencies(manifests)).select("name")
-            if known is not None:
-                wanted = wanted.unionByName(known.select("name")).distinct()
-            polled = documents(wanted)
-            latest = files.registry_versions(polled)
-            now = latest.select("name", "version")
-            now = now if known is None else now.unionByName(known.select("name", "version").join(now, "name", "left_anti"))
-            now.write.mode("overwrite").parquet(at("known", number))
-            for r in to_download(latest, known).toLocalIterator():
-                show(f"{r['name']} {r['version']} — {r['tarball']}")
-        for kind in ("findings", "state", "known"):
-            drop(at(kind, number - 2))
-
-    batches = changed_files(spark, folders[0])
-    for f in folders[1:]:
-        batches = batches.unionByName(changed_files(spark, f))
-    stream = batches.writeStream.foreachBatch(handle).option("checkpointLocation", os.path.join(checkpoint, "stream"))
-    return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime=f"{config.interval_s:g} seconds")).start()
+    documents: registry.Documents | None = None,
+    fetch: registry.Fetch | None = None,
+    verbose: bool = False,
+    spread: bool = False,
+    every_s: float = 2.0,
+) -> Watch:
+    """Watches folders and the registry, as queries of their own that leave tables for each other in `checkpoint` (a folder that driver and executors share):
+
+    * tree: every `every_s` seconds, files that are new or changed in place are scanned (`tree.changed`);
+    * polls: every `config.interval_s` seconds and at once at the start, whether or not a file changes, `documents` is asked for the dependencies of the
+      manifests that are there then; versions: a package's first or changed version is shown and, with `fetch`, its archive is fetched and scanned as
+      name@version (`state.Versions`);
+    * findings: the scans' findings meet those of the subject's scan before (`state.FindingKeys`); what has something new is shown and sent.
+
+    `subject` says whose version a file is. `verbose` also shows clean subjects, repeated findings and failures. With `spread` the
+    tasks send (`transport` must be picklable then and runs in the executors), else the driver. A batch that was sent isn't sent again when it is replayed; one that fails
+    while it is being sent is sent again as a whole. With `once` all that is due is done and the call returns when it is."""
+    folders, at = [folders] if isinstance(folders, str) else list(folders), checkpoint.rstrip("/")
+    started = []
+
+    def start(name: str, stream: DataFrame, handle: Callable[[DataFrame, int], None], seconds: float) -> None:
+        writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{at}/{name}")
+        with state.state_store(spark):
+            query = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds:g} seconds")).start()
+        if once:
+            query.awaitTermination()
+        started.append(query)
+
+    def scan_tree(batch: DataFrame, number: int) -> None:
+        files_now = tree.changed(spark, folders, f"{at}/snapshots", number)
+        if files_now is not None:
+            named = files_now.withColumn("subject", subject(F.col("path")))
+            found = scan.deduplicate(findings_of(files_now, rules)).join(named.select(F.col("path").alias("file"), "subject"), "file")
+            land(scanned(named, found, number), f"{at}/scans", f"tree-{number}")
+
+    def ask(batch: DataFrame, number: int) -> None:
+        wanted = manifest.merged(manifest.dependencies(tree.manifests(spark, folders))).select(F.lit(number).cast("long").alias("poll"), "name")
+        got = documents(wanted)
+        for c, value in (("poll", F.lit(number).cast("long")), ("error", F.lit(None).cast("string"))):
+            got = got if c in got.columns else got.withColumn(c, value)
+        got = land(got.select("poll", "name", "json", "error"), f"{at}/polled", str(number))
+        if verbose:
+            for r in got.where("error IS NOT NULL").toLocalIterator():
+                show(f"{r['name']}: {r['error']}")
+
+    def download(batch: DataFrame, number: int) -> None:
+        new = land(batch, f"{at}/versions-new", str(number))
+        for r in new.toLocalIterator():
+            show(f"{r['name']} {r['version']} — {r['tarball']}")
+        if fetch is not None:
+            got = land(registry.archives(new, fetch), f"{at}/archives", str(number))
+            if verbose:
+                for r in got.where("error IS NOT NULL").select("subject", "error").toLocalIterator():
+                    show(f"{r['subject']}: {r['error']}")
+            ok = got.where("error IS NULL")
+            found = archive_findings(ok, rules)
+            first = Window.partitionBy("subject", "rule_id", "file", "line", "column").orderBy("deobfuscated", "rule_ordinal", "match_ordinal")
+            found = found.withColumn("k_", F.row_number().over(first)).where("k_ = 1").drop("k_")
+            land(scanned(ok, found, number), f"{at}/scans", f"packages-{number}")
+            drop(spark, f"{at}/archives/{number - 1}")
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        if exists(spark, f"{at}/sent/{number}"):
+            return
+        told = land(reports(batch, verbose), f"{at}/outbox", str(number))
+        if spread:
+            done = land(delivered(told, config.targets, transport), f"{at}/sent", str(number))
+        else:
+            for r in told.toLocalIterator():
+                for e in send(r.asDict(), config.targets, transport):
+                    show(f"{r['subject']}: {e}")
+            done = land(told.select("subject", "scan", "line", F.lit("").alias("errors")), f"{at}/sent", str(number))
+        for r in done.toLocalIterator():
+            show(r["line"])
+            if r["errors"]:
+                show(f"{r['subject']}: {r['errors']}")
+        drop(spark, f"{at}/outbox/{number - 1}")
+
+    if config.watch:
+        start("tree", ticks(spark), scan_tree, every_s)
+    if config.registry and documents is not None:
+        start("polls", ticks(spark), ask, config.interval_s)
+        polled = landings(spark, f"{at}/polled", "poll long, name string, json string, error string").where("json IS NOT NULL")
+        start("versions", state.version_changes(files.registry_versions(polled, "poll")), download, every_s)
+    start("findings", state.fresh_findings(landings(spark, f"{at}/scans", SCANS)), deliver, every_s)
+    return Watch(started)
