@@ -1,7 +1,7 @@
 """The engine's own queries by name, and SQL for those that DuckDB can run beside them.
 
-Three kinds of input: the corpus tables under a rule set of its own (a user catalog, as any user may write), inert samples
-under the built-in rules, and the event table for state differences."""
+Three kinds of input: the corpus tables under a rule set of its own (a user catalog, as any user may write), what `derived` makes of them (scripts that
+hide their words, manifests, registry polls), and the event table for state differences."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from quillscan.functions import matching, native
 from quillscan.functions import packages as P
 from quillscan.functions.catalog import CATEGORIES, POINTS, Rule, builtin_rules, severity_rank
 from quillscan.operators import manifest, scan, score
-from quillscan.plans import notify, report, samples
+from quillscan.plans import derived, notify, report, samples
 from quillscan.sources import files
 from quillscan.sources.config import Target
 from quillscan.sources.tables import read_table
@@ -38,18 +38,6 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
 
 
-def _values(spark: SparkSession, rows: list[tuple], shape: str) -> DataFrame:
-    return spark.createDataFrame(rows, shape)
-
-
-def _rule_samples(spark: SparkSession) -> DataFrame:
-    return _values(spark, [(f"{k}.js", v) for k, v in samples.RULES.items()], "path string, content string")
-
-
-def _manifests(spark: SparkSession) -> DataFrame:
-    return _values(spark, list(samples.MANIFESTS.items()), "path string, content string")
-
-
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.deduplicate(scan.scan(_documents(spark, sf_dir), CORPUS_RULES, deobfuscate=False, any_dialect=True))
 
@@ -67,9 +55,6 @@ def q_scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.scan_stats(docs.unionByName(pages))
 
 
-PATHS = ["a.js", "b.mjs", "c.d.ts", "d.TS", "e.tsx", "node_modules/f.js", "g/package.json", "h.cts", "i.d.mts", "package.json", "j", "k.txt", "dist/l.jsx", "m.cjs"]
-
-
 def q_source_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
 
@@ -78,7 +63,7 @@ def q_source_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
         return path.map(matching.dialect)
 
     pruned = F.arrays_overlap(F.split(p, "/"), F.array(*map(F.lit, files.IGNORED)))
-    return _values(spark, [(x,) for x in PATHS], "path string").select("path", files.is_code(p).alias("code"), files.is_manifest(p).alias("manifest"), dialect("path").alias("dialect"), pruned.alias("pruned"))
+    return derived.paths(spark, sf_dir).select("path", files.is_code(p).alias("code"), files.is_manifest(p).alias("manifest"), dialect("path").alias("dialect"), pruned.alias("pruned"))
 
 
 # --- matching
@@ -110,27 +95,25 @@ def q_literal_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_rule_catalog_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [r for r in builtin_rules() if r.kind == "regex"]
-    return scan.scan(_rule_samples(spark), rules, deobfuscate=False).select("file", "rule_id", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"))
+    return scan.scan(derived.with_samples(spark, sf_dir), rules, deobfuscate=False).select("file", "rule_id", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"))
 
 
 def q_syntax_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each sample under its own rule."""
+    """Each syntax sample under its own rule, behind every document as a comment."""
     rules = [Rule(name, name, name, "low", kind, pattern) for name, kind, pattern, _, _ in samples.SYNTAX]
-    sources = _values(spark, [(f"{name}.js", text) for name, _, _, text, _ in samples.SYNTAX], "path string, content string")
-    found = scan.scan(sources, rules, deobfuscate=False).where(F.col("file") == F.concat("rule_id", F.lit(".js")))
-    return found.select("rule_id", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"))
+    sources = derived.commented(spark, sf_dir)
+    found = scan.scan(sources, rules, deobfuscate=False).join(sources.select(F.col("path").alias("file"), F.col("own").alias("rule_id")), ["file", "rule_id"])
+    return found.select("file", "rule_id", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"))
 
 
 def q_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(f"{k}.js", name, text) for k, (name, text, _, _) in enumerate(samples.REWRITES)]
-    return scan.one_pass(_values(spark, rows, "path string, pass string, content string"))
-
-
-ROUNDS = [("a.js", "eval(atob('YSgp'))", "/* unwrapped:eval */ a()"), ("b.js", "let a = 1", "let a = 1"), ("c.js", "x = 'a' + 'b' + (1 + 1)", "x = 'ab' + 2"), ("d.js", "", "")]
+    """Every word of the documents, hidden in a script by one kind of rewriting and found again by its pass."""
+    return scan.one_pass(derived.hidden(spark, sf_dir))
 
 
 def q_rewrite_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.rewritten(_values(spark, [r[:2] for r in ROUNDS], "path string, content string")).select("path", "content")
+    """Every word of the documents, hidden by several kinds at once and found again by all passes in rounds."""
+    return scan.rewritten(derived.nested(spark, sf_dir)).select("path", "content")
 
 
 def q_builtin_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,13 +151,13 @@ def q_except_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(scan.except_accepted(found, scan.accepted_keys(found.where("severity_rank <> 2"))))
 
 
-SUPPRESSED = [("a", "eval(1)\n// scan-ignore-next-line\neval(2)\neval(3) // scan-ignore-line\neval(4)"), ("b", "eval(5)")]
-
-
 def q_suppressed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = _values(spark, SUPPRESSED, "path string, content string")
-    hits = native.matches(sources, "content", r"eval\(").select(F.col("path").alias("file"), native.line_of(F.col("content"), F.col("offset")).cast("long").alias("line"))
-    return scan.except_suppressed(hits, sources).select("file", "line")
+    """Addresses in documents with exempting comments, by the join and as a scan leaves lines out."""
+    sources, rule = derived.exempted(spark, sf_dir), CORPUS_RULES[2]
+    hits = native.matches(sources, "content", rule.pattern).select(F.col("path").alias("file"), native.line_of(F.col("content"), F.col("offset")).cast("long").alias("line"))
+    joined = scan.except_suppressed(hits, sources).select(F.lit("join").alias("form"), "file", "line")
+    scanned = scan.scan(sources, [rule], deobfuscate=False, any_dialect=True).select(F.lit("scan").alias("form"), "file", F.col("line").cast("long").alias("line"))
+    return joined.unionByName(scanned)
 
 
 def q_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,34 +214,42 @@ def q_event_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_install_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = manifest.check(_manifests(spark)).where("rule_id IN ('MANIFEST-001', 'MANIFEST-005', 'MANIFEST-006')")
+    found = manifest.check(derived.manifests(spark, sf_dir)).where("rule_id IN ('MANIFEST-001', 'MANIFEST-005', 'MANIFEST-006')")
     return found.select("path", "rule_id", "severity", "detail")
 
 
 def q_bin_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.check(_manifests(spark)).where("rule_id = 'MANIFEST-004'").select("path", "rule_id", "severity", "detail")
+    return manifest.check(derived.manifests(spark, sf_dir)).where("rule_id = 'MANIFEST-004'").select("path", "rule_id", "severity", "detail")
 
 
 def q_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = manifest.parsed(_manifests(spark)).select("path", F.posexplode(manifest.dependency_names(F.col("json"))).alias("ordinal", "name"))
+    rows = manifest.parsed(derived.manifests(spark, sf_dir)).select("path", F.posexplode(manifest.dependency_names(F.col("json"))).alias("ordinal", "name"))
     return rows.select("path", F.col("ordinal").cast("long").alias("ordinal"), "name")
 
 
-DEPENDENCIES = ["expres", "loda-sh", "momnet", "koaa", "react-domm", "chalk", "@x/axioss", "abc", "axois", "reqeust", "jest_", "types", "esllint", "pinno", "joii", "tarr", "bcryptjs", "cryptojs"]
-
-
 def q_look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deps = _values(spark, [(DEPENDENCIES,)], "deps array<string>")
-    return deps.select(F.inline(manifest.look_alikes(F.col("deps"), P.POPULAR))).select("dep", "popular", F.col("distance").cast("long").alias("distance"))
+    """Dependencies of the manifests, and every word of the documents as if it were one."""
+    named = manifest.parsed(derived.manifests(spark, sf_dir)).select(F.explode(manifest.dependency_names(F.col("json"))).alias("dep"))
+    deps = named.unionByName(derived.words(spark, sf_dir).select(F.lower("w").alias("dep"))).distinct()
+    return deps.select(F.inline(manifest.look_alikes(F.array("dep"), P.POPULAR))).select("dep", "popular", F.col("distance").cast("long").alias("distance"))
 
 
 def q_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = manifest.parsed(_manifests(spark)).select("path", manifest.dependency_names(F.col("json")).alias("deps"))
+    rows = manifest.parsed(derived.manifests(spark, sf_dir)).select("path", manifest.dependency_names(F.col("json")).alias("deps"))
     return rows.select("path", F.inline(manifest.confusions(F.col("deps"), P.POPULAR)))
 
 
 def q_manifest_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.deduplicate(manifest.as_findings(manifest.check(_manifests(spark)))).select("file", "rule_id", "severity", "snippet")
+    return scan.deduplicate(manifest.as_findings(manifest.check(derived.manifests(spark, sf_dir)))).select("file", "rule_id", "severity", "snippet")
+
+
+def q_invalid_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.invalid(derived.manifests(spark, sf_dir))
+
+
+def q_merged_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dependencies that the monitor polls: each name once, with the range of its first manifest."""
+    return manifest.merged(manifest.dependencies(derived.manifests(spark, sf_dir)))
 
 
 # --- state
@@ -282,27 +273,19 @@ def q_new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.new_since(current, previous).select(F.col("user").alias("subject"), "day", "key")
 
 
-POLLS = [("a", "1.0", 1), ("a", "1.0", 2), ("a", "1.1", 3), ("b", "2", 1), ("b", "2", 3), ("c", "1", 2), ("a", "1.0", 4)]
-
-
 def q_version_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and changed versions over the days' polls, as a batch."""
     from quillscan.streaming import monitor
 
-    return monitor.version_changes(_values(spark, POLLS, "name string, version string, poll long"))
-
-
-REGISTRY = [("a", '{"dist-tags":{"latest":"1.1"},"versions":{"1.0":{"dist":{"tarball":"u0"}},"1.1":{"dist":{"tarball":"u1"}}}}'), ("b", '{"dist-tags":{}}'), ("c", "no")]
+    return monitor.version_changes(files.registry_versions(derived.polls(spark, sf_dir), "poll"))
 
 
 def q_registry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.registry_versions(_values(spark, REGISTRY, "name string, json string"))
-
-
-DURATIONS = ["90", "5m", "1.5h", "10 mins", "2days", "x", "", "3 weeks", "7 s", ".5h"]
+    return files.registry_versions(derived.polls(spark, sf_dir), "poll")
 
 
 def q_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [(d,) for d in DURATIONS], "text string").select("text", native.duration_seconds(F.col("text")).alias("seconds"))
+    return derived.durations(spark, sf_dir).select("text", native.duration_seconds(F.col("text")).alias("seconds"))
 
 
 QUERIES: dict[str, Query] = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
@@ -311,12 +294,7 @@ QUERIES: dict[str, Query] = {k: f for k, f in list(globals().items()) if k.start
 # --- SQL
 
 
-def _quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _list(names) -> str:
-    return "[" + ", ".join(map(_quoted, names)) + "]"
+_quoted, _list = derived.quoted, derived.listed
 
 
 _DOCS = "src AS (SELECT doc_id::VARCHAR AS path, text AS content FROM documents WHERE text IS NOT NULL)"
@@ -375,25 +353,20 @@ s AS (SELECT *, CASE WHEN mal THEN 'BLOCK' WHEN level IN ('CLEAN', 'LOW') THEN '
   CASE WHEN t5 THEN '#manifest' END, CASE WHEN t6 THEN '#recon' END, CASE WHEN score > 0 AND score < 71 AND NOT mal THEN '#suspicious' END) AS tags FROM l)"""
 
 
-def _rows(names: str, rows) -> str:
-    cell = lambda v: _quoted(v) if isinstance(v, str) else str(v)
-    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r if isinstance(r, tuple) else (r,))) + ')' for r in rows)}) AS v({names}))"
-
-
 def _catalog_sql() -> str:
     parts = []
     for r in builtin_rules():
         if r.kind == "regex":
             hits = _hits(r.pattern)
             parts.append(f"SELECT path AS file, {_quoted(r.id)} AS rule_id, line, col AS \"column\" FROM ({_located(_near(hits, r.near) if r.near else hits)})")
-    return f"WITH src AS {_rows('path, content', [(f'{k}.js', v) for k, v in samples.RULES.items()])} {' UNION ALL '.join(parts)}"
+    return f"WITH {derived.SAMPLES_SQL} {' UNION ALL '.join(parts)}"
 
 
 def _contains(text: str, words) -> str:
     return "(" + " OR ".join(f"contains({text}, {_quoted(w)})" for w in words) + ")"
 
 
-_M = f"m AS {_rows('path, content', samples.MANIFESTS.items())}"
+_M = derived.MANIFESTS_SQL
 _STEPS = f"steps AS (SELECT path, k AS key, json_extract_string(content, '$.scripts.' || k) AS cmd, lower(json_extract_string(content, '$.scripts.' || k)) AS low FROM m, (SELECT unnest({_list(P.LIFECYCLE)}) AS k) WHERE json_type(content, '$.scripts.' || k) = 'VARCHAR')"
 _WHY = f"""CASE WHEN {_contains('low', P.FETCHERS)} THEN 'MANIFEST-001' WHEN {_contains('low', P.INLINE)} THEN 'MANIFEST-001' WHEN {_contains('low', P.ENCODED)} OR {_contains('cmd', P.ENCODED_EXACT)} THEN 'MANIFEST-005'
   WHEN {_contains('low', P.SHELLS)} THEN 'MANIFEST-001' WHEN NOT {_contains('low', P.BENIGN_TOOLS)} AND (contains(low, 'http://') OR contains(low, 'https://')) THEN 'MANIFEST-006' END"""
@@ -442,7 +415,7 @@ ORACLE: dict[str, str] = {
     "q_scan_stats": "SELECT count(*) FILTER (k = 'd') AS js_files, count(*) FILTER (k = 'p') AS manifest_files, coalesce(sum(strlen(t)), 0)::BIGINT AS bytes FROM (SELECT 'd' AS k, text AS t FROM documents UNION ALL SELECT 'p', html FROM pages)",
     "q_source_classify": f"""SELECT path, regexp_matches(path, '\\.(js|mjs|cjs|jsx|ts|mts|cts|tsx)$') AND NOT regexp_matches(path, '\\.d\\.(ts|cts|mts)$') AS code, string_split(path, '/')[-1] = 'package.json' AS manifest,
         CASE WHEN regexp_matches(path, '\\.(js|mjs|cjs|jsx)$') THEN 'javascript' WHEN regexp_matches(path, '\\.(ts|mts|cts)$') THEN 'typescript' WHEN regexp_matches(path, '\\.tsx$') THEN 'tsx' END AS dialect,
-        list_has_any(string_split(path, '/'), {_list(files.IGNORED)}) AS pruned FROM {_rows('path', PATHS)}""",
+        list_has_any(string_split(path, '/'), {_list(files.IGNORED)}) AS pruned FROM {derived.PATHS_SQL}""",
     "q_regex_locations": f"WITH {_DOCS} SELECT path, i AS ordinal, matched, start, line, col AS \"column\", {_SNIPPET} FROM (SELECT *, {_LINE} FROM ({_located(_hits(CORPUS_RULES[2].pattern))}))",
     "q_near_matches": f"WITH {_DOCS} SELECT path, start, matched FROM ({_near(_hits(IPV4), CORPUS_RULES[6].near)})",
     "q_long_lines": "WITH t AS (SELECT doc_id::VARCHAR AS path, text FROM documents UNION ALL SELECT 'page ' || page_id, html FROM pages), l AS (SELECT path, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM t) "
@@ -450,17 +423,16 @@ ORACLE: dict[str, str] = {
     "q_literal_entropy": "WITH w AS (SELECT page_id, row_number() OVER () AS r, literal FROM (SELECT page_id, unnest(regexp_extract_all(html, '\"([^\"\\n]+)\"', 1)) AS literal FROM pages) WHERE strlen(literal) >= 8), "
     "e AS (SELECT page_id, r, literal, round(entropy(c), 6) AS entropy FROM (SELECT page_id, r, literal, unnest(string_split(literal, '')) AS c FROM w) GROUP BY page_id, r, literal) SELECT page_id, literal, entropy FROM e WHERE entropy > 2.5",
     "q_rule_catalog_matches": _catalog_sql(),
-    "q_syntax_rules": f"SELECT rule_id, line::BIGINT AS line, col::BIGINT AS \"column\" FROM {_rows('rule_id, line, col', [(name, *at) for name, _, _, _, places in samples.SYNTAX for at in places])}",
-    "q_rewrites": f"SELECT path, pass, content, changes::BIGINT AS changes FROM {_rows('path, pass, content, changes', [(f'{k}.js', name, want, n) for k, (name, _, want, n) in enumerate(samples.REWRITES)])}",
-    "q_rewrite_rounds": f"SELECT path, content FROM {_rows('path, content', [(p, want) for p, _, want in ROUNDS])}",
+    "q_syntax_rules": derived.COMMENTED_SQL,
+    "q_rewrites": derived.HIDDEN_SQL,
+    "q_rewrite_rounds": derived.NESTED_SQL,
     "q_findings": f"{_F}{_SHOW}",
     "q_min_severity": f"{_F}{_SHOW} WHERE rank >= {severity_rank('high')}",
     "q_disabled_rules": f"{_F}{_SHOW} WHERE rule_id NOT IN ('C-003', 'C-005', 'C-006')",
     "q_accepted_keys": f"{_F}SELECT DISTINCT {_KEY} AS key FROM f WHERE rank >= 2",
     "q_except_accepted": f"WITH {_findings_cte().replace('f AS (', 'f AS MATERIALIZED (')}, k AS MATERIALIZED (SELECT *, {_KEY} AS key FROM f) SELECT rule_id, severity, file, line, col AS \"column\", snippet FROM k ANTI JOIN (SELECT DISTINCT key FROM k WHERE rank <> 2) a USING (key)",
-    "q_suppressed_lines": f"""WITH src AS {_rows('path, content', SUPPRESSED)}, hidden AS (SELECT path, k + CASE WHEN contains(t, 'scan-ignore-next-line') THEN 1 ELSE 0 END AS line FROM (SELECT path, unnest(string_split(content, chr(10))) AS t,
-        generate_subscripts(string_split(content, chr(10)), 1) AS k FROM src) WHERE contains(t, 'scan-ignore-next-line') OR contains(t, 'scan-ignore-line'))
-        SELECT path AS file, line FROM ({_located(_hits('eval[(]'))}) h WHERE NOT EXISTS (SELECT 1 FROM hidden WHERE hidden.path = h.path AND hidden.line = h.line)""",
+    "q_suppressed_lines": f"""WITH {derived.EXEMPTED_SQL}, kept AS (SELECT path AS file, line FROM ({_located(_hits(CORPUS_RULES[2].pattern))}) h WHERE NOT EXISTS (SELECT 1 FROM hidden WHERE hidden.path = h.path AND hidden.line = h.line))
+        SELECT 'join' AS form, * FROM kept UNION ALL SELECT 'scan', * FROM kept""",
     "q_severity_counts": f"{_F}SELECT file, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, max(rank)::BIGINT AS max_rank FROM f GROUP BY file",
     "q_scores": f"WITH {_findings_cte()}, {_SCORES} SELECT file, score, level, verdict, tags, n_findings FROM s",
     "q_categories": f"WITH {_findings_cte()}, {_COUNTED} SELECT file, category, count(*) AS findings, sum(points)::BIGINT AS points FROM c GROUP BY file, category",
@@ -472,13 +444,16 @@ ORACLE: dict[str, str] = {
     "q_install_scripts": f"WITH {_M}, {_STEPS} {_INSTALL}",
     "q_bin_entries": f"WITH {_M}, {_BINS} {_BIN_ROWS}",
     "q_dependencies": f"WITH {_M}, {_DEPS} SELECT path, ordinal, name FROM deps",
-    "q_look_alikes": f"WITH {_look_alike_cte(_rows('dep', DEPENDENCIES))} SELECT dep, popular, distance FROM likes",
+    "q_look_alikes": f"WITH {derived.WORDS_SQL}, {_M}, {_DEPS}, {_look_alike_cte('(SELECT name AS dep FROM deps UNION SELECT lower(w) FROM words)')} SELECT dep, popular, distance FROM likes",
+    "q_invalid_manifests": f"WITH {_M} SELECT path, CASE WHEN json_valid(content) THEN 'not an object' ELSE 'invalid JSON' END AS error FROM written WHERE content IS NOT NULL AND path NOT IN (SELECT path FROM m)",
+    "q_merged_dependencies": f"""WITH {_M}, r AS ({" UNION ALL ".join(f"SELECT path, {k} AS s, unnest(list_sort(json_keys(content, '$.{x}'))) AS name, content, '{x}' AS section FROM m WHERE json_type(content, '$.{x}') = 'OBJECT'" for k, x in enumerate(P.MONITOR_SECTIONS))})
+        SELECT name, arg_min(json_extract_string(content, '$."' || section || '"."' || name || '"'), (path, s, name)) AS range FROM r GROUP BY name""",
     "q_confusions": f"WITH {_M}, {_DEPS}, {_POPULAR}, {_CONFUSED} SELECT path, scoped, name, \"both\" FROM confused",
     "q_manifest_findings": _MANIFEST_FINDINGS,
     "q_new_findings": "WITH e AS (SELECT DISTINCT user_id AS subject, ts::DATE AS day, event_type AS key FROM events), d AS (SELECT subject, day, lag(day) OVER (PARTITION BY subject ORDER BY day) AS prior FROM (SELECT DISTINCT subject, day FROM e)) "
     "SELECT e.subject, strftime(e.day, '%Y-%m-%d') AS day, e.key FROM e JOIN d USING (subject, day) WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.subject = e.subject AND o.day = d.prior AND o.key = e.key)",
-    "q_version_changes": f"SELECT name, version, previous, poll FROM (SELECT *, lag(version) OVER (PARTITION BY name ORDER BY poll) AS previous FROM (SELECT name, version, poll::BIGINT AS poll FROM {_rows('name, version, poll', POLLS)})) WHERE previous IS NULL OR previous <> version",
-    "q_registry_versions": f"SELECT * FROM (SELECT name, json_extract_string(j, '$.\"dist-tags\".latest') AS version, json_extract_string(j, '$.versions.\"' || json_extract_string(j, '$.\"dist-tags\".latest') || '\".dist.tarball') AS tarball FROM {_rows('name, j', REGISTRY)} WHERE json_valid(j)) WHERE version IS NOT NULL AND tarball IS NOT NULL",
+    "q_version_changes": f"WITH {derived.POLLS_SQL} SELECT name, version, previous, poll FROM (SELECT *, lag(version) OVER (PARTITION BY name ORDER BY poll) AS previous FROM seen) WHERE previous IS NULL OR previous <> version",
+    "q_registry_versions": f"WITH {derived.POLLS_SQL} SELECT poll, name, version, tarball FROM seen",
     "q_durations": f"SELECT text, CASE WHEN regexp_matches(text, '^\\s*([0-9]+(\\.[0-9]*)?|\\.[0-9]+)\\s*[A-Za-z]*\\s*$') THEN regexp_extract(text, '([0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)', 1)::DOUBLE * CASE lower(regexp_extract(text, '([A-Za-z]*)\\s*$', 1)) "
-    f"WHEN '' THEN 1 WHEN 's' THEN 1 WHEN 'sec' THEN 1 WHEN 'secs' THEN 1 WHEN 'm' THEN 60 WHEN 'min' THEN 60 WHEN 'mins' THEN 60 WHEN 'h' THEN 3600 WHEN 'hr' THEN 3600 WHEN 'hrs' THEN 3600 WHEN 'd' THEN 86400 WHEN 'day' THEN 86400 WHEN 'days' THEN 86400 END END AS seconds FROM {_rows('text', DURATIONS)}",
+    f"WHEN '' THEN 1 WHEN 's' THEN 1 WHEN 'sec' THEN 1 WHEN 'secs' THEN 1 WHEN 'm' THEN 60 WHEN 'min' THEN 60 WHEN 'mins' THEN 60 WHEN 'h' THEN 3600 WHEN 'hr' THEN 3600 WHEN 'hrs' THEN 3600 WHEN 'd' THEN 86400 WHEN 'day' THEN 86400 WHEN 'days' THEN 86400 END END AS seconds FROM {derived.DURATIONS_SQL}",
 }
