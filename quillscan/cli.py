@@ -13,7 +13,7 @@ from quillscan.functions.catalog import SEVERITIES, builtin_rules, load_rules
 from quillscan.functions.packages import POPULAR, load_names
 from quillscan.operators import scan
 from quillscan.plans import notify, oneshot, report
-from quillscan.sources import config, files
+from quillscan.sources import config, files, registry
 
 
 def parser() -> argparse.ArgumentParser:
@@ -77,7 +77,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     if a.monitor:
         from quillscan.streaming import monitor
 
-        monitor.watch(spark, list(a.paths), settings, os.path.join(a.output or ".", ".quillscan-monitor"), rules, transport, say).awaitTermination()
+        shared = a.output or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            print("--monitor needs a folder that all machines share: --output URI, or spark.checkpoint.dir", file=sys.stderr)
+            return 1
+        at = f"{shared or os.path.abspath('.')}/.quillscan-monitor"
+        asked = registry.fetched(settings.registry_url) if settings.registry else None
+        monitor.watch(spark, list(a.paths), settings, at, rules, transport, say, documents=asked, fetch=registry.http, verbose=a.verbose, spread=transport is notify.post).awaitTermination()
         return 0
     accepted = files.accepted(spark, a.baseline) if a.baseline and not a.write_baseline else None
     result = oneshot.run(spark, options, rules, accepted)

@@ -128,15 +128,16 @@ def normal_name(name: Column) -> Column:
 def look_alikes(deps: Column, popular: tuple[str, ...]) -> Column:
     """array<struct<dep, popular, distance>>: distance 0 stands for equal up to separators, which excludes the others."""
     names = F.array(*map(F.lit, popular))
-    normal = F.transform(names, lambda p: F.struct(p.alias("p"), normal_name(p).alias("n")))
+    normal = F.transform(names, normal_name)
 
     def of(dep: Column) -> Column:
         bare = bare_name(dep)
-        same = F.slice(F.filter(normal, lambda x: (x["n"] == normal_name(bare)) & (x["p"] != bare)), 1, 1)
+        same = F.get(names, F.array_position(normal, normal_name(bare)).cast("int") - 1)
         most = lambda p: F.when(F.least(F.octet_length(p), F.octet_length(bare)) <= 5, 1).otherwise(2)
-        near = F.filter(names, lambda p: (F.abs(F.length(p) - F.length(bare)) <= 2) & (F.levenshtein(bare, p) > 0) & (F.levenshtein(bare, p) <= most(p)))
+        # Beyond two edits the distance isn't worked out.
+        near = F.filter(names, lambda p: (F.abs(F.length(p) - F.length(bare)) <= 2) & F.levenshtein(bare, p, 2).between(F.lit(1), most(p)))
         row = lambda p, d: F.struct(dep.alias("dep"), p.alias("popular"), d.cast("int").alias("distance"))
-        found = F.when(F.size(same) > 0, F.transform(same, lambda x: row(x["p"], F.lit(0)))).otherwise(F.transform(near, lambda p: row(p, F.levenshtein(bare, p))))
+        found = F.when(same.isNotNull(), F.array(row(same, F.lit(0)))).otherwise(F.transform(near, lambda p: row(p, F.levenshtein(bare, p))))
         return F.when((F.octet_length(bare) >= 4) & ~F.array_contains(names, bare), found).otherwise(F.array().cast("array<struct<dep:string,popular:string,distance:int>>"))
 
     return F.flatten(F.transform(deps, of))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillscan.functions import packages as P
 from quillscan.functions.catalog import builtin_rules
 from quillscan.plans import samples
+from quillscan.sources.files import packed
 from quillscan.sources.tables import read_table
 
 
@@ -35,8 +36,9 @@ WORDS_SQL = "words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """w: the distinct words of all documents' whole texts."""
-    return read_table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w")).distinct()
+    """w: the distinct words of all documents' whole texts, dealt over all cores, as few bytes of them make much work."""
+    found = read_table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w"))
+    return found.distinct().repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _dealt(kinds: int) -> Column:
@@ -229,6 +231,19 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
 POLLS_SQL = """polls AS (SELECT 'u' || user_id AS name, date_diff('day', DATE '2024-01-01', ts::DATE) + 1 AS poll, arg_max(event_type, (ts, event_id)) AS version FROM events GROUP BY 1, 2),
   seen AS (SELECT name, poll::BIGINT AS poll, version, 'https://registry.example/' || name || '-' || version || '.tgz' AS tarball FROM polls WHERE version <> 'error')"""
 
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, json, tarball, content: a package for each document, as the registry lists it and as its archive."""
+    docs, d = read_table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    version, name = F.concat(F.lit("1."), d, F.lit(".0")), F.concat(F.lit("doc"), d)
+    url = F.concat(F.lit("https://registry.example/"), name, F.lit(".tgz"))
+    json = F.to_json(F.struct(F.create_map(F.lit("latest"), version).alias("dist-tags"), F.create_map(version, F.struct(F.struct(url.alias("tarball")).alias("dist"))).alias("versions")))
+    members = docs.select(
+        name.alias("name"), json.alias("json"), url.alias("tarball"),
+        F.array(F.struct(F.lit("package/package.json").alias("path"), F.lit("{}").alias("content")), F.struct(F.concat(F.lit("package/lib/"), d, F.lit(".js")).alias("path"), _text().alias("content"))).alias("members"),
+    )
+    return packed(members)
+
+
 UNITS = ("", "s", " sec", "m", " mins", "h", " HR", "d", "days", " weeks", "x", " min")
 
 

@@ -5,8 +5,10 @@ hide their words, manifests, registry polls), and the event table for state diff
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from quillscan.functions import packages as P
 from quillscan.functions.catalog import CATEGORIES, POINTS, Rule, builtin_rules, severity_rank
 from quillscan.operators import manifest, scan, score
 from quillscan.plans import derived, notify, report, samples
-from quillscan.sources import files
+from quillscan.sources import files, registry
 from quillscan.sources.config import Target
 from quillscan.sources.tables import read_table
 
@@ -190,6 +192,22 @@ def q_top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("place <= 8").select("file", "place", "rule_id", "line", "column")
 
 
+def q_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the monitor would say and send of every document's findings: its line, the most severe findings of a notification, and categories, in their orders."""
+    from quillscan.streaming import monitor
+
+    subjects = _documents(spark, sf_dir).select(F.col("path").alias("subject"))
+    told = monitor.reports(monitor.scanned(subjects, _found(spark, sf_dir).withColumn("subject", F.col("file")), 1).withColumn("fresh", F.col("key").isNotNull()), verbose=True)
+
+    @F.pandas_udf("top string, categories string, sent long")
+    def read(outcome: pd.Series) -> pd.DataFrame:
+        made = [report.Outcome(**json.loads(o)) for o in outcome]
+        parts = [" ".join(f"{c['category']}:{c['points']}" for c in o.categories) for o in made]
+        return pd.DataFrame({"top": [notify.top(o) for o in made], "categories": parts, "sent": [notify.generic(o)["finding_count"] for o in made]})
+
+    return told.withColumn("r", read("outcome")).select("subject", "line", "fresh", "r.top", "r.categories", "r.sent")
+
+
 def q_rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = _found(spark, sf_dir).groupBy("rule_id").agg(F.min(F.struct(-F.col("severity_rank"), "rule_ordinal")).alias("p"))
     return report.rule_index(first.select("rule_id", F.col("p").alias("position"))).select("rule_id", F.col("rule_index").cast("long").alias("rule_index"))
@@ -230,7 +248,7 @@ def q_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependencies of the manifests, and every word of the documents as if it were one."""
     named = manifest.parsed(derived.manifests(spark, sf_dir)).select(F.explode(manifest.dependency_names(F.col("json"))).alias("dep"))
-    deps = named.unionByName(derived.words(spark, sf_dir).select(F.lower("w").alias("dep"))).distinct()
+    deps = named.unionByName(derived.words(spark, sf_dir).select(F.lower("w").alias("dep"))).distinct().repartition(spark.sparkContext.defaultParallelism)
     return deps.select(F.inline(manifest.look_alikes(F.array("dep"), P.POPULAR))).select("dep", "popular", F.col("distance").cast("long").alias("distance"))
 
 
@@ -280,6 +298,39 @@ def q_version_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.version_changes(files.registry_versions(derived.polls(spark, sf_dir), "poll"))
 
 
+def q_poll_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the monitor's poll stream: numbered polls, the registry's documents, the version of each package in the state store."""
+    from quillscan.streaming import monitor
+
+    landed = derived.polls(spark, sf_dir)
+    wanted = read_table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"))
+    changes = monitor.poll_stream(spark, wanted, registry.landed(landed), last=landed.agg(F.max("poll")).first()[0] or 0)
+    return monitor.drained(changes, "polls")
+
+
+def q_fresh_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q_new_findings through the monitor's stream of scans, which land in three parts, with the subjects' keys in the state store."""
+    from quillscan.streaming import landing, monitor, state
+
+    day = F.datediff("day", F.lit("2024-01-01").cast("date")).cast("long")
+    scans = _scans(spark, sf_dir).select(F.col("subject").cast("string").alias("subject"), day.alias("scan"), "key", F.date_format("day", "yyyy-MM-dd").alias("payload"))
+    root = f"{monitor.scratch(spark)}/scans"
+    for k in range(3):
+        landing.land(scans.where(F.least(F.floor(F.col("scan") / 10), F.lit(2)) == k), root, str(k))
+    found = monitor.drained(state.fresh_findings(landing.landings(spark, root, monitor.SCANS)), "findings").where("fresh")
+    return found.select(F.col("subject").cast("long").alias("subject"), F.col("payload").alias("day"), "key")
+
+
+def q_package_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed as a package's archive, listed by the registry, found by its version, unpacked and scanned as name@version."""
+    from quillscan.streaming import monitor
+
+    packages = derived.packages(spark, sf_dir)
+    archives = registry.landed_archives(files.registry_versions(packages), packages)
+    found = monitor.archive_findings(archives.where("error IS NULL"), CORPUS_RULES, deobfuscate=False)
+    return found.select("subject", "file", "rule_id", "line", "column").distinct()
+
+
 def q_registry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.registry_versions(derived.polls(spark, sf_dir), "poll")
 
@@ -411,6 +462,18 @@ every AS (SELECT path, rule_id, severity, detail, 1 AS part, list_position({_lis
 SELECT path AS file, rule_id, severity, detail AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY path, rule_id ORDER BY part, o) AS k FROM every) WHERE k = 1"""
 _LABELS = "(SELECT doc_id::VARCHAR AS file, quality::BIGINT AS label FROM labels)"
 
+_NEW_FINDINGS = (
+    "WITH e AS (SELECT DISTINCT user_id AS subject, ts::DATE AS day, event_type AS key FROM events), d AS (SELECT subject, day, lag(day) OVER (PARTITION BY subject ORDER BY day) AS prior FROM (SELECT DISTINCT subject, day FROM e)) "
+    "SELECT e.subject, strftime(e.day, '%Y-%m-%d') AS day, e.key FROM e JOIN d USING (subject, day) WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.subject = e.subject AND o.day = d.prior AND o.key = e.key)"
+)
+_NAMES = "(SELECT rule_id, name FROM (VALUES " + ", ".join(f"({_quoted(r.id)}, {_quoted(r.name)})" for r in CORPUS_RULES) + ") AS v(rule_id, name))"
+_REPORTS = f"""WITH {_findings_cte()}, {_SCORES},
+  k AS (SELECT file, '• [' || upper(severity) || '] ' || rule_id || ' ' || name AS said, row_number() OVER (PARTITION BY file ORDER BY rank DESC, ord, line, col) AS place FROM f JOIN {_NAMES} USING (rule_id)),
+  t AS (SELECT file, string_agg(said, chr(10) ORDER BY place) AS top FROM k WHERE place <= 8 GROUP BY file),
+  w AS (SELECT file, string_agg(category || ':' || points, ' ' ORDER BY points DESC, category) AS categories FROM (SELECT file, category, sum(points)::BIGINT AS points FROM c GROUP BY file, category) GROUP BY file)
+  SELECT s.file AS subject, CASE n_findings WHEN 0 THEN s.file || ' — clean' ELSE s.file || ' — ' || verdict || ' (' || score || '/100, ' || n_findings || CASE n_findings WHEN 1 THEN ' finding)' ELSE ' findings)' END END AS line,
+    n_findings > 0 AS fresh, coalesce(top, '') AS top, coalesce(categories, '') AS categories, n_findings AS sent FROM s LEFT JOIN t USING (file) LEFT JOIN w USING (file)"""
+
 ORACLE: dict[str, str] = {
     "q_scan_stats": "SELECT count(*) FILTER (k = 'd') AS js_files, count(*) FILTER (k = 'p') AS manifest_files, coalesce(sum(strlen(t)), 0)::BIGINT AS bytes FROM (SELECT 'd' AS k, text AS t FROM documents UNION ALL SELECT 'p', html FROM pages)",
     "q_source_classify": f"""SELECT path, regexp_matches(path, '\\.(js|mjs|cjs|jsx|ts|mts|cts|tsx)$') AND NOT regexp_matches(path, '\\.d\\.(ts|cts|mts)$') AS code, string_split(path, '/')[-1] = 'package.json' AS manifest,
@@ -450,9 +513,12 @@ ORACLE: dict[str, str] = {
         SELECT name, arg_min(json_extract_string(content, '$."' || section || '"."' || name || '"'), (path, s, name)) AS range FROM r GROUP BY name""",
     "q_confusions": f"WITH {_M}, {_DEPS}, {_POPULAR}, {_CONFUSED} SELECT path, scoped, name, \"both\" FROM confused",
     "q_manifest_findings": _MANIFEST_FINDINGS,
-    "q_new_findings": "WITH e AS (SELECT DISTINCT user_id AS subject, ts::DATE AS day, event_type AS key FROM events), d AS (SELECT subject, day, lag(day) OVER (PARTITION BY subject ORDER BY day) AS prior FROM (SELECT DISTINCT subject, day FROM e)) "
-    "SELECT e.subject, strftime(e.day, '%Y-%m-%d') AS day, e.key FROM e JOIN d USING (subject, day) WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.subject = e.subject AND o.day = d.prior AND o.key = e.key)",
+    "q_new_findings": _NEW_FINDINGS,
     "q_version_changes": f"WITH {derived.POLLS_SQL} SELECT name, version, previous, poll FROM (SELECT *, lag(version) OVER (PARTITION BY name ORDER BY poll) AS previous FROM seen) WHERE previous IS NULL OR previous <> version",
+    "q_poll_changes": f"WITH {derived.POLLS_SQL} SELECT name, version, previous, poll, tarball FROM (SELECT *, lag(version) OVER (PARTITION BY name ORDER BY poll) AS previous FROM seen) WHERE previous IS NULL OR previous <> version",
+    "q_fresh_findings": _NEW_FINDINGS,
+    "q_package_findings": f"{_F}SELECT DISTINCT 'doc' || file || '@1.' || file || '.0' AS subject, 'package/lib/' || file || '.js' AS file, rule_id, line, col AS \"column\" FROM f",
+    "q_reports": _REPORTS,
     "q_registry_versions": f"WITH {derived.POLLS_SQL} SELECT poll, name, version, tarball FROM seen",
     "q_durations": f"SELECT text, CASE WHEN regexp_matches(text, '^\\s*([0-9]+(\\.[0-9]*)?|\\.[0-9]+)\\s*[A-Za-z]*\\s*$') THEN regexp_extract(text, '([0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)', 1)::DOUBLE * CASE lower(regexp_extract(text, '([A-Za-z]*)\\s*$', 1)) "
     f"WHEN '' THEN 1 WHEN 's' THEN 1 WHEN 'sec' THEN 1 WHEN 'secs' THEN 1 WHEN 'm' THEN 60 WHEN 'min' THEN 60 WHEN 'mins' THEN 60 WHEN 'h' THEN 3600 WHEN 'hr' THEN 3600 WHEN 'hrs' THEN 3600 WHEN 'd' THEN 86400 WHEN 'day' THEN 86400 WHEN 'days' THEN 86400 END END AS seconds FROM {derived.DURATIONS_SQL}",

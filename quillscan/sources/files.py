@@ -6,6 +6,7 @@ import glob
 import io
 import os
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -84,13 +85,14 @@ def accepted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("key")).where("key <> '' AND NOT startswith(key, '#')")
 
 
-def archive_members(archives: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+def archive_members(archives: DataFrame, max_bytes: int = MAX_BYTES, slice_chars: int = 1 << 24) -> DataFrame:
     """subject, path, content of the code files and manifests in gzipped tar archives(subject, content binary), read in
-    memory; members with absolute paths or parent steps are left out, as are undecodable ones. A broken archive has none."""
+    memory; members with absolute paths or parent steps, links and undecodable ones are left out. A broken archive has the members before its break.
+    An archive's members leave the task in slices, so a large one isn't held whole."""
 
     def members(blob: bytes) -> Iterator[tuple[str, str]]:
         try:
-            with tarfile.open(fileobj=io.BytesIO(blob), mode="r:*") as tar:
+            with tarfile.open(fileobj=io.BytesIO(blob), mode="r|*") as tar:
                 for m in tar:
                     if not m.isfile() or m.name.startswith("/") or ".." in m.name.split("/"):
                         continue
@@ -100,18 +102,47 @@ def archive_members(archives: DataFrame, max_bytes: int = MAX_BYTES) -> DataFram
                         yield m.name, tar.extractfile(m).read().decode("utf-8")
                     except UnicodeDecodeError:
                         continue
-        except (tarfile.TarError, EOFError, OSError):
+        except (tarfile.TarError, EOFError, OSError, zlib.error):
             return
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows, size = [], 0
             for s, blob in zip(b["subject"], b["content"], strict=True):
-                yield pd.DataFrame([(s, p, t) for p, t in members(blob)], columns=["subject", "path", "content"])
+                for p, t in members(blob or b""):
+                    rows.append((s, p, t))
+                    size += len(t)
+                    if size > slice_chars:
+                        yield pd.DataFrame(rows, columns=["subject", "path", "content"])
+                        rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["subject", "path", "content"])
 
     out = archives.select("subject", "content").mapInPandas(run, "subject string, path string, content string")
     return out.where(is_code(F.col("path")) | is_manifest(F.col("path")))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """rows with `content`, the gzipped tar archive of their members(path, content), in place of `members`: the inverse of archive_members."""
+    kept = [c for c in rows.columns if c != "members"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for members in b["members"]:
+                blob = io.BytesIO()
+                with tarfile.open(fileobj=blob, mode="w:gz", compresslevel=1) as tar:
+                    for m in members:
+                        body = m["content"].encode()
+                        info = tarfile.TarInfo(m["path"])
+                        info.size = len(body)
+                        tar.addfile(info, io.BytesIO(body))
+                out.append(blob.getvalue())
+            yield b[kept].assign(content=out)
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "members")
+    return rows.mapInPandas(run, f"{shape}, content binary")
+
+
 def registry_versions(documents: DataFrame, *kept: str) -> DataFrame:
     """name, version, tarball (and the columns kept) from registry documents(name, json): the version tagged latest and its archive."""
     meta = F.from_json("json", "`dist-tags` map<string,string>, versions map<string,struct<dist:struct<tarball:string>>>")

@@ -4,6 +4,8 @@ that the subject's previous scan didn't have are reported. State is Spark's own,
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
 
@@ -25,9 +27,9 @@ from quillscan.streaming.ticks import ticks
 SCANS = "subject string, scan long, key string, payload string"
 
 
-def findings_of(sources: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def findings_of(sources: DataFrame, rules: list[Rule] | None = None, deobfuscate: bool = True) -> DataFrame:
     """All findings of sources(path, content), code and manifests; batch or stream."""
-    code = scan.scan(sources.where(files.is_code(F.col("path"))), rules)
+    code = scan.scan(sources.where(files.is_code(F.col("path"))), rules, deobfuscate)
     return code.unionByName(manifest.as_findings(manifest.check(sources.where(files.is_manifest(F.col("path"))))))
 
 
@@ -80,15 +82,49 @@ def manifests_below(found: DataFrame) -> DataFrame:
     return found.where((F.col("kind") == "manifest") & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, files.IGNORED_BY_MONITOR))))
 
 
-def archive_findings(archives: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def archive_findings(archives: DataFrame, rules: list[Rule] | None = None, deobfuscate: bool = True) -> DataFrame:
     """Findings of package archives(subject, content), with the subject as a column: everything in them is scanned."""
     members = files.archive_members(archives)
     split = "\u0001"
     named = members.select(F.concat_ws(split, "subject", "path").alias("path"), "content")
-    found = findings_of(named, rules)
+    found = findings_of(named, rules, deobfuscate)
     return found.withColumn("subject", F.split("file", split)[0]).withColumn("file", F.split("file", split)[1])
 
 
+def poll_stream(spark: SparkSession, wanted: DataFrame, documents: registry.Documents, last: int | None = None, buckets: int | None = None) -> DataFrame:
+    """The stream of first and changed versions (state.CHANGES) of wanted(name): each tick asks for all names, dealt by their hash over `buckets` tasks.
+    With `last`, polls 1 to last are replayed."""
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = wanted.select("name").distinct().withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)).cast("int"))
+    asked = ticks(spark, last, buckets).join(names, "bucket").select(F.col("tick").alias("poll"), "name")
+    return state.version_changes(files.registry_versions(documents(asked).where("json IS NOT NULL"), "poll"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share; it goes when the application ends."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='quillscan-')}"
+    path = f"{found.rstrip('/')}/quillscan/stream-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
+def drained(stream: DataFrame, name: str, at: str | None = None) -> DataFrame:
+    """What the stream gives until nothing is due, as a table of its own in `at` (a new shared folder by default); a second call with the same
+    folder goes on where the first ended."""
+    spark, at = stream.sparkSession, at or scratch(stream.sparkSession)
+    with state.state_store(spark):
+        query = stream.writeStream.format("parquet").option("path", f"{at}/{name}").option("checkpointLocation", f"{at}/{name}.state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/{name}")
+
+
 def scanned(subjects: DataFrame, found: DataFrame, number: int) -> DataFrame:
     """SCANS of subjects(subject) and their findings found(subject, ...): each finding with its key and all of it as JSON, and a row without a key for
     each subject that is clean."""

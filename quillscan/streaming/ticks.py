@@ -45,7 +45,7 @@ class _Reader(DataSourceStreamReader):
         return int(self.last) if self.last is not None else time.time_ns() // 1_000_000
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"tick": 0 if self.last is not None else self._now() - 1}
+        return {"tick": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
         return {"tick": self._now()}
