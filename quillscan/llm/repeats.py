@@ -7,19 +7,19 @@ place, so they meet when anchors' suffixes are brought together by their leading
 anchor form a segment, about one for every 85 bytes.
 
 1. Segments are found where a text is read. A segment's key is its anchor gram: its first three bytes, then a
-   hash of all of it. Segments equal within a batch are settled there; one of them goes on as a witness.
+   hash of all of it. Its digest is BLAKE2b of its bytes under a secret of the run. Segments equal within a batch are settled there; one of them goes on as a witness.
 2. Splitters sampled from the keys cut the keys into ranges by their leading bytes; a key that spans several ranges is dealt over them. The
    sample has a fixed bound: beyond MOST_RANGES ranges, each is dealt on by a hash of the key. Each
    range is sorted by key and then segment. Equal neighbours are repeats. A key with different segments (the edges of repeated passages), or one that
    lies in several ranges, goes on to step 3, with one segment for each different one.
 3. Of those few segments the bytes are fetched. The suffixes at all their windows are sorted by their first `width` bytes with a
    multikey quicksort over tokens of eight bytes; suffixes that share all of them are repeats. A key with more than `large` segments is
-   compared window by window over the whole cluster.
+   compared window by window over the whole cluster, by digests of 128 bits.
 4. The repeats are gathered for each document, merged and cut out.
 
-Step 2 takes segments for equal whose keys (24 bits of bytes and 40 of a hash), lengths and 64-bit hashes agree, step 3's crowded keys
-windows whose hashes and keys agree; equal strings always agree, and different ones with a chance of about 2^-64 for each pair with the same anchor gram.
-Step 3 compares bytes. Texts are never cut short: a very long one is handled in overlapping
+Grams' hashes only choose anchors and bring segments together; whatever they are, no repeat is missed and none made up. Step 2 takes segments of one key for equal
+whose 64-bit digests agree: the secret is drawn anew for each run, so that no text can be made to collide, and two different segments agree with a chance
+of 2^-64. Step 3's crowded keys are judged by digests of the same kind with 128 bits, for windows of the whole cluster meet there. Otherwise step 3 compares bytes. Texts are never cut short: a very long one is handled in overlapping
 pieces, which only moves some of its segments to step 3. Matches never cross documents.
 
 Defined results: an empty table gives no rows. A null text counts as empty; texts under `width` bytes are kept whole. A repeated row repeats its
@@ -30,6 +30,7 @@ repeats once, not once for each pair. Null ids are kept. There are no ties: ever
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,30 +71,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Hashes:
-    """Polynomial hashes modulo 2^64 of the parts of a byte string."""
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A polynomial hash modulo 2^64 of every gram."""
+    n = len(data) + 1 - GRAM
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    return (sums[GRAM:] - sums[:n]) * down[:n]
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, secret: bytes, size: int) -> Iterator[bytes]:
+    """The keyed digest, of so many bytes, of each part of data."""
+    raw = data.tobytes()
+    return (hashlib.blake2b(raw[a:z], digest_size=size, key=secret).digest() for a, z in zip(start.tolist(), end.tolist(), strict=True))
 
-    def all(self, size: int) -> np.ndarray:
-        """Of every part of that size."""
-        n = len(self.sums) - size
-        return (self.sums[size:] - self.sums[:n]) * self.down[:n] if n > 0 else np.zeros(0, np.uint64)
 
-
-def find_segments(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor - start, key, hash) of the segments of joined texts that end at the given places."""
+def find_segments(data: np.ndarray, ends: np.ndarray, width: int, secret: bytes) -> tuple[np.ndarray, ...]:
+    """(start, windows, anchor - start, key, digest) of the segments of joined texts that end at the given places."""
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     if len(data) < width:
         return none
-    hashes = Hashes(data)
-    gram = _mix(hashes.all(GRAM))
+    gram = _mix(gram_hashes(data))
     reach = width - GRAM + 1  # grams in a window
     low = np.uint64(0xFFFFFF)
     value = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
@@ -113,7 +113,7 @@ def find_segments(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.nd
     lead = (data[anchor].astype(np.uint64) << np.uint64(56)) | (data[anchor + 1].astype(np.uint64) << np.uint64(48)) | (data[anchor + 2].astype(np.uint64) << np.uint64(40))
     key = ((lead | (gram[anchor] >> np.uint64(24))) ^ np.uint64(1 << 63)).view(np.int64)
     off = anchor - start
-    return start, n, off, key, _mix(hashes.of(start, start + n - 1 + width) + (off * 512 + n).astype(np.uint64))
+    return start, n, off, key, np.frombuffer(b"".join(digests(data, start, start + n - 1 + width, secret, 8)), np.uint64)
 
 
 def _joined(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -137,19 +137,19 @@ def _joined(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.nda
         yield made()
 
 
-def _segments(docs: DataFrame, width: int) -> DataFrame:
+def _segments(docs: DataFrame, width: int, secret: bytes) -> DataFrame:
     """Step 1, over docs(doc_id, th, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in sliced(batches, "text"):
             ids, th = b["doc_id"], b["th"].to_numpy()
             for data, ends, owner, place in _joined([t.encode("utf-8", "surrogatepass") for t in b["text"]], width):
-                start, n, off, key, seg = find_segments(data, ends, width)
+                start, n, off, key, seg = find_segments(data, ends, width, secret)
                 if not len(start):
                     continue
                 part = np.searchsorted(ends, start, side="right")
                 row, pos = owner[part], start - np.concatenate([[0], ends])[part] + place[part]
-                _, first, inverse, count = np.unique(_mix(key.view(np.uint64)) ^ seg, return_index=True, return_inverse=True, return_counts=True)
+                _, first, inverse, count = np.unique(seg, return_index=True, return_inverse=True, return_counts=True)
                 twice = count[inverse] > 1
                 kind = np.where(twice, COVERED, OPEN).astype(np.int8)
                 kind[first[count > 1]] = SETTLED
@@ -198,12 +198,6 @@ def _windows(b: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return row, k, begin[row] + k, data
 
 
-def _window_hashes(b: pd.DataFrame, row: np.ndarray, k: np.ndarray, at: np.ndarray, data: np.ndarray, width: int) -> np.ndarray:
-    """Of key, distance from the anchor and bytes."""
-    distance = (b["off"].to_numpy(np.int64)[row] - k).astype(np.uint64)
-    return _mix(_mix(Hashes(data).of(at, at + width)) + _mix(b["key"].to_numpy().view(np.uint64)[row] + distance))
-
-
 def suffix_classes(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """How many of the suffixes of data that start at the given places have the same first `width` bytes as each, itself
     included, by multikey quicksort: a group of suffixes alike so far is split by its next token of eight bytes, and goes on
@@ -245,6 +239,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
     if not GRAM < width <= 1000:
         raise ValueError("width must be over 32 and at most 1000")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    secret = os.urandom(16)  # part of the plan, so that tasks run again use the same
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     tasks = max(total // (85 * rows_per_range) + 1, shuffle_partitions(docs.sparkSession))
     # Sampled splitters: the keys of about 64 segments for each range, from rows drawn at random (the result doesn't
@@ -253,7 +248,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
     ranges = min(4 * tasks, MOST_RANGES)
     parts = -(-4 * tasks // ranges)
     share = min(1.0, 64 * 85 * ranges / max(total, 1))
-    sample = sorted(r["key"] for r in _segments(rows.where(F.rand(20) < share), width).where(F.col("kind") != COVERED).select("key").collect())
+    sample = sorted(r["key"] for r in _segments(rows.where(F.rand(20) < share), width, secret).where(F.col("kind") != COVERED).select("key").collect())
     cuts = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if len(sample) >= ranges else []
     several = np.array(sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b}), np.int64)
     bounds = sorted(set(cuts))
@@ -266,7 +261,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
         for b in whole_groups(batches, ["key"]):
             yield _sorted_out(b, several)
 
-    dealt = _segments(rows, width).repartition(tasks, place).sortWithinPartitions("key", "seg")
+    dealt = _segments(rows, width, secret).repartition(tasks, place).sortWithinPartitions("key", "seg")
     found = materialize(dealt.mapInPandas(sort_out, SEGMENT), "segments")
     onward = found.where(F.col("kind") != COVERED)
     crowded = onward.groupBy("key").count().where(F.col("count") > large).select("key", F.lit(True).alias("crowded"))
@@ -305,11 +300,10 @@ def remove_repeats(docs: DataFrame, width: int = 200, rows_per_range: int = 4_00
             for i in range(0, len(b), 2000):
                 part = b.iloc[i : i + 2000].reset_index(drop=True)
                 row, k, at, data = _windows(part, width)
-                h = _window_hashes(part, row, k, at, data, width)
-                yield pd.DataFrame({"h": h.view(np.int64), "kind": part["kind"].to_numpy()[row], "doc_id": part["doc_id"].iloc[row].array, "th": part["th"].to_numpy()[row], "pos": (part["pos"].to_numpy()[row] + k).astype(np.int32)})
+                yield pd.DataFrame({"h": list(digests(data, at, at + width, secret, 16)), "kind": part["kind"].to_numpy()[row], "doc_id": part["doc_id"].iloc[row].array, "th": part["th"].to_numpy()[row], "pos": (part["pos"].to_numpy()[row] + k).astype(np.int32)})
 
     few = contexts.where("NOT crowded").drop("crowded").repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(compare, cover)
-    many = contexts.where("crowded").mapInPandas(spread_windows, "h long, kind byte, doc_id long, th long, pos int")
+    many = contexts.where("crowded").mapInPandas(spread_windows, "h binary, kind byte, doc_id long, th long, pos int")
     twice = many.groupBy("h").count().where("count > 1")
     many = many.where(F.col("kind") == OPEN).join(twice, "h", "left_semi").select("doc_id", "th", "pos", F.lit(1).alias("n"))
     covered = found.where(F.col("kind") == COVERED).select("doc_id", "th", "pos", "n").unionByName(few).unionByName(many)

@@ -56,6 +56,24 @@ def test_equals_brute_force(spark, large):
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, *tuple(r)[1:]) for r in got) == slow(rows, 200)
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_segments_are_equal_when_their_bytes_are_whatever_the_grams_hashes(monkeypatch, weak):
+    """With hashes that can't tell grams apart, segments still agree only when their bytes do, and under each secret."""
+    if weak:
+        monkeypatch.setattr(repeats, "_BYTE", np.zeros(256, np.uint64))
+    texts = [t.encode() for _, t in corpus() if t and len(t.encode()) >= 200]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    kinds = []
+    for secret in (b"a", b"b"):
+        start, n, _, _, seg = repeats.find_segments(data, ends, 200, secret)
+        by_bytes = {}
+        for a, k, d in zip(start.tolist(), n.tolist(), seg.tolist(), strict=True):
+            assert by_bytes.setdefault(data[a : a + k + 199].tobytes(), d) == d
+        assert len(set(by_bytes.values())) == len(by_bytes) > 50
+        kinds.append(set(by_bytes.values()))
+    assert not kinds[0] & kinds[1]
+
+
 def test_equals_duckdb():
     import duckdb
 
