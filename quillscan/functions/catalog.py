@@ -63,11 +63,14 @@ def builtin_rules() -> list[Rule]:
 
 
 def load_rules(path: str | None = None, extend: bool = False) -> list[Rule]:
-    """A user's rules replace the built-in ones, or extend them."""
+    """A user's rules replace the built-in ones, or extend them. Patterns that could take exponential time are refused."""
     if path is None:
         return builtin_rules()
     with open(path, encoding="utf-8") as f:
         own = parse_rules(f.read())
+    for r in own:
+        if r.kind == "regex" and any(map(explosive, filter(None, (r.pattern, r.near)))):
+            raise ValueError(f"{r.id}: its pattern repeats without bound what is itself only repetition, so some texts would never end")
     return builtin_rules() + own if extend else own
 
 
@@ -154,6 +157,50 @@ def needed(pattern: str) -> Needs:
     return Needs(tuple(x.casefold() for x in found) if folded else found, folded, wide(tree) and not folded)
 
 
+def explosive(pattern: str) -> bool:
+    """Whether a pattern repeats without bound what may itself be nothing but repetitions or options, such as (a+)+ or (\\w*\\s?)*: a backtracking
+    engine may then need time exponential in the text."""
+    from re import _constants as c
+    from re import _parser
+
+    repeats = (c.MAX_REPEAT, c.MIN_REPEAT)
+
+    def loose(seq) -> bool:
+        """Whether a match of seq may consist of repeated or optional parts alone, with at least one unbounded one."""
+        unbounded = False
+        for op, arg in seq:
+            if op is c.SUBPATTERN:
+                if not loose(arg[3]):
+                    return False
+                unbounded = True
+            elif op is c.BRANCH:
+                if not any(map(loose, arg[1])):
+                    return False
+                unbounded = True
+            elif op in repeats:
+                unbounded |= arg[1] is c.MAXREPEAT
+                if arg[1] is not c.MAXREPEAT and arg[0] > 0:
+                    return False
+            elif op is not c.AT:
+                return False
+        return unbounded
+
+    def search(seq) -> bool:
+        for op, arg in seq:
+            if op in repeats and (arg[1] is c.MAXREPEAT and loose(arg[2]) or search(arg[2])):
+                return True
+            if op is c.SUBPATTERN and search(arg[3]) or op is c.BRANCH and any(map(search, arg[1])) or op in (c.ATOMIC_GROUP,) and search(arg):
+                return True
+            if op in (c.ASSERT, c.ASSERT_NOT) and search(arg[1]):
+                return True
+        return False
+
+    try:
+        return search(_parser.parse(to_python(pattern)))
+    except re.error:
+        return False
+
+
 # A finding's category is that of its first tag found here.
 CATEGORIES = {
     "obfuscation": "Obfuscation",

@@ -10,6 +10,8 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
+
 from quillscan.functions import js
 from quillscan.functions.catalog import NEAR, Needs, Rule, compiled, needed
 
@@ -20,6 +22,7 @@ DIALECTS = {
 #: Comments with which a line is exempted. Substrings, anywhere in a line.
 SUPPRESS_NEXT, SUPPRESS_LINE = "scan-ignore-next-line", "scan-ignore-line"
 SNIPPET = 120
+_QUOTED = re.compile("[\"'][^\n]*")
 
 
 def dialect(path: str) -> str | None:
@@ -46,7 +49,36 @@ class Ready:
     needs: Needs
 
 
-def prepare(rules: list[Rule]) -> list[Ready]:
+class Prepared(list):
+    """Rules with their patterns compiled, and one automaton (Aho-Corasick) over the literals that their matches must contain: a single pass over
+    a text tells which patterns are worth trying."""
+
+    def __init__(self, ready: list[Ready]):
+        super().__init__(ready)
+        of: dict[str, int] = {}
+        self.always = 0
+        for k, r in enumerate(ready):
+            if r.needs.literals:
+                for x in r.needs.literals:
+                    of[x.casefold()] = of.get(x.casefold(), 0) | 1 << k
+            else:
+                self.always |= 1 << k
+        self.automaton = ahocorasick.Automaton()
+        for x, mask in of.items():
+            self.automaton.add_word(x, mask)
+        if of:
+            self.automaton.make_automaton()
+
+    def worth(self, t: Text) -> int:
+        """A bit for each rule whose literals the text may hold, whatever their case, or that has none."""
+        found = self.always
+        if len(self.automaton):
+            for _, mask in self.automaton.iter(t.folded):
+                found |= mask
+        return found
+
+
+def prepare(rules: list[Rule]) -> Prepared:
     """An invalid first pattern makes a rule never match, an invalid second one lets all its matches pass."""
     out = []
     for r in rules:
@@ -54,7 +86,7 @@ def prepare(rules: list[Rule]) -> list[Ready]:
         if primary is not None and primary.match("") and r.kind == "regex":
             raise ValueError(f"{r.id}: its pattern matches the empty text")
         out.append(Ready(r, primary, compiled(r.near) if r.near and r.kind == "regex" else None, needed(r.pattern) if r.kind == "regex" else Needs()))
-    return out
+    return Prepared(out)
 
 
 class Text:
@@ -67,18 +99,31 @@ class Text:
         self._nodes: list[js.Node] | None = None
         self._folded: str | None = None
 
+    @property
+    def folded(self) -> str:
+        if self._folded is None:
+            self._folded = self.content.casefold()
+        return self._folded
+
     def may_match(self, needs: Needs) -> bool:
         if needs.wide and self.ascii:
             return False
         if not needs.literals:
             return True
-        text = self.content
-        if needs.folded:
-            if self._folded is None:
-                self._folded = text.casefold()
-            text = self._folded
+        text = self.folded if needs.folded else self.content
         return any(x in text for x in needs.literals)
 
+    def may_hold_literal(self, characters: float) -> bool:
+        """Whether a string or template may have more than so many different characters: a string ends with its line at the latest, unless a
+        backslash goes before the line's end; a template may go on to the text's end."""
+        text = self.content
+        back = text.find("`")
+        if back >= 0 and len(set(text[back:])) > characters:
+            return True
+        if '"' not in text and "'" not in text:
+            return False
+        return "\\\n" in text or any(len(m[0]) > characters and len(set(m[0])) > characters for m in _QUOTED.finditer(text))
+
     @property
     def nodes(self) -> list[js.Node]:
         if self._nodes is None:
@@ -134,14 +179,16 @@ def _offsets(t: Text, r: Ready) -> Iterator[int]:
                 yield m.start()
     elif kind == "entropy":
         limit = 4.5 if rule.threshold is None else rule.threshold
-        if len(set(t.content)) <= 2**limit:  # no literal can have more characters than the text
+        if not t.may_hold_literal(2**limit):
             return
         for n in t.nodes:
             if n.kind in ("string", "template_string"):
                 inner = t.content[n.start : n.end].strip("\"'`")
                 if len(inner.encode("utf-8", "surrogatepass")) >= 16 and entropy(inner) > limit:
                     yield n.start
-    elif rule.pattern.split(":")[-1].split(".")[-1] not in t.content and kind != "ast_node_type":
+    elif kind == "ast_node_type" and rule.pattern.partition(":")[2] not in t.content:
+        return
+    elif kind != "ast_node_type" and rule.pattern.split(":")[-1].split(".")[-1] not in t.content:
         return
     elif kind == "call_expression":
         yield from (n.start for n in t.nodes if n.kind == kind and n.head == rule.pattern)
@@ -160,7 +207,10 @@ def _offsets(t: Text, r: Ready) -> Iterator[int]:
 def hits(content: str, ready: list[Ready]) -> list[Hit]:
     """All matches, rules in catalog order."""
     t, out = Text(content), []
+    worth = ready.worth(t) if isinstance(ready, Prepared) else -1
     for k, r in enumerate(ready):
+        if not worth >> k & 1:
+            continue
         if r.rule.kind == "long_line":
             limit = int(1000 if r.rule.threshold is None else r.rule.threshold)
             out += [Hit(k, n, 1, t.snippet(n)) for n, line in t.lines() if len(line) > limit or len(line) * 4 > limit and len(line.encode("utf-8", "surrogatepass")) > limit]

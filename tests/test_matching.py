@@ -3,7 +3,7 @@ import math
 import pytest
 
 from quillscan.functions import js, matching
-from quillscan.functions.catalog import Rule, builtin_rules, parse_rules, to_java, to_python
+from quillscan.functions.catalog import Rule, builtin_rules, explosive, load_rules, parse_rules, to_java, to_python
 from quillscan.functions.matching import Text, dialect, entropy, hits, prepare, suppressed
 from quillscan.plans.samples import RULES
 
@@ -110,3 +110,28 @@ def test_native_form_gives_the_same_places(spark):
     df = df.withColumn("line", native.line_of(F.col("content"), F.col("offset")))
     got = df.select("line", native.column_of(F.col("content"), F.col("offset")), native.snippet_of(F.col("content"), F.col("line"))).collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 2
+
+
+def test_the_automaton_and_the_literal_test_hide_no_match(monkeypatch):
+    import pandas as pd
+
+    ready = prepare(builtin_rules())
+    sf = "/root/testdata/sf0.001"
+    texts = [*RULES.values(), *(x + "\n" + y for x, y in zip(RULES.values(), reversed(RULES.values()), strict=True)), *pd.read_parquet(f"{sf}/documents.parquet").text.dropna(), *pd.read_parquet(f"{sf}/pages.parquet").html.dropna()]
+    texts += ["x = '" + "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7cF0xLrUoIi!@#%^&*()" + end for end in ("'", "", "\\\n z'", "\n'")] + ["`a\nB3dE6gH9jK2mN5pQ8sT1v\nW4yZ7cF0xLrUoIi!@#%^&*()`", "EVAL(x) ßſeval(y)"]
+    fast = [hits(t, ready) for t in texts]
+    monkeypatch.setattr(Text, "may_hold_literal", lambda self, n: True)
+    assert fast == [hits(t, list(ready)) for t in texts] and sum(map(len, fast)) > 150
+
+
+@pytest.mark.parametrize("pattern", ["(a+)+$", r"(?:\w*\s?)*!", "(x|[a-z]+)*y", "a(?:(?:b*)*)c", "(?=(a+)+b)"])
+def test_patterns_that_may_never_end_are_refused(tmp_path, pattern):
+    path = tmp_path / "r.toml"
+    path.write_text(f"[[rule]]\nid = 'X'\nname = 'x'\ndescription = 'x'\nseverity = 'low'\nkind = 'regex'\npattern = '''{pattern}'''\n")
+    with pytest.raises(ValueError, match="X: its pattern repeats"):
+        load_rules(str(path))
+
+
+def test_ordinary_patterns_are_kept():
+    assert not [r.id for r in builtin_rules() if r.kind == "regex" and (explosive(r.pattern) or r.near and explosive(r.near))]
+    assert not any(map(explosive, [r"(?:,\s*\w+\s*)+", "(ab+)*", "[a-z]+(?:-[a-z]+)*", "(?:a{1,3}){2}", "("]))
