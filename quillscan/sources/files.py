@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import glob
 import io
 import os
+import re
 import tarfile
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,38 +31,104 @@ def is_manifest(path) -> F.Column:
     return F.element_at(F.split(path, "/"), -1) == "package.json"
 
 
-def ignored_paths(root: str) -> list[str]:
-    """The absolute paths that a root's ignore file names: globs below it, one a line, blank lines and # comments
-    skipped. A directory's entry doesn't exclude what is in it."""
-    base = root if os.path.isdir(root) else os.path.dirname(root) or "."
-    try:
-        with open(os.path.join(base, IGNORE_FILE), encoding="utf-8") as f:
-            patterns = [line.strip() for line in f]
-    except OSError:
-        return []
-    return sorted({os.path.realpath(p) for x in patterns if x and not x.startswith("#") for p in glob.glob(os.path.join(glob.escape(base), x), recursive=True)})
+def glob_pattern(glob_: str) -> str:
+    """A regular expression for a glob over a path's parts: * and ? stay within a part, ** as a part of its own stands for any number of them."""
+    out = ""
+    parts = re.sub(r"/+", "/", glob_).strip("/").split("/")
+    for k, part in enumerate(parts):
+        last = k == len(parts) - 1
+        if part == "**":
+            out += ".*" if last else "(?:[^/]+/)*"
+            continue
+        at = 0
+        while at < len(part):
+            c = part[at]
+            end = part.find("]", at + (3 if part[at + 1 : at + 2] == "!" else 2)) if c == "[" else -1
+            if c in "*?":
+                out += "[^/]*" if c == "*" else "[^/]"
+            elif end > 0:
+                inner = part[at + 1 : end]
+                negated = inner.startswith("!")
+                for special in "\\[^&":
+                    inner = inner.replace(special, "\\" + special)
+                out += f"[^/{inner[1:]}]" if negated else f"[{inner}]"
+                at = end
+            else:
+                out += re.escape(c)
+            at += 1
+        out += "" if last else "/"
+    return out
+
+
+@dataclass(frozen=True)
+class Root:
+    """A path to scan: as the file system names it, as its files' paths begin, whether it is a file, and the globs of the ignore file beside it or in it."""
+
+    uri: str
+    path: str
+    single: bool
+    globs: tuple[str, ...] = ()
+
+    @property
+    def base(self) -> str:
+        return self.path.rsplit("/", 1)[0] if self.single else self.path.rstrip("/")
+
+    def kept(self, path: F.Column, ignored: tuple[str, ...]) -> F.Column:
+        """Whether a scan of this root takes the file of that path."""
+        if self.single:
+            inside = path == self.path
+        else:
+            top = self.base.rsplit("/", 1)[0]
+            inside = path.startswith(f"{self.base}/") & ~F.arrays_overlap(F.split(F.substring(path, F.lit(len(top) + 2), F.lit(1 << 30)), "/"), F.array(*map(F.lit, ignored)).cast("array<string>"))
+        if self.globs:
+            rest = F.substring(path, F.lit(len(self.base) + 2), F.lit(1 << 30))
+            inside = inside & ~rest.rlike("^(?s:" + "|".join(map(glob_pattern, self.globs)) + r")\z")
+        return inside
+
+
+def _plain(path: str) -> str:
+    """A local URI as the path it names; any other path as it is."""
+    return re.sub("^file:/+", "/", path)
+
+
+def root_of(spark: SparkSession, path: str) -> Root:
+    """A root on any Hadoop file system. Its ignore file has a glob a line, blank lines and # comments skipped. A directory's glob
+    doesn't exclude what is in it."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path if "://" in path else f"file://{os.path.realpath(path)}")
+    fs = where.getFileSystem(hadoop)
+    full = fs.makeQualified(where)
+    single = fs.exists(full) and fs.getFileStatus(full).isFile()
+    beside = jvm.org.apache.hadoop.fs.Path(full.getParent() if single else full, IGNORE_FILE)
+    globs: list[str] = []
+    if fs.exists(beside):
+        stream = fs.open(beside)  # not through a reader of Spark's, which skips names that begin with a dot
+        try:
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        globs = [x for line in text.splitlines() if (x := line.strip()) and not x.startswith("#")]
+    return Root(full.toString(), _plain(full.toString()), single, tuple(sorted(set(globs))))
 
 
 def files(spark: SparkSession, paths: list[str], ignored: tuple[str, ...] = IGNORED, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """path, kind (code or manifest), n_bytes, content (null: over the limit or not UTF-8) of the files below the paths.
-
-    Names and sizes are filtered before any content is read. A path
-    given twice counts once. A path that is a file is taken directly; below a
-    directory, and for the directory itself, those named in `ignored` are pruned."""
+    """path, kind (code or manifest), n_bytes, content (null: over the limit or not UTF-8) of the files below the paths, which may
+    be on any Hadoop file system.
+
+    Names and sizes are filtered before any content is read, and Spark packs the files into tasks by their sizes. A file below
+    several paths counts once: each path leaves out what the paths before it take, which their names tell, so no content is
+    shuffled for that. A path that is a file is taken directly; below a
+    directory, and for the directory itself, those named in `ignored` are pruned. Symbolic links in a local path itself are followed. Names that
+    begin with a dot or an underscore aren't listed, as by Spark's file sources."""
+    roots = list(dict.fromkeys(root_of(spark, p) for p in paths or ["."]))
+    name = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
     out = None
-    for root in paths or ["."]:
-        real = os.path.realpath(root) if "://" not in root else root
-        single = os.path.isfile(real)
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(real)
-        name = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^file:/*", "/") if "://" not in root else F.col("path")
-        part = listed.withColumn("path", name).where(is_code(F.col("path")) | is_manifest(F.col("path")))
-        if not single and ignored:
-            top = os.path.dirname(real.rstrip("/"))
-            rest = F.split(F.expr(f"substring(path, {len(top) + 1})"), "/")
-            part = part.where(~F.arrays_overlap(rest, F.array(*map(F.lit, ignored))))
-        skip = ignored_paths(root) if "://" not in root else []
-        if skip:
-            part = part.join(F.broadcast(spark.createDataFrame([(p,) for p in skip], "path string")), "path", "left_anti")
+    for k, root in enumerate(roots):
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root.uri)
+        part = listed.withColumn("path", F.when(F.col("path").startswith("file:"), name).otherwise(F.col("path")))
+        part = part.where((is_code(F.col("path")) | is_manifest(F.col("path"))) & root.kept(F.col("path"), ignored))
+        for before in roots[:k]:
+            part = part.where(~before.kept(F.col("path"), ignored))
         out = part if out is None else out.unionByName(part)
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     row = lambda kind, content: [F.lit(kind).alias("kind"), F.col("length").alias("n_bytes"), content.alias("content")]
@@ -70,7 +137,7 @@ def files(spark: SparkSession, paths: list[str], ignored: tuple[str, ...] = IGNO
     small = code.where(F.col("length") <= max_bytes).select("path", *row("code", text))
     large = code.where(F.col("length") > max_bytes).select("path", *row("code", F.lit(None).cast("string")))
     manifests = out.where(is_manifest(F.col("path"))).select("path", *row("manifest", text))
-    return small.unionByName(large).unionByName(manifests).dropDuplicates(["path"])
+    return small.unionByName(large).unionByName(manifests)
 
 
 def scan_stats(found: DataFrame) -> DataFrame:

@@ -154,6 +154,31 @@ def test_files(spark, tree):
     assert (stats["js_files"], stats["manifest_files"]) == (4, 1)
 
 
+def test_ignore_globs_hold_on_any_root_and_overlapping_roots_count_once(spark, tree):
+    (tree / ".scanignore").write_text("skip/*.ts\n# none\n\n**/f g*.ts\n[ab]?.js\n")
+    for name in ("ab.js", "x/ab.js", "x/y/f gz.ts", "skip/deep/e.ts", "x/h.js"):
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_text("eval(x)")
+    names = lambda paths: sorted(r["path"].removeprefix(f"{tree}/") for r in files.files(spark, paths).select("path").collect())
+    want = ["a.js", "bad.js", "big.js", "skip/deep/e.ts", "sub/package.json", "x/ab.js", "x/h.js"]
+    assert names([str(tree)]) == want == names([f"file://{tree}"])
+    # A path below another takes what its own ignore file leaves; what both take counts once.
+    both = files.files(spark, [str(tree), str(tree / "x"), str(tree / "ab.js"), f"file://{tree}", str(tree / "node_modules/c.js")])
+    assert sorted(r["path"].removeprefix(f"{tree}/") for r in both.select("path").collect()) == sorted([*want, "x/y/f gz.ts", "node_modules/c.js"])
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("glob", "yes", "no"), [
+    ("*.js", ["a.js", ".b.js"], ["x/a.js", "a.jsx"]), ("**/*.js", ["a.js", "x/y/a.js"], ["a.ts"]), ("x/**", ["x/a", "x/y/b"], ["x", "xx/a"]),
+    ("x/**/z?", ["x/z1", "x/a/b/zz"], ["x/z", "x/a/z/1"]), ("[!ab].ts", ["c.ts"], ["a.ts", "/.ts"]), ("a+(b).js", ["a+(b).js"], ["aab.js"]), ("[].js", ["[].js"], [".js"]),
+])
+def test_globs(glob, yes, no):
+    import re
+
+    found = re.compile(files.glob_pattern(glob))
+    assert all(found.fullmatch(x) for x in yes) and not any(found.fullmatch(x) for x in no)
+
+
 def test_command_line(spark, tree, tmp_path):
     out = io.StringIO()
     assert cli.main([str(tree), "-f", "json"], spark, out) == 2
