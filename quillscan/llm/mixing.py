@@ -22,6 +22,8 @@ kept by `sample`.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ MARGINS = ("source", "lang", "topic")
 BANDS = (("short", 150), ("medium", 600))
 #: A marginal's distance from its target at which raking ends.
 CLOSE = 1e-13
+#: One beyond which unmet targets are reported.
+MET = 1e-6
 Target = dict[str, float] | float
 
 
@@ -66,20 +70,25 @@ def _targets(cells: DataFrame, margin: str, target: Target) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = 24, every: int = 4) -> DataFrame:
-    """cells(source, lang, topic, docs, tokens) with `weight`: raked shares that sum to one."""
+    """cells(source, lang, topic, docs, tokens) with `weight`: raked shares that sum to one. Targets that can't all be met (cells that they need are
+    missing) leave the weights of the last round, with a warning that says how far off they are; `residual` tells it, too."""
     out = cells
     for m in MARGINS:
         out = out.join(_targets(cells, m, targets[m]).withColumnRenamed("share", f"t_{m}"), m, "left")
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     out = materialize(out.withColumn("weight", F.when(F.col("tokens") > 0, F.col("tokens") / F.lit(total)).otherwise(0.0)), "cells")
+    off = 0.0
     for done in range(1, rounds + 1):
         for m in MARGINS:
             held = F.sum("weight").over(Window.partitionBy(m))
             out = out.withColumn("weight", F.when(held > 0, F.col("weight") * F.coalesce(f"t_{m}", F.lit(0.0)) / held).otherwise(0.0))
         if done % every == 0 or done == rounds:
             out = materialize(out, "cells")
-            if residual(out) <= CLOSE:
+            off = residual(out)
+            if off <= CLOSE:
                 break
+    if off > MET:
+        warnings.warn(f"targets not met after {rounds} rounds: a marginal is {off:.3g} of all weight away from its own", stacklevel=2)
     return out.select(*MARGINS, "docs", "tokens", "weight")
 
 

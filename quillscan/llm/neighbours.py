@@ -13,7 +13,7 @@ shard gets all of them, a lot of `lot_blocks` blocks in each task, which searche
 original vectors (doubles where the column holds them) in double precision, summed in the order of the components.
 
 Defined results: an empty table gives no rows; ties go to the smaller id. Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows without
-an id. Rows with the same id count once (the least vector). Vectors of different lengths aren't compared. A query with
+an id. Rows equal in id and vector count once; rows of one id with different vectors are queries and candidates of their own. Vectors of different lengths aren't compared. A query with
 fewer candidates than k gets them all. Extra columns are ignored.
 """
 
@@ -39,7 +39,7 @@ HELD = 1 << 20
 class Tree:
     """A vantage-point tree over distinct vectors, as arrays: one row for each leaf and its way down."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, top: float, copies: int, leaf: int = 64, seed: int = 1):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, top: float, copies: int, leaf: int = 64, seed: int = 1, rows: np.ndarray | None = None):
         order = np.lexsort(vectors.T[::-1])
         v = vectors[order]
         new = np.ones(len(v), bool)
@@ -50,6 +50,7 @@ class Tree:
         rank = np.arange(len(by)) - np.flatnonzero(new)[group[by]]
         keep = by[rank < copies]
         self.ids, self.owner = ids[order][keep], group[keep]
+        self.rows = self.ids if rows is None else rows[order][keep]  # what tells a row from all others
         self.first = np.searchsorted(self.owner, np.arange(len(self.vectors) + 1))
         x = self.vectors.astype(np.float64)
         x = np.hstack([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))[:, None]])
@@ -96,7 +97,7 @@ class Tree:
         return row[keep], entry[keep], score[keep]
 
     def search(self, q: np.ndarray, own: np.ndarray, k: int, factor: float, probe: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(query position, id, score) of the k best for each query, in order, and the number of leaf visits."""
+        """(query position, id, score) of the k best for each query, in order, and the number of leaf visits; `own` are the queries' rows."""
         q, want = q.astype(np.float64), k + 1
         near, margin = np.full((len(q), want), -np.inf), MARGIN * self.top
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -128,7 +129,7 @@ class Tree:
         many = self.first[entry + 1] - self.first[entry]
         at = np.repeat(self.first[entry], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         row, score, ids = np.repeat(row, many), np.repeat(score, many), self.ids[at]
-        other = ids != own[row]
+        other = self.rows[at] != own[row]
         row, score, ids = row[other], score[other], ids[other]
         order = np.lexsort((ids, -score, row))
         row, score, ids = row[order], score[order], ids[order]
@@ -143,45 +144,45 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
     single = vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull)
     kind, own = (np.float32, "array<float>") if single else (np.float64, "array<double>")
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound)
-    rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast(own).alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = materialize(rows.withColumn("dim", F.size("embedding")), "vectors")
+    rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast(own).alias("embedding")).distinct()
+    rows = materialize(rows.withColumns({"dim": F.size("embedding"), "own": F.monotonically_increasing_id()}), "vectors")
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.max(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()
     shards, blocks, top = -(-seen["n"] // shard_rows) or 1, -(-seen["q"] // block_rows) or 1, (seen["top"] or 0.0) * (1 + 1e-9)
     lots = -(-blocks // lot_blocks)
 
     def grow(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("vec_id")
-        tree = Tree(np.stack(b["embedding"].to_list()).astype(kind), b["vec_id"].to_numpy(np.int64), top, k + 1)
+        b = b.sort_values(["vec_id", "own"])
+        tree = Tree(np.stack(b["embedding"].to_list()).astype(kind), b["vec_id"].to_numpy(np.int64), top, k + 1, rows=b["own"].to_numpy(np.int64))
         return pd.DataFrame({"dim": b["dim"].iloc[:1], "shard": b["shard"].iloc[:1], "tree": [pickle.dumps(tree)]})
 
     def pack(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": b["dim"].iloc[:1], "block": b["block"].iloc[:1], "asks": [pickle.dumps((b["vec_id"].to_numpy(np.int64), np.stack(b["embedding"].to_list()).astype(kind)))]})
+        return pd.DataFrame({"dim": b["dim"].iloc[:1], "block": b["block"].iloc[:1], "asks": [pickle.dumps((b["own"].to_numpy(np.int64), b["vec_id"].to_numpy(np.int64), np.stack(b["embedding"].to_list()).astype(kind)))]})
 
     def search(trees: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})]
+        out = [pd.DataFrame({"own": [], "query_id": [], "vec_id": [], "score": []}).astype({"own": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})]
         for tree in map(pickle.loads, trees["tree"]):  # one, or none where no vector of this length fell in the shard
-            for ids, q in map(pickle.loads, asks["asks"]):
-                row, found, score, _ = tree.search(q, ids, k, factor)
-                out.append(pd.DataFrame({"query_id": ids[row], "vec_id": found, "score": score}))
+            for own_, ids, q in map(pickle.loads, asks["asks"]):
+                row, found, score, _ = tree.search(q, own_, k, factor)
+                out.append(pd.DataFrame({"own": own_[row], "query_id": ids[row], "vec_id": found, "score": score}))
         return pd.concat(out, ignore_index=True)
 
-    trees = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInPandas(grow, "dim int, shard int, tree binary")
-    asks = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(pack, "dim int, block int, asks binary")
+    trees = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "own"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInPandas(grow, "dim int, shard int, tree binary")
+    asks = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", "own", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(pack, "dim int, block int, asks binary")
     # A stated query set against all rows, in blocks: each block meets each shard once. Blocks, which are small, go to the shards; a tree is
     # copied only once for each lot of blocks.
     asks = materialize(asks, "asks").select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod("block", F.lit(lots)).cast("int").alias("lot"), "asks")
     trees = materialize(trees, "vp-trees").select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"), "tree")
-    found = trees.groupBy("dim", "shard", "lot").cogroup(asks.groupBy("dim", "shard", "lot")).applyInPandas(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = trees.groupBy("dim", "shard", "lot").cogroup(asks.groupBy("dim", "shard", "lot")).applyInPandas(search, "own long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("own").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def oracle_sql(every: int = 20, k: int = 20) -> str:
     """Brute force over all pairs of a query and a candidate, for DuckDB."""
     return f"""
-WITH v AS (SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda a, b: a + b) AS score
-  FROM v q JOIN v c ON q.vec_id % {every} = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p)
+WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, q.e AS own, c.vec_id, list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON q.vec_id % {every} = 0 AND (c.vec_id <> q.vec_id OR c.e <> q.e) AND len(c.e) = len(q.e)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""

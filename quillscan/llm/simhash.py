@@ -15,7 +15,7 @@ union-find, so a shard emits one link for each member at most, never all its pai
 
 Defined results: an empty table gives no rows, and very long texts are read whole; a null text counts as empty; texts without words have fingerprint zero, linked like any other. A null
 doc_id is kept: its row gets the component of its fingerprint, null where no row of the component has an id. Repeated rows get one result row each.
-Extra columns are ignored by `near_duplicates` and kept by `drop_near_duplicates`.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -162,9 +162,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(placed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """docs with the rows of one id, the least, of each component; rows without an id stay."""
-    found = near_duplicates(docs, words, radius, seed)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

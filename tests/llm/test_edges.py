@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillscan.llm import imatch, language, mixing, pieces, quality, repeats, secrets, simhash, tokencount
+from quillscan.llm import imatch, language, licenses, merkle, mixing, neardup, pieces, quality, repeats, secrets, simhash, tokencount
 
 SHAPE = (
     "doc_id long, text string, lang string, source string, n_chars long, topic string, key string, rank int, score double, fp long, root long, stats array<double>, "
@@ -28,10 +28,12 @@ OPERATORS = {
     "quality": lambda d, labels: quality.score(d, labels),
     "simhash": lambda d, labels: simhash.near_duplicates(d),
     "tokens": lambda d, labels: tokencount.count_tokens(d),
+    "merkle": lambda d, labels: merkle.verified(merkle.manifest(d, changed=merkle.tampered(d))),
+    "licenses": lambda d, labels: licenses.scan(d),
 }
 STAGES = {
     "quality": lambda d, labels: quality.keep_good(d, labels),
-    "simhash": lambda d, labels: simhash.drop_near_duplicates(d),
+    "neardup": lambda d, labels: neardup.drop_near_copies(d),
     "secrets": lambda d, labels: secrets.redact(d),
     "mixing": lambda d, labels: mixing.sample(d),
 }

@@ -58,3 +58,9 @@ def test_sample_keeps_columns_and_follows_the_probabilities(spark):
     odd = docs.withColumns({c: F.lit("x") for c in ("__tokens", "__SOURCE", "__topic", "__p", "__w", "__sampled")})
     assert mixing.sample(odd).select(*docs.columns).exceptAll(taken).count() == 0 and mixing.sample(odd).where("__tokens = 'x' AND __p = 'x'").count() == taken.count()
     assert mixing.weigh(docs, topic="weight").where("topic = '7'").count() == 600
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "x", 0), (2, "a b c", "de", "y", 0)], SHAPE)
+    with pytest.warns(UserWarning, match="targets not met after 3 rounds"):
+        mixing.weigh(docs, {"source": {"x": 0.9, "y": 0.1}, "lang": {"en": 0.1, "de": 0.9}, "topic": 1.0}, rounds=3).collect()

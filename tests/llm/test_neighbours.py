@@ -54,6 +54,20 @@ def test_few_candidates_repeated_rows_and_none(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_rows_of_one_id_with_different_vectors_all_count(spark):
+    import duckdb
+
+    data = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 5.0]), (1, [9.0, 0.0]), (20, [0.0, 1.0]), (20, [2.0, 2.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, neighbours.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=2).collect()))
+    assert [(q, v, s) for q, _, v, s in got if q == 0] == [(0, 1, 9.0), (0, 20, 2.0), (0, 1, 1.0), (0, 1, 0.0), (0, 20, 0.0)]
+    assert len(got) == 15
+    c = duckdb.connect()
+    c.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    c.executemany("INSERT INTO embeddings VALUES (?, ?)", data)
+    assert got == sorted(c.execute(neighbours.oracle_sql()).fetchall())
+
+
 def test_recall_and_pruning_with_a_larger_factor():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(10, 64))

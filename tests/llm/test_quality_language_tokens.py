@@ -92,6 +92,19 @@ def test_spans_cover_the_text_and_counts_add_up(text):
         assert np.allclose(tokencount.attribute(first, last, ends, rule), counts)
 
 
+def test_crossing_tokens_are_those_whose_ends_lie_in_different_sections(spark):
+    texts = ["one two\n\n\nthree \n four", "a\n\n\n\nb\t\t\nc", "", "\n \n \n", "日本\n\n語 \n\n\n x" * 30]
+    got = {r["doc_id"]: r["n_crossing"] for r in tokencount.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        section, now = [], 0
+        for c in text:
+            section.append(now)
+            now += c == "\n"
+        first, last = tokencount.token_spans(text)
+        assert got[k] == sum(section[a] != section[b] for a, b in zip(first.tolist(), last.tolist(), strict=True))
+    assert sum(got.values()) > 0
+
+
 def test_token_counts_of_a_table(spark):
     docs = spark.createDataFrame([(1, "one two\nthree"), (2, None), (3, ""), (None, "x"), (1, "one two\nthree"), (4, "word " * 40_000)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in tokencount.count_tokens(docs).collect()}

@@ -53,9 +53,6 @@ def test_matches_brute_force_over_all_pairs(spark):
     want = slow_components(rows)
     assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == want
     assert sorted(map(tuple, simhash.near_duplicates(docs, shard_rows=7).collect())) == want  # shards cut into pieces
-    kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _, c in want if i == c)
 
 
 def test_links_near_pairs_of_random_fingerprints(spark):
@@ -92,4 +89,3 @@ def test_null_ids_and_no_rows(spark):
     got = simhash.near_duplicates(docs).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == [(-1, -1), (-1, 4), (4, 4)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    assert simhash.drop_near_duplicates(docs).count() == 3
