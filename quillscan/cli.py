@@ -11,8 +11,7 @@ from pyspark.sql import SparkSession
 
 from quillscan.functions.catalog import SEVERITIES, builtin_rules, load_rules
 from quillscan.functions.packages import POPULAR, load_names
-from quillscan.operators import scan
-from quillscan.plans import notify, oneshot, report
+from quillscan.plans import export, notify, oneshot, report
 from quillscan.sources import config, files, registry
 
 
@@ -23,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--extend-rules", action="store_true", help="add them to the built-in ones instead")
     p.add_argument("-s", "--severity", default="low", help="least severity")
     p.add_argument("-f", "--format", default="text", help="text, json or sarif")
+    p.add_argument("--report", metavar="PATH", help="write the JSON or SARIF report (-f) there, of any size and on any file system, instead of printing it")
     p.add_argument("--verbose", action="store_true")
     p.add_argument("-d", "--deobfuscate", action="store_true", help="print rewritten sources and stop")
     p.add_argument("-o", "--output", help="folder for rewritten sources")
@@ -88,13 +88,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     accepted = files.accepted(spark, a.baseline) if a.baseline and not a.write_baseline else None
     result = oneshot.run(spark, options, rules, accepted)
     if a.write_baseline:
-        keys = [r["key"] for r in scan.accepted_keys(result.findings).collect()]
         try:
-            report.write_accepted(keys, a.baseline, result.findings.count())
-        except OSError as e:
+            export.write_accepted(result.findings, a.baseline if "://" in a.baseline else os.path.abspath(a.baseline))
+        except Exception as e:  # noqa: BLE001  the file system's own errors
             print(e, file=sys.stderr)
             return 1
         return 0
+    if a.report and a.format in ("json", "sarif"):
+        {"json": export.write_json, "sarif": export.write_sarif}[a.format](result.findings, result.scored, a.report if "://" in a.report else os.path.abspath(a.report))
+        worst = result.findings.agg({"severity_rank": "max"}).first()[0]
+        return report.exit_code([{"severity": SEVERITIES[worst - 1]}] if worst else [], a.exit_threshold)
     o = report.outcome(", ".join(a.paths), result.findings, result.scored)
     if a.format == "json":
         say(report.json_report(o))

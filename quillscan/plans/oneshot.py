@@ -12,6 +12,7 @@ from quillscan.functions.packages import POPULAR
 from quillscan.functions.pretty import pretty
 from quillscan.operators import manifest, scan, score
 from quillscan.sources import files
+from quillscan.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ class Result:
 
 def run(spark: SparkSession, options: Options, rules: list[Rule] | None = None, accepted: DataFrame | None = None) -> Result:
     sources = files.files(spark, list(options.paths), max_bytes=options.max_bytes)
-    every = findings(sources, options, rules)
+    every = scan.ordered(stored(findings(sources, options, rules)))  # matched once, whatever is asked of the result
     kept = scan.ordered(scan.except_accepted(every, accepted)) if accepted is not None else every
     hidden = every.count() - kept.count() if accepted is not None else 0
     scored = score.scores(kept.withColumn("subject", F.lit(", ".join(options.paths))), subject="subject")

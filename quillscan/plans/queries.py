@@ -19,7 +19,7 @@ from quillscan.operators import manifest, scan, score
 from quillscan.plans import derived, notify, report, samples
 from quillscan.sources import files, registry
 from quillscan.sources.config import Target
-from quillscan.sources.tables import read_table
+from quillscan.sources.tables import read_table, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -314,7 +314,7 @@ def q_fresh_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     day = F.datediff("day", F.lit("2024-01-01").cast("date")).cast("long")
     scans = _scans(spark, sf_dir).select(F.col("subject").cast("string").alias("subject"), day.alias("scan"), "key", F.date_format("day", "yyyy-MM-dd").alias("payload"))
-    root = f"{monitor.scratch(spark)}/scans"
+    root = f"{scratch(spark)}/scans"
     for k in range(3):
         landing.land(scans.where(F.least(F.floor(F.col("scan") / 10), F.lit(2)) == k), root, str(k))
     found = monitor.drained(state.fresh_findings(landing.landings(spark, root, monitor.SCANS)), "findings").where("fresh")

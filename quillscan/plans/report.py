@@ -121,9 +121,13 @@ def exit_code(findings: Sequence[dict], threshold: str = "high") -> int:
     return 2 if any(ranks[f["severity"]] >= ranks.get(threshold.lower(), 3) for f in findings) else 0
 
 
+def accepted_head(n_findings: int) -> str:
+    return f"# accepted findings, one identity a line\n# {n_findings} findings\n"
+
+
 def write_accepted(keys: list[str], path: str, n_findings: int) -> None:
     with open(path, "w", encoding="utf-8") as f:
-        f.write(f"# accepted findings, one identity a line\n# {n_findings} findings\n" + "".join(f"{k}\n" for k in sorted(set(keys))))
+        f.write(accepted_head(n_findings) + "".join(f"{k}\n" for k in sorted(set(keys))))
 
 
 def rule_listing(rules) -> str:

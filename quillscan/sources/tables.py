@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes up to which a table in few files is dealt over all cores.
@@ -18,3 +21,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
         return df
     return df.repartition(2 * cores)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share; it goes when the application ends."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='quillscan-')}"
+    path = f"{found.rstrip('/')}/quillscan/own-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to a shared folder and read from there, for results that several steps need."""
+    path = f"{scratch(df.sparkSession)}/stored"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

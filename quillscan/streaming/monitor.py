@@ -4,8 +4,6 @@ that the subject's previous scan didn't have are reported. State is Spark's own,
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
 
@@ -20,6 +18,7 @@ from quillscan.plans import notify
 from quillscan.plans.report import Outcome
 from quillscan.sources import files, registry
 from quillscan.sources.config import Config, Target
+from quillscan.sources.tables import scratch
 from quillscan.streaming import state, tree
 from quillscan.streaming.landing import drop, exists, land, landings
 from quillscan.streaming.ticks import ticks
@@ -100,21 +99,6 @@ def poll_stream(spark: SparkSession, wanted: DataFrame, documents: registry.Docu
     return state.version_changes(files.registry_versions(documents(asked).where("json IS NOT NULL"), "poll"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; it goes when the application ends."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='quillscan-')}"
-    path = f"{found.rstrip('/')}/quillscan/stream-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(where)
-    fs.deleteOnExit(where)
-    return path
-
-
 def drained(stream: DataFrame, name: str, at: str | None = None) -> DataFrame:
     """What the stream gives until nothing is due, as a table of its own in `at` (a new shared folder by default); a second call with the same
     folder goes on where the first ended."""

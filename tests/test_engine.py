@@ -200,6 +200,23 @@ def test_command_line(spark, tree, tmp_path):
     assert cli.main([str(tree), "-d"], spark, out) == 0 and "// === " in out.getvalue()
 
 
+def test_reports_written_by_tasks_have_the_bytes_of_the_collected_ones(spark, tmp_path):
+    from quillscan.plans import export
+
+    texts = [("é/" + str(k) + ".js", v + "\n// ü\n" + w) for k, (v, w) in enumerate(zip(list(samples.RULES.values())[:40], reversed(list(samples.RULES.values())), strict=False))]
+    every = scan.deduplicate(scan.scan(spark.createDataFrame(texts, "path string, content string").repartition(5))).cache()
+    for found in (every, every.where(F.lit(False)), every.limit(1)):
+        scored = score.scores(found.withColumn("subject", F.lit("s")), subject="subject")
+        o = report.outcome("s", scan.ordered(found), scored)
+        export.write_json(found, scored, str(tmp_path / "j"))
+        export.write_sarif(found, scored, f"file://{tmp_path}/s", base="é")
+        export.write_accepted(found, str(tmp_path / "a"))
+        report.write_accepted([r["key"] for r in scan.accepted_keys(found).collect()], str(tmp_path / "b"), found.count())
+        assert (tmp_path / "j").read_text() == report.json_report(o)
+        assert (tmp_path / "s").read_text() == report.sarif_report(o, base="é")
+        assert (tmp_path / "a").read_text() == (tmp_path / "b").read_text()
+
+
 def test_archives(spark):
     blob = io.BytesIO()
     with tarfile.open(fileobj=blob, mode="w:gz") as tar:
