@@ -78,7 +78,8 @@ def entropy(text: Column) -> Column:
 
 def size_text(n: Column) -> Column:
     """Bytes for reading: B, KB or MB with one decimal."""
-    return F.when(n >= 1048576, F.format_string("%.1f MB", n / 1048576.0)).when(n >= 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    one = lambda unit: F.bround(n / F.lit(unit), 1)  # noqa: E731  exact halves go to the even digit
+    return F.when(n >= 1048576, F.format_string("%.1f MB", one(1048576.0))).when(n >= 1024, F.format_string("%.1f KB", one(1024.0))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def duration_seconds(text: Column) -> Column:

@@ -10,7 +10,7 @@ from quillscan.functions import packages as P
 from quillscan.functions.catalog import builtin_rules
 from quillscan.plans import samples
 from quillscan.sources.files import packed
-from quillscan.sources.tables import read_table
+from quillscan.sources.tables import read_table, scratch
 
 
 def quoted(s: str) -> str:
@@ -255,3 +255,44 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DURATIONS_SQL = f"(SELECT CASE doc_id % 5 WHEN 0 THEN '.' || doc_id % 89 WHEN 1 THEN doc_id % 97 || '.5' WHEN 2 THEN '' ELSE n_chars::VARCHAR END || ({listed(UNITS)})[doc_id % {len(UNITS)} + 1] AS text FROM documents)"
+
+
+# --- chats, accepted findings and a tree of files
+
+
+def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """json: a bot's updates for each hour of events, one for each event, of the kinds that name a chat and one that doesn't."""
+    chat = F.struct(F.when(F.col("event_id") % 7 > 0, F.col("user_id")).alias("id"), F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("T"), F.col("user_id").cast("string"))).alias("title"), F.when(F.col("user_id") % 3 == 1, F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("username"))
+    kind = F.when(F.col("event_type") == "click", "message").when(F.col("event_type") == "view", "channel_post").when(F.col("event_type") == "error", "my_chat_member").otherwise("poll")
+    rows = read_table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.collect_list(F.create_map(kind, F.struct(chat.alias("chat")))).alias("result"))
+    return rows.select(F.to_json(F.struct("result")).alias("json"))
+
+
+def accepted_file(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with an accepted-findings file: a key for each document, with comments, blank lines and spaces around."""
+    path, d = f"{scratch(spark)}/accepted", F.col("doc_id").cast("string")
+    key = F.concat(F.lit("C-00"), (F.col("doc_id") % 8 + 1).cast("string"), F.lit(":"), d, F.lit(":1:1"))
+    line = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("  # "), key)).when(F.col("doc_id") % 10 == 1, F.lit("   ")).when(F.col("doc_id") % 10 == 2, F.concat(F.lit("  "), key, F.lit(" "))).otherwise(key)
+    read_table(spark, sf_dir, "documents").select(line.alias("value")).write.text(path)
+    return path
+
+
+ACCEPTED_SQL = "SELECT 'C-00' || (doc_id % 8 + 1) || ':' || doc_id || ':1:1' AS key FROM documents WHERE doc_id % 10 > 1"
+
+
+def tree(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of files that hold every document: a folder for each language, with endings that count as code or don't, below folders that are scanned,
+    pruned or named by the ignore file."""
+    root = f"{scratch(spark)}/tree"
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", F.encode(F.regexp_replace(_text(), "[\r\n]+", " "), "UTF-8").cast("string").alias("t"))
+    for k, (folder, ending) in enumerate(TREE):
+        part = docs.where(F.col("doc_id") % len(TREE) == k).drop("doc_id")
+        part.write.partitionBy("lang").options(extension=ending, quote="", escape="", sep="\u0001", emptyValue="", charToEscapeQuoteEscaping="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(f"{root}/{folder}")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/.scanignore")
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(b"# not these\n\nskipped/lang=*/*.ts\n"))
+    out.close()
+    return root
+
+
+TREE = (("lib", "js"), ("src", "ts"), ("node_modules", "js"), ("skipped", "ts"), ("notes", "txt"), ("deep/dist", "mjs"), ("skipped/more", "cjs"))

@@ -19,7 +19,7 @@ from quillscan.operators import manifest, scan, score
 from quillscan.plans import derived, notify, report, samples
 from quillscan.sources import files, registry
 from quillscan.sources.config import Target
-from quillscan.sources.tables import read_table, scratch
+from quillscan.sources.tables import read_table, scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,28 @@ def q_source_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.paths(spark, sf_dir).select("path", files.is_code(p).alias("code"), files.is_manifest(p).alias("manifest"), dialect("path").alias("dialect"), pruned.alias("pruned"))
 
 
+def q_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a tree, listed, pruned, filtered and read back: bytes and texts of what a scan takes in each folder."""
+    root = derived.tree(spark, sf_dir)
+    found = files.files(spark, [root, f"{root}/lib"])
+    part = F.split(F.col("path"), "/")
+    folder, lang = F.element_at(part, -3), F.replace(F.element_at(part, -2), F.lit("lang="))
+    return found.groupBy(folder.alias("folder"), lang.alias("lang"), "kind").agg(F.sum("n_bytes").alias("n_bytes"), F.sum(F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n")))).cast("long").alias("n_texts"))
+
+
+def q_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    return rows.select("doc_id", native.size_text(F.col("n")).alias("size"), native.size_text(F.col("n") * 977).alias("many"))
+
+
+def q_accepted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.accepted(spark, derived.accepted_file(spark, sf_dir))
+
+
+def q_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.chats(derived.updates(spark, sf_dir))
+
+
 # --- matching
 
 
@@ -129,6 +151,19 @@ def q_rewritten_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.rewritten(_documents(spark, sf_dir)).select("path", F.sha2("content", 256).alias("sha256"), F.to_json("transforms").alias("transforms"))
 
 
+RAW_AND_REWRITTEN = [Rule("R-001", "Decoding", "A call that decodes", "low", "regex", r"atob\('[A-Za-z0-9+/=]+'\)"), Rule("R-002", "Unwrapped", "Code that was a string", "high", "regex", r"unwrapped:eval \*/ [A-Za-z]+\(\)")]
+
+
+def q_rewritten_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in the raw scripts that hide the documents' words, and those that only rewriting brings to light."""
+    scripts = derived.nested(spark, sf_dir).withColumn("path", F.concat("path", F.lit(".js")))
+    return scan.deduplicate(scan.scan(scripts, RAW_AND_REWRITTEN)).select("file", "rule_id", F.col("column").cast("long").alias("column"), "deobfuscated")
+
+
+def q_transform_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.transform_totals(scan.rewritten(derived.nested(spark, sf_dir))).select("pass", F.col("changes").cast("long").alias("changes"))
+
+
 # --- findings
 
 
@@ -149,7 +184,7 @@ def q_accepted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_except_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _found(spark, sf_dir)
+    found = stored(_found(spark, sf_dir))
     return _shown(scan.except_accepted(found, scan.accepted_keys(found.where("severity_rank <> 2"))))
 
 
@@ -214,7 +249,7 @@ def q_rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_event_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _found(spark, sf_dir)
+    found = stored(_found(spark, sf_dir))
     scored = score.scores(found).join(score.severity_counts(found), "file")
     gates = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(e).alias("event")) for t in ("low", "high") for e in ("block", "finding")]))
     rows = scored.select("file", "verdict", "max_rank", gates.alias("g")).select("file", "g.threshold", "g.event", "verdict", "max_rank")
@@ -228,6 +263,44 @@ def q_event_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file", "threshold", "event", fires("threshold", "event", "verdict", "max_rank").alias("fires"))
 
 
+def q_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each kind of target would be sent of every document with findings."""
+    from quillscan.streaming import monitor
+
+    subjects = _documents(spark, sf_dir).select(F.col("path").alias("subject"))
+    told = monitor.reports(monitor.scanned(subjects, _found(spark, sf_dir).withColumn("subject", F.col("file")), 1).withColumn("fresh", F.col("key").isNotNull()))
+
+    @F.pandas_udf("slack string, discord string, color long, telegram string, generic string")
+    def made(outcome: pd.Series) -> pd.DataFrame:
+        out = []
+        for o in (report.Outcome(**json.loads(x)) for x in outcome):
+            sent = {f: notify.payload(Target("u", f, chat_id="7"), o) for f in ("slack", "discord", "telegram", "generic")}
+            g, embed = sent["generic"], sent["discord"]["embeds"][0]
+            out.append((sent["slack"]["text"], f"{embed['title']}|{embed['fields'][0]['value']}|{embed['fields'][2]['value']}", embed["color"], sent["telegram"]["text"], f"{g['risk_level']} {g['score']} {g['finding_count']} {' '.join(f['rule_id'] for f in g['findings'])}"))
+        return pd.DataFrame(out, columns=["slack", "discord", "color", "telegram", "generic"])
+
+    return told.withColumn("p", made("outcome")).select("subject", "p.*")
+
+
+def q_sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's findings as results of a SARIF report of its own, and whether a run over it alone would end with an error at `high`."""
+    from quillscan.streaming import monitor
+
+    subjects = _documents(spark, sf_dir).select(F.col("path").alias("subject"))
+    told = monitor.reports(monitor.scanned(subjects, _found(spark, sf_dir).withColumn("subject", F.col("file")), 1).withColumn("fresh", F.col("key").isNotNull()))
+
+    @F.pandas_udf("array<struct<place: long, rule_id: string, rule_index: long, level: string, line: long, column: long, exit_code: long>>")
+    def results(outcome: pd.Series) -> pd.Series:
+        out = []
+        for o in (report.Outcome(**json.loads(x)) for x in outcome):
+            run, code = json.loads(report.sarif_report(o, base="/"))["runs"][0], report.exit_code(o.findings, "high")
+            region = [r["locations"][0]["physicalLocation"]["region"] for r in run["results"]]
+            out.append([{"place": k, "rule_id": r["ruleId"], "rule_index": r["ruleIndex"], "level": r["level"], "line": at["startLine"], "column": at["startColumn"], "exit_code": code} for k, (r, at) in enumerate(zip(run["results"], region, strict=True))])
+        return pd.Series(out)
+
+    return told.select(F.col("subject").alias("file"), F.inline(results("outcome")))
+
+
 # --- manifests
 
 
@@ -474,6 +547,21 @@ _REPORTS = f"""WITH {_findings_cte()}, {_SCORES},
   SELECT s.file AS subject, CASE n_findings WHEN 0 THEN s.file || ' — clean' ELSE s.file || ' — ' || verdict || ' (' || score || '/100, ' || n_findings || CASE n_findings WHEN 1 THEN ' finding)' ELSE ' findings)' END END AS line,
     n_findings > 0 AS fresh, coalesce(top, '') AS top, coalesce(categories, '') AS categories, n_findings AS sent FROM s LEFT JOIN t USING (file) LEFT JOIN w USING (file)"""
 
+_PAYLOADS = f"""WITH {_findings_cte()}, {_SCORES},
+  k AS (SELECT file, '• [' || upper(severity) || '] ' || rule_id || ' ' || name AS said, rule_id, line, regexp_replace(snippet, '^\\s+|\\s+$', '', 'g') AS cut, row_number() OVER (PARTITION BY file ORDER BY rank DESC, ord, line, col) AS place FROM f JOIN {_NAMES} USING (rule_id)),
+  t AS (SELECT file, string_agg(said || '  —  L' || line || CASE cut WHEN '' THEN '' ELSE chr(10) || '    ' || cut END, chr(10) ORDER BY place) FILTER (place <= 8) AS told, string_agg(rule_id, ' ' ORDER BY place) AS ids FROM k GROUP BY file),
+  a AS (SELECT *, verdict || ' (' || score || '/100, ' || n_findings || CASE n_findings WHEN 1 THEN ' finding)' ELSE ' findings)' END AS said FROM s JOIN t USING (file))
+  SELECT file AS subject, CASE verdict WHEN 'BLOCK' THEN ':no_entry:' ELSE ':warning:' END || ' *Quillscan* — ' || file || ' — ' || said AS slack,
+    verdict || ' — ' || file || '|' || score || '/100 (' || level || ')|' || CASE tags WHEN '' THEN '—' ELSE tags END AS discord,
+    CASE level WHEN 'CRITICAL' THEN 16735324 WHEN 'HIGH' THEN 15893838 WHEN 'MEDIUM' THEN 15909198 ELSE 4054167 END::BIGINT AS color,
+    CASE verdict WHEN 'BLOCK' THEN '🚫' ELSE '⚠️' END || ' Quillscan — ' || verdict || chr(10) || file || chr(10) || 'Score: ' || score || '/100 (' || level || ') · ' || n_findings || ' finding(s)' || chr(10) || chr(10) || told
+      || CASE tags WHEN '' THEN '' ELSE chr(10) || replace(tags, ' ', '  ') END AS telegram,
+    lower(level) || ' ' || score || ' ' || n_findings || ' ' || ids AS generic FROM a"""
+_SARIF = f"""WITH {_findings_cte()}, k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY rank DESC, ord, line, col) - 1 AS place FROM f),
+  m AS (SELECT *, min(place) OVER (PARTITION BY file, rule_id) AS first, max(rank) OVER (PARTITION BY file) AS worst FROM k)
+  SELECT file, place, rule_id, dense_rank() OVER (PARTITION BY file ORDER BY first) - 1 AS rule_index, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level,
+    line::BIGINT AS line, col::BIGINT AS "column", CASE WHEN worst >= 3 THEN 2 ELSE 0 END::BIGINT AS exit_code FROM m"""
+
 ORACLE: dict[str, str] = {
     "q_scan_stats": "SELECT count(*) FILTER (k = 'd') AS js_files, count(*) FILTER (k = 'p') AS manifest_files, coalesce(sum(strlen(t)), 0)::BIGINT AS bytes FROM (SELECT 'd' AS k, text AS t FROM documents UNION ALL SELECT 'p', html FROM pages)",
     "q_source_classify": f"""SELECT path, regexp_matches(path, '\\.(js|mjs|cjs|jsx|ts|mts|cts|tsx)$') AND NOT regexp_matches(path, '\\.d\\.(ts|cts|mts)$') AS code, string_split(path, '/')[-1] = 'package.json' AS manifest,
@@ -519,6 +607,19 @@ ORACLE: dict[str, str] = {
     "q_fresh_findings": _NEW_FINDINGS,
     "q_package_findings": f"{_F}SELECT DISTINCT 'doc' || file || '@1.' || file || '.0' AS subject, 'package/lib/' || file || '.js' AS file, rule_id, line, col AS \"column\" FROM f",
     "q_reports": _REPORTS,
+    "q_rewritten_findings": f"""WITH {derived.WORDS_SQL}, k AS (SELECT w, {derived._dealt_sql(len(derived.NESTED))} AS k FROM words)
+        SELECT w || '.js' AS file, 'R-001' AS rule_id, 6 AS "column", false AS deobfuscated FROM k WHERE k = 0 UNION ALL SELECT w || '.js', 'R-002', 4, true FROM k WHERE k = 0""",
+    "q_transform_totals": f"""WITH {derived.WORDS_SQL}, k AS (SELECT {derived._dealt_sql(len(derived.NESTED))} AS k FROM words), p(k, pass, n) AS (VALUES (0, 'string_decode', 1), (0, 'eval_unwrap', 1), (1, 'constant_fold', 4), (2, 'string_decode', 1), (2, 'constant_fold', 1), (2, 'control_flow', 1))
+        SELECT pass, sum(n)::BIGINT AS changes FROM k JOIN p USING (k) GROUP BY pass""",
+    "q_payloads": _PAYLOADS,
+    "q_sarif_results": _SARIF,
+    "q_tree_files": """WITH t(k, folder, kind) AS (VALUES (0, 'lib', 'code'), (1, 'src', 'code'), (6, 'more', 'code'))
+        SELECT folder, lang, kind, sum(strlen(regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g')) + 1)::BIGINT AS n_bytes, count(*) AS n_texts FROM documents JOIN t ON doc_id % 7 = k GROUP BY ALL""",
+    "q_sizes": "WITH n AS (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents) SELECT doc_id, "
+    + ", ".join(f"CASE WHEN {n} >= 1048576 THEN printf('%.1f MB', {n} / 1048576.0::DOUBLE) WHEN {n} >= 1024 THEN printf('%.1f KB', {n} / 1024.0::DOUBLE) ELSE {n} || ' B' END AS {c}" for n, c in (("n", "size"), ("n * 977", "many")))
+    + " FROM n",
+    "q_accepted_file": derived.ACCEPTED_SQL,
+    "q_chats": "SELECT DISTINCT user_id AS id, CASE user_id % 3 WHEN 0 THEN 'T' || user_id WHEN 1 THEN 'u' || user_id ELSE '(chat)' END AS label FROM events WHERE event_id % 7 > 0 AND event_type IN ('click', 'view', 'error')",
     "q_registry_versions": f"WITH {derived.POLLS_SQL} SELECT poll, name, version, tarball FROM seen",
     "q_durations": f"SELECT text, CASE WHEN regexp_matches(text, '^\\s*([0-9]+(\\.[0-9]*)?|\\.[0-9]+)\\s*[A-Za-z]*\\s*$') THEN regexp_extract(text, '([0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)', 1)::DOUBLE * CASE lower(regexp_extract(text, '([A-Za-z]*)\\s*$', 1)) "
     f"WHEN '' THEN 1 WHEN 's' THEN 1 WHEN 'sec' THEN 1 WHEN 'secs' THEN 1 WHEN 'm' THEN 60 WHEN 'min' THEN 60 WHEN 'mins' THEN 60 WHEN 'h' THEN 3600 WHEN 'hr' THEN 3600 WHEN 'hrs' THEN 3600 WHEN 'd' THEN 86400 WHEN 'day' THEN 86400 WHEN 'days' THEN 86400 END END AS seconds FROM {derived.DURATIONS_SQL}",
