@@ -1,6 +1,7 @@
-import corpus_pipeline
 import numpy as np
+import pandas as pd
 
+import corpus_pipeline
 from quillscan.llm import neardup, simhash
 
 
@@ -90,3 +91,21 @@ def test_pieces_of_a_shard_lose_no_link(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for limits in ({"shard_rows": 7}, {"shard_hashes": 1500}):
         assert as_groups(neardup.near_groups(docs, **limits).collect()) == slow_groups(texts)
+
+
+def test_a_shard_of_unlinked_pages_of_one_template_is_searched_quickly():
+    """2,000 sets that share four fifths of a template each, about 0.47 alike: seconds, and no link; one more pair is found among them."""
+    import time
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(-(2**63), 2**63 - 1, 600)
+    sets = []
+    for _ in range(2000):
+        s = base.copy()
+        s[rng.choice(600, 120, replace=False)] = rng.integers(-(2**63), 2**63 - 1, 120)
+        sets.append(np.sort(s))
+    sets.append(np.sort(np.append(sets[7][:-30], rng.integers(-(2**63), 2**63 - 1, 30))))
+    frame = pd.DataFrame({"key": range(len(sets)), "root": range(len(sets)), "fp": neardup._signed([neardup.simhash(s.view(np.uint64)) for s in sets]), "asks": True, "set": sets})
+    began = time.time()
+    assert neardup._Piece(frame, 0.8).own_links() == [(7, 2000)]
+    assert time.time() - began < 15
