@@ -112,3 +112,86 @@ def test_token_counts_of_a_table(spark):
     assert all(sum(r["section_tokens"]) == r["n_tokens"] for r in got.values())
     assert tokencount.section_rows(tokencount.count_tokens(docs.where("doc_id = 1"))).count() == 4
     assert tokencount.count_tokens(docs.limit(0)).count() == 0
+
+
+def test_one_split_is_the_best_of_all_features_and_cuts():
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=(120, 5)).round(1)
+        y = (x[:, seed % 5] + rng.normal(size=120) * 0.7 > 0.2).astype(float)
+        forest = quality.grow(x, y, trees=1, depth=1, rate=1.0)
+        p = y.mean()
+        g, h = p - y, np.full(len(y), p * (1 - p))
+        whole = g.sum() ** 2 / (h.sum() + 1)
+        best = 0.0
+        for j in range(5):
+            for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1])):
+                left = x[:, j] <= cut
+                if min(h[left].sum(), h[~left].sum()) >= 2:
+                    gain = g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1) - whole
+                    best = max(best, gain)
+        root = forest.roots[0]
+        left = x[:, forest.feature[root]] <= forest.threshold[root]
+        gain = g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1) - whole
+        assert gain == pytest.approx(best)
+        for side, child in ((left, forest.left[root]), (~left, forest.right[root])):
+            assert forest.value[child] == pytest.approx(-g[side].sum() / (h[side].sum() + 1))
+
+
+@pytest.mark.parametrize("text", ["One two  two\nTHREE!! four, 5 6 é日\n\nOne two two\n", "a", "Ab# " * 9 + "supercalifragilisticexpialidocious"])
+def test_statistics_are_what_they_are_called(text):
+    import math
+
+    got = quality.statistics(text)
+    assert len(got) == len(quality.FEATURES)
+    data, words = text.encode(), text.encode().split()
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    size = [len(w) for w in words]
+    mean = sum(size) / len(size)
+    want = [
+        math.log(1 + len(text)), math.log(1 + len(words)), mean, math.sqrt(sum((s - mean) ** 2 for s in size) / len(size)), len(set(words)) / len(words),
+        max(words.count(w) for w in words) / len(words), sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words), len(set(zip(words, words[1:], strict=False))) / len(words),
+    ]
+    assert got[:8] == pytest.approx(want)
+    assert got[8] == pytest.approx(sum(65 <= c <= 90 for c in data) / len(data)) and got[10] == pytest.approx(sum(48 <= c <= 57 for c in data) / len(data))
+    assert got[16:20] == pytest.approx([len(data) / len(lines), len(set(lines)) / len(lines), sum(s <= 3 for s in size) / len(words), len(data) / len(text)])
+    shares = [data.count(c) / len(data) for c in set(data)]
+    assert got[21] == pytest.approx(-sum(p * math.log2(p) for p in shares))
+
+
+def test_ftrl_equals_a_loop_over_single_weights():
+    import math
+
+    rng = np.random.default_rng(8)
+    samples = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4), int(rng.integers(0, 3))) for _ in range(40)]
+    alpha, beta, l1, l2, width = 0.7, 0.5, 0.05, 0.02, 12
+    got_w, got_b = language.fit(samples, 3, width, alpha, beta, l1, l2, epochs=2)
+    z = [[0.0] * (width + 1) for _ in range(3)]
+    n = [[0.0] * (width + 1) for _ in range(3)]
+
+    def weight(c, i):
+        a, b = (l1, l2) if i < width else (0.0, 0.0)
+        return 0.0 if abs(z[c][i]) <= a else -(z[c][i] - math.copysign(a, z[c][i])) / ((beta + math.sqrt(n[c][i])) / alpha + b)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for k in order.permutation(len(samples)):
+            at, v, y = samples[k]
+            pairs = [*zip(at.tolist(), v.tolist(), strict=True), (width, 1.0)]
+            w = [[weight(c, i) for i, _ in pairs] for c in range(3)]
+            e = [math.exp(sum(a * x for a, (_, x) in zip(w[c], pairs, strict=True))) for c in range(3)]
+            for c in range(3):
+                for j, (i, x) in enumerate(pairs):
+                    g = (e[c] / sum(e) - (c == y)) * x
+                    z[c][i] += g - (math.sqrt(n[c][i] + g * g) - math.sqrt(n[c][i])) / alpha * w[c][j]
+                    n[c][i] += g * g
+    assert np.allclose(got_w, [[weight(c, i) for i in range(width)] for c in range(3)]) and np.allclose(got_b, [weight(c, width) for c in range(3)])
+
+
+def test_grams_are_all_one_to_three_letter_runs():
+    for text in ("Über-all 12 x", "日本 語", "aa aa aa"):
+        counts = language.grams(text, 15)
+        spelled = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        assert counts.sum() == sum(max(len(spelled) - k, 0) for k in range(3))
+        assert (counts == language.grams(text.upper(), 15)).all() and (counts > 0).sum() <= len({spelled[i : i + k] for k in (1, 2, 3) for i in range(len(spelled) - k + 1)})
+    assert language.grams("12 !?", 15) is None and language.grams(None, 15) is None
