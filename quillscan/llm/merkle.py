@@ -36,6 +36,8 @@ Key = tuple[str | None, int, int]  # group, level, index
 PATH = "array<struct<before: string, after: string>>"
 #: Groups up to which their proofs (32 levels of digests at most) are sent to every task; more are joined by a shuffle.
 FEW = 4096
+#: Leaves of a range: some 60 MB of digests, and as much again for the levels above.
+RANGE = 500_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -149,14 +151,15 @@ class Proven:
     placed: DataFrame
 
 
-def prove(leaves: DataFrame, group: str, order: list[str], leaf: str, arity: int = 2) -> Proven:
-    """The proofs of leaves within their groups, ordered there by `order` (columns that aren't returned) and the digest."""
+def prove(leaves: DataFrame, group: str, order: list[str], leaf: str, arity: int = 2, ranges: int = 0) -> Proven:
+    """The proofs of leaves within their groups, ordered there by `order` (columns that aren't returned) and the digest. The leaves are dealt into `ranges`, but no
+    fewer than the session's shuffle partitions; a task holds the digests of one range."""
     spark = leaves.sparkSession
     shared_dir(spark)
     carried = [c for c in leaves.columns if c not in order]
     named = leaves.withColumn("g", F.col(group).cast("string")).withColumn("leaf_", F.col(leaf)).withColumn("tie_", F.monotonically_increasing_id())
     keys = [F.col("g"), *map(F.col, order), F.col("leaf_"), F.col("tie_")]  # tie_ only spreads equal rows, which are interchangeable
-    placed = named.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).drop("tie_", *order).withColumn("part", F.spark_partition_id()).checkpoint()
+    placed = named.repartitionByRange(max(ranges, shuffle_partitions(spark)), *keys).sortWithinPartitions(*keys).drop("tie_", *order).withColumn("part", F.spark_partition_id()).checkpoint()
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, found = None, []
@@ -239,7 +242,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "la
     given = leaf_hash(*[(changed or {}).get(f, F.col(f)) for f in fields])
     by = F.col(order).cast("long")
     rows = docs.select(by.alias("by"), by.cast("string").alias("id"), F.col(group).cast("string").alias("grp"), leaf.alias("leaf"), F.nullif(given, leaf).alias("given"))
-    inner = prove(rows, "grp", ["by"], "leaf", arity)
+    inner = prove(rows, "grp", ["by"], "leaf", arity, docs.count() // RANGE + 1)
     names = inner.roots.select(F.lit("all").alias("one"), F.col("g").isNotNull().alias("known"), F.col("g").alias("by"), F.col("g").alias("name"), F.col("subroot").alias("sub"))
     outer = prove(names, "one", ["known", "by"], "sub", arity)
     above = outer.rows.select("name", F.col("subroot").alias("root"), F.col("path").alias("above"))

@@ -36,6 +36,8 @@ from quillscan.llm.common import shared_dir, shuffle_partitions, whole_groups
 SPACE = r"[\x20\x09-\x0D]"
 KEEP, REROLE, DELETE, INSERT, UNFINISHED = 0, 2, 3, 2, 1
 FAR = np.int64(1) << 60
+#: Stored bytes of a range of turns; the most ranges, which bounds what the driver gets of conversations that lie in several.
+RANGE, MOST_RANGES = 32 << 20, 100_000
 #: What a new user or assistant turn leads to from each state (nothing, s, u, a), and whether that turn is the user's.
 NEXT = np.array([2, 2, 3, 2])
 USER = np.array([True, True, False, True])
@@ -73,6 +75,8 @@ def placed(rows: DataFrame) -> Placed:
     none = lambda c: F.coalesce(F.col(c), F.lit(" "))
     one = rows.select("conv_id", "turn", none("role").alias("role"), none("text").alias("text"), "times").groupBy("conv_id", "turn", "role", "text").agg(F.sum("times").alias("times"))
     said = F.concat("role", F.lit("\0"), "text")
+    # Ranges of about RANGE bytes as the rows are stored: a task holds one at most of a conversation.
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     # Which turn said a thing first is aggregated by digest, map-side first; the join back is one that adaptive execution splits when skewed.
     same = F.sha2(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.lit(":"), said), 256)
     one = one.withColumn("same", same)
@@ -81,7 +85,7 @@ def placed(rows: DataFrame) -> Placed:
     end = F.regexp_extract("text", rf"([^\x20\x09-\x0D]){SPACE}*\z", 1)
     one = one.select("conv_id", "turn", "role", "text", "times", "new", (end == "").alias("blank"), (~end.isin(".", "!", "?")).alias("cut"))
     ranges = [F.col("conv_id"), F.col("turn"), F.substring(said, 1, 64)]
-    done = one.repartitionByRange(shuffle_partitions(spark), *ranges).sortWithinPartitions("conv_id", "turn", said).withColumn("part", F.spark_partition_id()).checkpoint()
+    done = one.repartitionByRange(min(max(size // RANGE, shuffle_partitions(spark)), MOST_RANGES), *ranges).sortWithinPartitions("conv_id", "turn", said).withColumn("part", F.spark_partition_id()).checkpoint()
     # A sorted partition's first and last conversations: two values for each of a fixed number of partitions.
     known = F.struct(F.col("conv_id").isNotNull().alias("known"), "conv_id")
     bounds = [[r["a"]["conv_id"], r["b"]["conv_id"]] for r in done.groupBy("part").agg(F.min(known).alias("a"), F.max(known).alias("b")).collect()]
@@ -362,7 +366,7 @@ def _whole(pieces: Iterator[dict]) -> Iterator[pd.DataFrame]:
     now: dict = {}
 
     def close() -> None:
-        gaps = 0 if now["low"] is None else now["high"] - now["low"] + 1 - now["turns"]
+        gaps = 0 if now["low"] is None else min(now["high"] - now["low"] + 1 - now["turns"], (1 << 63) - 1)
         rows.append((now["conv_id"], gaps, now["blank"], now["duplicate"], now["truncated"], now["illegal"], now["cost"], "".join(now["audit"]), now["hash"].hexdigest()))
 
     for p in pieces:

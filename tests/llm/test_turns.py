@@ -77,7 +77,7 @@ def brute(rows, damaged=True):
         at = [r[1] for r in some if r[1] is not None]
         illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(some, some[1:], strict=False))
         cost, audit, kept = cheapest(tuple((r[2], r[3], f) for r, f in zip(some, faults, strict=True)))
-        gaps = max(at) - min(at) + 1 - len(set(at)) if at else 0
+        gaps = min(max(at) - min(at) + 1 - len(set(at)), 2**63 - 1) if at else 0
         text = "\n".join(f"{r}:{t}" for r, t in kept)
         out[c] = (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha256(text.encode()).hexdigest())
     return out
@@ -117,6 +117,7 @@ TABLES = {
     "nulls": [(None, None, None, None)] * 4,
     "all dropped": [(c, t, "user", "x.") for c in range(40) for t in range(3) if crc32(f"{c}:{t}".encode()) % 20 == 0],
     "ids": [(2**62 + k, 2**61 + k % 2, "user", "a" * 100_000 + "\0") for k in range(3)] + [(-1, -5, "assistant", "\U0001f600")],
+    "far turns": [(1, -(2**63), "user", "x."), (1, 2**63 - 1, "assistant", "y.")],
     "none": [],
 }
 
