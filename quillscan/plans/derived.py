@@ -171,6 +171,18 @@ EXEMPTED_SQL = """lines AS (SELECT doc_id::VARCHAR AS path, k, l, (k - 1 + doc_i
     src AS (SELECT path, string_agg(l || CASE m WHEN 0 THEN ' // scan-ignore-next-line' WHEN 3 THEN ' // scan-ignore-line' ELSE '' END, chr(10) ORDER BY k) AS content FROM lines GROUP BY path),
     hidden AS (SELECT path, (k + CASE m WHEN 0 THEN 1 ELSE 0 END)::BIGINT AS line FROM lines WHERE m IN (0, 3))"""
 
+def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: every line of every document as a string literal of a script."""
+    line = lambda x: F.concat(F.lit('v = "'), F.regexp_replace(x, "[\"'`\\\\]", ""), F.lit('";'))
+    return read_table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), F.array_join(F.transform(F.split(_text(), "\n"), line), "\n").alias("content"))
+
+
+def literals_sql(least: float, n_bytes: int) -> str:
+    return f"""WITH l AS (SELECT doc_id, k, regexp_replace(t, '["''`\\\\]', '', 'g') AS t FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents)),
+        e AS (SELECT doc_id, k, entropy(c) AS e FROM (SELECT doc_id, k, unnest(string_split(t, '')) AS c FROM l WHERE strlen(t) >= {n_bytes}) GROUP BY doc_id, k)
+        SELECT doc_id || '.js' AS file, k::BIGINT AS line, 5 AS "column" FROM e WHERE e > {least}"""
+
+
 # --- paths and manifests, one for each document
 
 FOLDERS = ("src", "node_modules", "lib/dist", "a/.git/b", "vendor", "my_vendor", "build", "builds", "test")

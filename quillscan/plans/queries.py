@@ -117,6 +117,12 @@ def q_literal_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("entropy > 2.5").select("page_id", "literal", "entropy")
 
 
+def q_dense_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entropy rule at its default threshold over every line of the documents as a literal."""
+    found = scan.scan(derived.literals(spark, sf_dir), [Rule("E-001", "Dense literal", "A literal of high entropy", "medium", "entropy")], deobfuscate=False)
+    return found.select("file", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"))
+
+
 def q_rule_catalog_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [r for r in builtin_rules() if r.kind == "regex"]
     return scan.scan(derived.with_samples(spark, sf_dir), rules, deobfuscate=False).select("file", "rule_id", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"))
@@ -573,6 +579,7 @@ ORACLE: dict[str, str] = {
     "SELECT path, line, strlen(regexp_replace(l, '\\r$', '')) AS n_bytes FROM l WHERE strlen(regexp_replace(l, '\\r$', '')) > 1000",
     "q_literal_entropy": "WITH w AS (SELECT page_id, row_number() OVER () AS r, literal FROM (SELECT page_id, unnest(regexp_extract_all(html, '\"([^\"\\n]+)\"', 1)) AS literal FROM pages) WHERE strlen(literal) >= 8), "
     "e AS (SELECT page_id, r, literal, round(entropy(c), 6) AS entropy FROM (SELECT page_id, r, literal, unnest(string_split(literal, '')) AS c FROM w) GROUP BY page_id, r, literal) SELECT page_id, literal, entropy FROM e WHERE entropy > 2.5",
+    "q_dense_literals": derived.literals_sql(4.5, 16),
     "q_rule_catalog_matches": _catalog_sql(),
     "q_syntax_rules": derived.COMMENTED_SQL,
     "q_rewrites": derived.HIDDEN_SQL,

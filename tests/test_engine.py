@@ -249,7 +249,7 @@ def test_registry_polls(spark):
     assert monitor.poll(manifests, table(document("a", "2"), document("b", "1")), known)[0].count() == 0
 
 
-def test_new_keys_as_a_stream(spark, tmp_path):
+def test_new_keys_as_a_stream(spark, few_partitions, tmp_path):
     source, sink = tmp_path / "in", tmp_path / "out"
     for k, rows in enumerate([[("s", "a"), ("s", "b"), ("t", "a")], [("s", "b"), ("s", "c")], [("s", "a"), ("s", "c")]]):
         spark.createDataFrame(rows, "subject string, key string").coalesce(1).write.mode("append").parquet(str(source))
@@ -260,7 +260,7 @@ def test_new_keys_as_a_stream(spark, tmp_path):
     assert got == sorted([x for w in want for x in w])
 
 
-def test_watching_a_folder(spark, tmp_path):
+def test_watching_a_folder(spark, few_partitions, tmp_path):
     folder, lines, sent = tmp_path / "w", [], []
     folder.mkdir()
     (folder / "a.js").write_text("eval(x)")
@@ -274,7 +274,7 @@ def test_watching_a_folder(spark, tmp_path):
     assert [s["finding_count"] for s in sent] == [1, 2]
 
 
-def test_a_finding_that_goes_and_comes_back_is_new_again(spark, tmp_path):
+def test_a_finding_that_goes_and_comes_back_is_new_again(spark, few_partitions, tmp_path):
     folders, lines = [tmp_path / "v", tmp_path / "w"], []
     for f in folders:
         f.mkdir()

@@ -33,7 +33,7 @@ def test_retries_stop_at_what_the_client_did_wrong():
     assert registry.tried(fetch, "gone", pause=0)[0] is None and len(asked) == 1
 
 
-def test_replayed_polls_go_on_after_a_restart(spark, tmp_path):
+def test_replayed_polls_go_on_after_a_restart(spark, few_partitions, tmp_path):
     names = spark.createDataFrame([("a",), ("b",), ("a",)], "name string")
     document = lambda poll, name, v: (poll, name, json.dumps({"dist-tags": {"latest": v}, "versions": {v: {"dist": {"tarball": f"{name}-{v}"}}}}))
     said = spark.createDataFrame([document(1, "a", "1"), document(2, "a", "1"), document(3, "a", "2"), document(2, "b", "1"), document(4, "b", "1"), document(5, "b", "3"), (5, "a", "broken"), document(1, "z", "9")], "poll long, name string, json string")
@@ -43,7 +43,7 @@ def test_replayed_polls_go_on_after_a_restart(spark, tmp_path):
     assert sorted(tuple(r) for r in got.select("name", "version", "previous", "poll", "tarball").collect()) == [("a", "1", None, 1, "a-1"), ("a", "2", "1", 3, "a-2"), ("b", "1", None, 2, "b-1"), ("b", "3", "1", 5, "b-3")]
 
 
-def test_each_trigger_without_a_last_tick_has_one(spark, tmp_path):
+def test_each_trigger_without_a_last_tick_has_one(spark, few_partitions, tmp_path):
     seen = []
     for _ in range(2):
         q = ticks.ticks(spark).writeStream.foreachBatch(lambda b, n: seen.append([r["tick"] for r in b.collect()])).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
@@ -68,7 +68,7 @@ def test_snapshots_see_new_and_edited_files_alone(spark, tmp_path):
     assert look(3, f"file://{folder}") == {"e.mjs": "5"}
 
 
-def test_state_grows_by_what_a_batch_touches(spark, tmp_path):
+def test_state_grows_by_what_a_batch_touches(spark, few_partitions, tmp_path):
     rows = lambda n, which: spark.createDataFrame([(f"s{k}", n, f"k{j}", "p") for k in which for j in range(5)], monitor.SCANS)
     updated = []
     for n, which in enumerate([range(60), [7]]):
@@ -121,7 +121,7 @@ def test_packed_documents_come_back_with_the_built_in_findings(spark):
     assert have == want and want
 
 
-def test_polls_on_an_idle_tree_edits_in_place_and_no_second_delivery(spark, tmp_path):
+def test_polls_on_an_idle_tree_edits_in_place_and_no_second_delivery(spark, few_partitions, tmp_path):
     folder, web, out, at = tmp_path / "w", tmp_path / "web", tmp_path / "sent", f"file://{tmp_path}/monitor"
     for d in (folder, web, out):
         d.mkdir()
