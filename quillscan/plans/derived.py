@@ -3,13 +3,13 @@ of every document, documents with a rule's sample or an exempting comment in the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillscan.functions import packages as P
 from quillscan.functions.catalog import builtin_rules
 from quillscan.plans import samples
-from quillscan.sources.files import packed
+from quillscan.sources.files import MAX_BYTES, packed
 from quillscan.sources.tables import read_table, scratch
 
 
@@ -293,16 +293,22 @@ ACCEPTED_SQL = "SELECT 'C-00' || (doc_id % 8 + 1) || ':' || doc_id || ':1:1' AS
 
 
 def tree(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of files that hold every document: a folder for each language, with endings that count as code or don't, below folders that are scanned,
-    pruned or named by the ignore file."""
-    root = f"{scratch(spark)}/tree"
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", F.encode(F.regexp_replace(_text(), "[\r\n]+", " "), "UTF-8").cast("string").alias("t"))
+    """A folder of files that hold every document: a folder for each part and language, with endings that count as code or don't, below folders that are scanned,
+    pruned or named by the ignore file. Files stay within the size that a scan reads, whatever the table's; a text of over half of that has a file of its own."""
+    root, half = f"{scratch(spark)}/tree", MAX_BYTES // 2
+    table = read_table(spark, sf_dir, "documents")
+    docs = table.select("doc_id", "lang", F.encode(F.regexp_replace(_text(), "[\r\n]+", " "), "UTF-8").cast("string").alias("t"))
+    rows, large = docs.withColumn("n", F.octet_length("t").cast("long") + 1), F.col("n") > half
+    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // (128 << 20) + 1))
+    before = F.sum(F.when(large, 0).otherwise(F.col("n"))).over(Window.partitionBy("lang", "b").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    number = F.row_number().over(Window.partitionBy("lang", "b").orderBy("doc_id"))
+    name = F.concat_ws("-", F.col("b").cast("string"), F.when(large, F.concat(F.lit("own"), number.cast("string"))).otherwise(F.floor(F.coalesce(before, F.lit(0)) / half).cast("string")))
     for k, (folder, ending) in enumerate(TREE):
-        part = docs.where(F.col("doc_id") % len(TREE) == k).drop("doc_id")
-        part.write.partitionBy("lang").options(extension=ending, quote="", escape="", sep="\u0001", emptyValue="", charToEscapeQuoteEscaping="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(f"{root}/{folder}")
+        part = rows.where(F.col("doc_id") % len(TREE) == k).withColumn("b", dealt).select("t", "lang", name.alias("part"))
+        part.write.partitionBy("part", "lang").options(extension=ending, quote="", escape="", sep="\u0001", emptyValue="", charToEscapeQuoteEscaping="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(f"{root}/{folder}")
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/.scanignore")
     out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
-    out.write(bytearray(b"# not these\n\nskipped/lang=*/*.ts\n"))
+    out.write(bytearray(b"# not these\n\nskipped/part=*/lang=*/*.ts\n"))
     out.close()
     return root
 
