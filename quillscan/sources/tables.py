@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes up to which a table in few files is dealt over all cores.
@@ -23,6 +26,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(2 * cores)
 
 
+def dealt_table(spark: SparkSession, sf_dir: str, name: str, task_bytes: int = 8 << 20) -> DataFrame:
+    """The named table for work that costs far more than its reading: in even tasks of about so many stored bytes each, whatever its files and
+    row groups, of which a large file may have few. Only the columns used are shuffled."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-size // task_bytes)))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder in the one that driver and executors share; it goes when the application ends."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -43,3 +54,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{scratch(df.sparkSession)}/stored"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def slices(batches: Iterator[pd.DataFrame], text: str, chars: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """The batches in slices of about so many characters of text: what a worker makes of one at a time stays small, however much a batch holds."""
+    for b in batches:
+        part = b[text].str.len().fillna(0).cumsum().to_numpy() // chars
+        for at in np.split(np.arange(len(b)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+            if len(at):
+                yield b.iloc[at[0] : at[-1] + 1].reset_index(drop=True)
