@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,22 +127,39 @@ def normal_name(name: Column) -> Column:
     return F.lower(F.translate(name, "-_.", ""))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often the body uses it, inside other lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def look_alikes(deps: Column, popular: tuple[str, ...]) -> Column:
     """array<struct<dep, popular, distance>>: distance 0 stands for equal up to separators, which excludes the others."""
-    names = F.array(*map(F.lit, popular))
-    normal = F.transform(names, normal_name)
-
-    def of(dep: Column) -> Column:
-        bare = bare_name(dep)
-        same = F.get(names, F.array_position(normal, normal_name(bare)).cast("int") - 1)
-        most = lambda p: F.when(F.least(F.octet_length(p), F.octet_length(bare)) <= 5, 1).otherwise(2)
+    first: dict[str, str] = {}
+    for p in popular:
+        first.setdefault(p.translate({ord(c): None for c in "-_."}).lower(), p)
+    same = F.create_map(*[F.lit(x) for kv in first.items() for x in kv])
+    # The well-known names by length, as only those of about the same length can be near; each with its place.
+    of_length: dict[int, list] = {}
+    for k, p in enumerate(popular):
+        for n in range(max(len(p) - 2, 0), len(p) + 3):
+            of_length.setdefault(n, []).append(F.struct(F.lit(p).alias("p"), F.lit(len(p.encode())).alias("n")))
+    near_length = F.create_map(*[x for n, ps in sorted(of_length.items()) for x in (F.lit(n), F.array(*ps))])
+    none = F.array().cast("array<struct<dep:string,popular:string,distance:int>>")
+    row = lambda dep, p, d: F.struct(dep.alias("dep"), p.alias("popular"), d.cast("int").alias("distance"))
+
+    def near(x: Column) -> Column:
         # Beyond two edits the distance isn't worked out.
-        near = F.filter(names, lambda p: (F.abs(F.length(p) - F.length(bare)) <= 2) & F.levenshtein(bare, p, 2).between(F.lit(1), most(p)))
-        row = lambda p, d: F.struct(dep.alias("dep"), p.alias("popular"), d.cast("int").alias("distance"))
-        found = F.when(same.isNotNull(), F.array(row(same, F.lit(0)))).otherwise(F.transform(near, lambda p: row(p, F.levenshtein(bare, p))))
-        return F.when((F.octet_length(bare) >= 4) & ~F.array_contains(names, bare), found).otherwise(F.array().cast("array<struct<dep:string,popular:string,distance:int>>"))
+        scored = F.transform(F.try_element_at(near_length, F.length(x["bare"])), lambda p: F.struct(p["p"].alias("p"), F.levenshtein(x["bare"], p["p"], 2).alias("d"), F.when(F.least(p["n"], x["bytes"]) <= 5, 1).otherwise(2).alias("most")))
+        return F.transform(F.filter(scored, lambda s: s["d"].between(F.lit(1), s["most"])), lambda s: row(x["dep"], s["p"], s["d"]))
 
-    return F.flatten(F.transform(deps, of))
+    def of(x: Column) -> Column:
+        return F.when(x["same"].isNotNull(), F.array(row(x["dep"], x["same"], F.lit(0)))).otherwise(F.coalesce(near(x), none))
+
+    bares = F.transform(deps, lambda dep: F.struct(dep.alias("dep"), bare_name(dep).alias("bare")))
+    names = F.array(*map(F.lit, popular))
+    open_ = F.filter(bares, lambda x: (F.octet_length(x["bare"]) >= 4) & ~F.array_contains(names, x["bare"]))
+    known = F.transform(open_, lambda x: F.struct(x["dep"].alias("dep"), x["bare"].alias("bare"), F.octet_length(x["bare"]).alias("bytes"), F.try_element_at(same, normal_name(x["bare"])).alias("same")))
+    return F.flatten(F.transform(known, of))
 
 
 def _typosquats(deps: Column, popular: tuple[str, ...]) -> Column:
@@ -153,14 +172,18 @@ def _typosquats(deps: Column, popular: tuple[str, ...]) -> Column:
 
 def confusions(deps: Column, popular: tuple[str, ...]) -> Column:
     """array<struct<scoped, name, both>>: names that are also a scoped dependency's, then well-known names a scoped one shadows."""
-    scoped = F.filter(deps, lambda d: d.rlike("^@[^/]*/") & ~d.startswith("@types/"))
-    plain = F.filter(deps, lambda d: ~d.startswith("@"))
-    last = lambda n: F.try_element_at(F.filter(scoped, lambda s: bare_name(s) == n), F.lit(-1))
-    row = lambda n, both: F.struct(last(n).alias("scoped"), n.alias("name"), F.lit(both).alias("both"))
-    together = F.transform(F.filter(plain, lambda n: last(n).isNotNull()), lambda n: row(n, True))
+    scoped = F.transform(F.filter(deps, lambda d: d.rlike("^@[^/]*/") & ~d.startswith("@types/")), lambda d: F.struct(d.alias("scoped"), bare_name(d).alias("name")))
+    facts = F.struct(scoped.alias("scoped"), F.transform(scoped, lambda s: s["name"]).alias("bases"), F.filter(deps, lambda d: ~d.startswith("@")).alias("plain"))
     names = F.array(*map(F.lit, popular))
-    alone = F.transform(F.filter(names, lambda n: last(n).isNotNull() & ~F.array_contains(plain, n)), lambda n: row(n, False))
-    return F.concat(together, alone)
+
+    def found(x: Column) -> Column:
+        last = lambda n: F.try_element_at(F.filter(x["scoped"], lambda s: s["name"] == n), F.lit(-1))["scoped"]
+        row = lambda n, both: F.struct(last(n).alias("scoped"), n.alias("name"), F.lit(both).alias("both"))
+        together = F.transform(F.filter(x["plain"], lambda n: F.array_contains(x["bases"], n)), lambda n: row(n, True))
+        alone = F.transform(F.array_except(F.array_intersect(names, x["bases"]), x["plain"]), lambda n: row(n, False))
+        return F.concat(together, alone)
+
+    return _bound(facts, found)
 
 
 def _confused(deps: Column, popular: tuple[str, ...]) -> Column:
@@ -173,11 +196,12 @@ def _confused(deps: Column, popular: tuple[str, ...]) -> Column:
     return F.transform(confusions(deps, popular), finding)
 
 
-def check(manifests: DataFrame, popular: tuple[str, ...] = P.POPULAR) -> DataFrame:
-    """path, rule_id, name, description, severity, detail, ordinal of every problem of manifests(path, content)."""
+def check(manifests: DataFrame, popular: tuple[str, ...] = P.POPULAR, kinds: tuple[str, ...] = ("install", "bin", "typosquat", "confusion")) -> DataFrame:
+    """path, rule_id, name, description, severity, detail, ordinal of every problem of manifests(path, content), of the kinds asked for."""
     rows = parsed(manifests).where("json IS NOT NULL").withColumn("deps", dependency_names(F.col("json")))
     json, none = F.col("json"), F.array().cast(f"array<{_FOUND}>")
-    found = F.concat(*[F.coalesce(x.cast(f"array<{_FOUND}>"), none) for x in (_install(json), _bins(json), _typosquats(F.col("deps"), popular), _confused(F.col("deps"), popular))])
+    made = {"install": lambda: _install(json), "bin": lambda: _bins(json), "typosquat": lambda: _typosquats(F.col("deps"), popular), "confusion": lambda: _confused(F.col("deps"), popular)}
+    found = F.concat(*[F.coalesce(f().cast(f"array<{_FOUND}>"), none) for k, f in made.items() if k in kinds])
     return rows.select("path", F.posexplode(found).alias("ordinal", "f")).select("path", "f.*", "ordinal")
 
 

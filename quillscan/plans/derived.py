@@ -10,7 +10,7 @@ from quillscan.functions import packages as P
 from quillscan.functions.catalog import builtin_rules
 from quillscan.plans import samples
 from quillscan.sources.files import MAX_BYTES, packed
-from quillscan.sources.tables import read_table, scratch
+from quillscan.sources.tables import dealt_table, read_table, scratch
 
 
 def quoted(s: str) -> str:
@@ -37,7 +37,7 @@ WORDS_SQL = "words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """w: the distinct words of all documents' whole texts, dealt over all cores, as few bytes of them make much work."""
-    found = read_table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w"))
+    found = dealt_table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w"))
     return found.distinct().repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
@@ -139,7 +139,7 @@ _SAMPLES = [samples.RULES[r.id] for r in builtin_rules() if r.kind == "regex" an
 
 def with_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: every document, whole, with the sample of one built-in rule after it."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = dealt_table(spark, sf_dir, "documents")
     return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), F.concat(_text(), F.lit("\n"), _pick(_SAMPLES, F.col("doc_id") % len(_SAMPLES)), F.lit("\n")).alias("content"))
 
 
@@ -148,7 +148,7 @@ SAMPLES_SQL = f"src AS (SELECT doc_id || '.js' AS path, coalesce(text, '') || ch
 
 def commented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, own (the sample's rule), content: every document as a comment before one of the syntax samples."""
-    docs, at = read_table(spark, sf_dir, "documents"), F.col("doc_id") % len(samples.SYNTAX)
+    docs, at = dealt_table(spark, sf_dir, "documents"), F.col("doc_id") % len(samples.SYNTAX)
     comment = F.concat(F.lit("/* "), F.replace(_text(), F.lit("*/"), F.lit("")), F.lit(" */ "))
     return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), _pick([s[0] for s in samples.SYNTAX], at).alias("own"), F.concat(comment, _pick([s[3] for s in samples.SYNTAX], at)).alias("content"))
 
@@ -164,7 +164,7 @@ def exempted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: every document with an exempting comment at the end of each third line, of either kind by turns."""
     lines = F.split(_text(), "\n")
     mark = lambda line, k: F.when((k + F.col("doc_id")) % 6 == 0, F.concat(line, F.lit(" // scan-ignore-next-line"))).when((k + F.col("doc_id")) % 6 == 3, F.concat(line, F.lit(" // scan-ignore-line"))).otherwise(line)
-    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.array_join(F.transform(lines, mark), "\n").alias("content"))
+    return dealt_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.array_join(F.transform(lines, mark), "\n").alias("content"))
 
 
 EXEMPTED_SQL = """lines AS (SELECT doc_id::VARCHAR AS path, k, l, (k - 1 + doc_id) % 6 AS m FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents)),
@@ -174,7 +174,7 @@ EXEMPTED_SQL = """lines AS (SELECT doc_id::VARCHAR AS path, k, l, (k - 1 + doc_i
 def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: every line of every document as a string literal of a script."""
     line = lambda x: F.concat(F.lit('v = "'), F.regexp_replace(x, "[\"'`\\\\]", ""), F.lit('";'))
-    return read_table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), F.array_join(F.transform(F.split(_text(), "\n"), line), "\n").alias("content"))
+    return dealt_table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), F.array_join(F.transform(F.split(_text(), "\n"), line), "\n").alias("content"))
 
 
 def literals_sql(least: float, n_bytes: int) -> str:
@@ -214,7 +214,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(', "devDependencies": {"@'), F.col("source"), F.lit("/"), F.col("n3"), F.lit('": "*", "'), F.when(d % 2 == 0, F.col("n3")).otherwise(F.concat(F.lit("own-"), d.cast("string"))), F.lit('": "1"}'),
         F.lit(', "bundledDependencies": ["'), F.col("n4"), F.lit('x", "'), F.col("lang"), F.lit('-tool"]}'),
     )
-    rows = read_table(spark, sf_dir, "documents").withColumns({f"n{k}": name(k) for k in (1, 2, 3, 4)})
+    rows = dealt_table(spark, sf_dir, "documents").withColumns({f"n{k}": name(k) for k in (1, 2, 3, 4)})
     rows = rows.withColumns({"k1": (d % F.length("n1")).cast("int"), "k2": (1 + d % (F.length("n2") - 1)).cast("int")})
     content = F.when(d % 11 == 5, F.col("text")).when(d % 13 == 7, F.lit("[1]")).otherwise(text)
     return rows.select(F.concat(d.cast("string"), F.lit("/package.json")).alias("path"), content.alias("content"))
@@ -245,7 +245,7 @@ POLLS_SQL = """polls AS (SELECT 'u' || user_id AS name, date_diff('day', DATE '2
 
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name, json, tarball, content: a package for each document, as the registry lists it and as its archive."""
-    docs, d = read_table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    docs, d = dealt_table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
     version, name = F.concat(F.lit("1."), d, F.lit(".0")), F.concat(F.lit("doc"), d)
     url = F.concat(F.lit("https://registry.example/"), name, F.lit(".tgz"))
     json = F.to_json(F.struct(F.create_map(F.lit("latest"), version).alias("dist-tags"), F.create_map(version, F.struct(F.struct(url.alias("tarball")).alias("dist"))).alias("versions")))
