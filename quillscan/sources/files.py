@@ -194,8 +194,8 @@ def packed(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for members in b["members"]:
+            out, size, first = [], 0, 0
+            for k, members in enumerate(b["members"], 1):
                 blob = io.BytesIO()
                 with tarfile.open(fileobj=blob, mode="w:gz", compresslevel=1) as tar:
                     for m in members:
@@ -204,7 +204,10 @@ def packed(rows: DataFrame) -> DataFrame:
                         info.size = len(body)
                         tar.addfile(info, io.BytesIO(body))
                 out.append(blob.getvalue())
-            yield b[kept].assign(content=out)
+                size += len(out[-1])
+                if size > 1 << 20 or k == len(b):  # archives leave the task in slices
+                    yield b[kept].iloc[first:k].assign(content=out)
+                    out, size, first = [], 0, k
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "members")
     return rows.mapInPandas(run, f"{shape}, content binary")
