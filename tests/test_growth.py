@@ -102,3 +102,12 @@ def test_state_of_many_scans_costs_little_for_each():
     assert time.process_time() - began < 5 and len(out) == 20_000  # a frame for each scan took 3 ms
     assert [tuple(r)[1:] for r in out[:3]] == [(0, None, None, False, False), (1, "k1", "p", True, False), (2, "k2", "p", True, False)]
     assert dict(state_) == {"k1": (19_999,)}
+
+
+@pytest.mark.parametrize("taken", [lambda s: scan.one_pass(s), lambda s: scan.scan(s, [Rule("T-001", "t", "t", "low", "regex", "ab")], deobfuscate=False)])
+def test_texts_are_not_made_before_repeated_rows_go(spark, taken):
+    made = F.when(F.length("w") > 0, F.concat(F.lit("made of "), "w"))
+    rows = spark.range(100).select((F.col("id") % 3).cast("string").alias("w")).distinct().repartition(4).select(F.col("w").alias("path"), F.lit("pretty").alias("pass"), made.alias("content"))
+    out = taken(rows.unionByName(spark.createDataFrame([("a.js", "pretty", None), ("b.js", "pretty", "ab;")], "path string, pass string, content string")))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("made of ") == 1
+    assert "b.js" in {r[0] for r in out.select(out["path" if "path" in out.columns else "file"]).collect()} and out.where("content IS NULL" if "content" in out.columns else "file = 'a.js'").count() == 0
