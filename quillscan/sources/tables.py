@@ -26,12 +26,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(2 * cores)
 
 
+def dealt_tasks(spark: SparkSession, sf_dir: str, name: str, task_bytes: int) -> int:
+    """Tasks of about so many stored bytes of the named table, and two for each core at least."""
+    size = int(str(spark.read.parquet(f"{sf_dir}/{name}.parquet")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * spark.sparkContext.defaultParallelism, -(-size // task_bytes))
+
+
 def dealt_table(spark: SparkSession, sf_dir: str, name: str, task_bytes: int = 8 << 20) -> DataFrame:
     """The named table for work that costs far more than its reading: in even tasks of about so many stored bytes each, whatever its files and
     row groups, of which a large file may have few. Only the columns used are shuffled."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-size // task_bytes)))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(dealt_tasks(spark, sf_dir, name, task_bytes))
 
 
 def scratch(spark: SparkSession) -> str:

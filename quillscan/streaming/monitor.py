@@ -117,8 +117,9 @@ def scanned(subjects: DataFrame, found: DataFrame, number: int) -> DataFrame:
     return every.select("subject", F.lit(number).cast("long").alias("scan"), "key", "payload")
 
 
-def reports(fresh: DataFrame, verbose: bool = False) -> DataFrame:
-    """subject, scan, fresh, line, outcome (JSON) of each scan in state.fresh_findings' rows that has something new; with `verbose`, of every scan."""
+def reports(fresh: DataFrame, verbose: bool = False, tasks: int | None = None) -> DataFrame:
+    """subject, scan, fresh, line, outcome (JSON) of each scan in state.fresh_findings' rows that has something new; with `verbose`, of every scan.
+    They are rendered in so many tasks, if given: a Python worker is handed up to 10,000 of a task's scans at once."""
     each = Window.partitionBy("subject", "scan")
     kept = fresh if verbose else fresh.withColumn("any", F.max("fresh").over(each)).where("any").drop("any")
     one = kept.withColumn("id", F.concat_ws("\u0001", F.col("scan").cast("string"), "subject"))
@@ -144,7 +145,8 @@ def reports(fresh: DataFrame, verbose: bool = False) -> DataFrame:
                 outcomes.append(json.dumps(vars(o)))
             yield b[["subject", "scan", "fresh"]].assign(line=lines, outcome=outcomes)
 
-    rows = rows.select("subject", "scan", F.coalesce("fresh", F.lit(False)).alias("fresh"), F.to_json(facts).alias("facts"))
+    rows = rows.select("subject", "scan", F.coalesce("fresh", F.lit(False)).alias("fresh"), facts.alias("facts"))
+    rows = (rows.repartition(tasks) if tasks else rows).withColumn("facts", F.to_json("facts"))
     return rows.mapInPandas(told, "subject string, scan long, fresh boolean, line string, outcome string")
 
 
