@@ -100,11 +100,13 @@ def compiled(pattern: str) -> re.Pattern | None:
 @dataclass(frozen=True)
 class Needs:
     """What a text must have for a pattern to match: one of the literals (empty: unknown), compared case-folded where the
-    pattern ignores case, or a character that isn't ASCII."""
+    pattern ignores case; one of some characters that aren't ASCII; and each of some marks."""
 
     literals: tuple[str, ...] = ()
     folded: bool = False
     wide: bool = False
+    beyond: re.Pattern | None = None  # the characters, where wide
+    marks: tuple[str, ...] = ()
 
 
 def needed(pattern: str) -> Needs:
@@ -116,9 +118,12 @@ def needed(pattern: str) -> Needs:
         best: tuple[str, ...] = ()
         run = ""
 
+        def worth(found: tuple[str, ...]) -> tuple[int, bool]:  # of two as short, the one with marks is rarer in prose
+            return min(map(len, found)), not any(map(str.isalpha, found))
+
         def better(found: tuple[str, ...]) -> None:
             nonlocal best
-            if found and min(map(len, found)) >= 2 and (not best or min(map(len, found)) > min(map(len, best))):
+            if found and min(map(len, found)) >= 2 and (not best or worth(found) > worth(best)):
                 best = found
 
         for op, arg in seq:
@@ -138,23 +143,42 @@ def needed(pattern: str) -> Needs:
         better((run,))
         return best
 
-    def wide(seq) -> bool:
+    def wide(seq) -> list[tuple[int, int]]:
+        """Ranges of characters beyond ASCII; every match has one of them. Empty: unknown."""
         for op, arg in seq:
+            found: list[tuple[int, int]] = []
             if op is c.LITERAL and arg > 127:
-                return True
-            if op is c.IN and all((o is c.LITERAL and v > 127) or (o is c.RANGE and v[0] > 127) for o, v in arg):
-                return True
-            if op is c.SUBPATTERN and wide(arg[3]) or op is c.BRANCH and all(map(wide, arg[1])):
-                return True
-        return False
+                found = [(arg, arg)]
+            elif op is c.IN and all((o is c.LITERAL and v > 127) or (o is c.RANGE and v[0] > 127) for o, v in arg):
+                found = [(v, v) if o is c.LITERAL else v for o, v in arg]
+            elif op is c.SUBPATTERN:
+                found = wide(arg[3])
+            elif op is c.BRANCH and all(parts := [wide(x) for x in arg[1]]):
+                found = [r for p in parts for r in p]
+            if found:
+                return found
+        return []
+
+    def marks(seq) -> set[str]:
+        """Characters other than letters and digits that every match has."""
+        found: set[str] = set()
+        for op, arg in seq:
+            if op is c.LITERAL and arg < 128 and not chr(arg).isalnum():
+                found.add(chr(arg))
+            elif op is c.SUBPATTERN:
+                found |= marks(arg[3])
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT) and arg[0] > 0:
+                found |= marks(arg[2])
+        return found
 
     try:
         tree = _parser.parse(to_python(pattern))
     except re.error:
         return Needs()
     folded = bool(tree.state.flags & re.I)
-    found = literals(tree)
-    return Needs(tuple(x.casefold() for x in found) if folded else found, folded, wide(tree) and not folded)
+    found, ranges = literals(tree), [] if folded else wide(tree)
+    beyond = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]") if ranges else None
+    return Needs(tuple(x.casefold() for x in found) if folded else found, folded, beyond is not None, beyond, tuple(sorted(marks(tree))))
 
 
 def explosive(pattern: str) -> bool:

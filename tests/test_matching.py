@@ -1,6 +1,9 @@
 import math
+from string import ascii_letters, digits
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quillscan.functions import js, matching
 from quillscan.functions.catalog import Rule, builtin_rules, explosive, load_rules, parse_rules, to_java, to_python
@@ -135,3 +138,24 @@ def test_patterns_that_may_never_end_are_refused(tmp_path, pattern):
 def test_ordinary_patterns_are_kept():
     assert not [r.id for r in builtin_rules() if r.kind == "regex" and (explosive(r.pattern) or r.near and explosive(r.near))]
     assert not any(map(explosive, [r"(?:,\s*\w+\s*)+", "(ab+)*", "[a-z]+(?:-[a-z]+)*", "(?:a{1,3}){2}", "("]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["'", '"', "/", "//", "/*", "*/", "#!", "\\", "\n", " ", "return", "a", "1e+", "$", ")", "]", "}", "<", ">", "=", "[", ".", "é", "'x y'", "/[/']/g", "\\u{41}"]), max_size=14).map("".join))
+def test_strings_are_those_of_the_tokenizer(text):
+    assert js.strings(text) == [(n.start, n.end) for n in js.nodes(text) if n.kind == "string"]
+
+
+def test_pages_and_prose_are_not_taken_apart(monkeypatch):
+    """Long attributes are judged by their strings alone, and prose with a word of process.env isn't code."""
+    page = '<p class="' + ascii_letters + digits + '">the environment\'s text</p>\n<br />'
+    want = hits(page * 20, ALL)
+    monkeypatch.setattr(js, "nodes", lambda text: pytest.fail("tokenized"))
+    assert hits(page * 20, ALL) == want and [ALL[h.rule].rule.id for h in want] == ["OBF-006"] * 20
+
+
+def test_patterns_wait_for_their_marks_and_characters():
+    near = {r.rule.id: r.needs for r in ALL}
+    assert not Text("a call (of) words, (and) such").may_match(near["OBF-010"]) and Text("a[b](c)(").may_match(near["OBF-010"])
+    assert not Text("été naïve – “quoted”").may_match(near["GD-005"]) and Text("pаypal").may_match(near["GD-005"])
+    assert not Text("she ran: her nc machine").may_match(near["SC-023"])

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillscan.functions.pretty import pretty
-from quillscan.functions.rewrite import block_end, rewrite, run_pass, unbase64
+from quillscan.functions.rewrite import PASSES, block_end, rewrite, run_pass, unbase64
 from quillscan.plans.samples import REWRITES
 
 
@@ -44,3 +44,20 @@ def test_hard_texts_stay_fast():
 def test_layout():
     assert pretty('function f(){a();for(i=0;i<2;i++){b("x;y")}}else1') == 'function f(){\n  a();\n  for(i=0;i<2;i++){\n    b("x;y")\n  }\n}\nelse1'
     assert pretty("if(a){b}else{c}") == "if(a){\n  b\n} else{\n  c\n}"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*(c[1] for c in REWRITES if c[0] != "pretty"), " ", "+", '"', "'", "a", "?", "b:c", "||", "\\x41", "\\u0041", "(", ")", "!0", "`"]), max_size=6).map("".join))
+def test_steps_left_out_would_change_nothing(text):
+    for name, steps in PASSES:
+        whole, total = text, 0
+        for step in steps:
+            whole, n = step.apply(whole)
+            total += n
+        assert run_pass(name, text) == (whole, total)
+
+
+def test_prose_is_left_to_few_steps():
+    prose = "It's true that \"one\" was if not void of (some) sense, 1 + 1 = 2; she said 'no'.\n" * 5
+    assert sum(step.may_apply(prose) for _, steps in PASSES for step in steps) <= 12
+    assert rewrite(prose) == (prose, [])
