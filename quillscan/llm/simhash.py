@@ -60,17 +60,36 @@ class Tree:
     """A BK-tree of distinct 64-bit numbers."""
 
     def __init__(self, members: list[int]):
-        self.members = members
+        self.members: list[int] = []
         self.children: list[dict[int, int]] = []
-        for k, x in enumerate(members):
-            self.children.append({})
-            at = 0
-            while k:
-                d = (members[at] ^ x).bit_count()
-                nxt = self.children[at].setdefault(d, k)
-                if nxt == k:
-                    break
-                at = nxt
+        for x in members:
+            self.add(x)
+
+    def add(self, x: int) -> None:
+        k, at = len(self.members), 0
+        self.members.append(x)
+        self.children.append({})
+        while k:
+            nxt = self.children[at].setdefault((self.members[at] ^ x).bit_count(), k)
+            if nxt == k:
+                break
+            at = nxt
+
+    def nearest(self, x: int, radius: int) -> int | None:
+        """The position of a member nearest to x, where one is within the radius; what is found narrows the search."""
+        best, stack = None, [(0, 0)] if self.members else []
+        while stack:
+            apart, at = stack.pop()
+            if apart > radius:
+                continue
+            d = (self.members[at] ^ x).bit_count()
+            if d <= radius:
+                if not d:
+                    return at
+                best, radius = at, d - 1
+            # A child at distance e is at least |d - e| from x, as is all below it; the nearest are looked at first.
+            stack += sorted(((abs(d - e), k) for e, k in self.children[at].items() if abs(d - e) <= radius), reverse=True)
+        return best
 
     def near(self, x: int, radius: int) -> Iterator[int]:
         """Positions of the members within the radius of x."""

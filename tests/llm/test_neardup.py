@@ -109,3 +109,43 @@ def test_a_shard_of_unlinked_pages_of_one_template_is_searched_quickly():
     began = time.time()
     assert neardup._Piece(frame, 0.8).own_links() == [(7, 2000)]
     assert time.time() - began < 15
+
+
+def test_a_tree_finds_the_nearest():
+    rng = np.random.default_rng(2)
+    near = [int(x) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), replace=False)) for x in rng.integers(0, 2**63, 12) for _ in range(25)]
+    tree, seen = simhash.Tree([]), []
+    for x in dict.fromkeys(near):
+        for radius in (0, 3, 26, 64):
+            want = min(((x ^ y).bit_count() for y in seen), default=65)
+            found = tree.nearest(x, radius)
+            assert (found is None) == (want > radius) and (found is None or (seen[found] ^ x).bit_count() == want)
+        tree.add(x)
+        seen.append(x)
+
+
+def test_links_come_from_the_trees(spark, monkeypatch):
+    """Without what the trees find no two texts are linked; without the shards' second look loosely alike ones stay apart."""
+    texts = loose_group() + corpus()[:60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = slow_groups(texts)
+    assert as_groups(neardup.near_groups(docs).collect()) == want
+    empty = lambda *a: spark.createDataFrame([], "a long, b long")
+    with monkeypatch.context() as m:
+        m.setattr(neardup, "_tree_links", empty)
+        first = as_groups(neardup.near_groups(docs).collect())
+        assert len(set(want)) < len(set(first)) < len(set(texts))
+        m.setattr(neardup, "_nearest", empty)
+        assert len(set(as_groups(neardup.near_groups(docs).collect()))) == len(set(texts))
+    monkeypatch.setattr(simhash.Tree, "nearest", lambda *a: None)
+    monkeypatch.setattr(simhash.Tree, "near", lambda *a: iter(()))
+    frame = pd.DataFrame({"band": [0] * 3, "value": [0] * 3, "at": [0] * 3, "key": [1, 2, 3], "fp": [7, 7, 6]})
+
+    class Held:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            return run
+
+    assert sum(map(len, neardup._nearest(Held())(iter([frame])))) == 0
