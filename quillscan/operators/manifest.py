@@ -1,28 +1,55 @@
-"""Checks of package manifests, as expressions over each manifest's own row: nothing shuffles, nothing is collected."""
+"""Checks of package manifests, as expressions over each manifest's own row, once its text is read: nothing shuffles, nothing is collected."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillscan.functions import jsontext
 from quillscan.functions import packages as P
 from quillscan.functions.catalog import SEVERITIES
 
 _FOUND = "struct<rule_id:string,name:string,description:string,severity:string,detail:string>"
+INVALID, NO_OBJECT = "invalid JSON", "not an object"
+
+
+#: What the checks read of a manifest.
+_READ = frozenset(("scripts", "bin", *P.SECTIONS, *P.MONITOR_SECTIONS))
+
+
+def _outlines(content: pd.Series) -> pd.Series:
+    def of(b: bytes | None) -> str | None:
+        try:
+            return None if b is None else jsontext.outline(b.decode(), _READ)
+        except UnicodeDecodeError:
+            return None
+
+    return content.map(of)
+
+
+def _outlined(manifests: DataFrame) -> DataFrame:
+    """manifests(path, content) with `outline`: the members that the checks read, "[]" where the text isn't an object, null where it is no JSON."""
+    # Not deterministic by name only, so that a condition on its result doesn't run it once more.
+    outline = F.pandas_udf(_outlines, "string").asNondeterministic()
+    return manifests.withColumn("outline", outline(F.col("content").cast("binary")))
 
 
 def parsed(manifests: DataFrame) -> DataFrame:
-    """manifests(path, content) with `json`, a variant; null where the text is no JSON object."""
-    v = F.try_parse_json(F.col("content"))
-    return manifests.withColumn("json", F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
+    """manifests(path, content) with `json`, a variant of the members that the checks read; null where the text is no JSON object."""
+    return _outlined(manifests).withColumn("json", F.when(F.col("outline").startswith("{"), F.try_parse_json("outline"))).drop("outline")
+
+
+def judged(manifests: DataFrame) -> DataFrame:
+    """path and error of manifests(path, content): why a manifest can't be checked, null where it can."""
+    return _outlined(manifests).select("path", F.when(F.col("outline").isNull(), INVALID).when(~F.col("outline").startswith("{"), NO_OBJECT).alias("error"))
 
 
 def invalid(manifests: DataFrame) -> DataFrame:
     """The manifests that can't be checked, with the reason."""
-    v = F.try_parse_json(F.col("content"))
-    return manifests.withColumn("error", F.when(v.isNull(), "invalid JSON").when(~F.schema_of_variant(v).startswith("OBJECT"), "not an object")).where("error IS NOT NULL").select("path", "error")
+    return judged(manifests).where("error IS NOT NULL")
 
 
 def _kind(v: Column) -> Column:

@@ -10,7 +10,7 @@ from quillscan.functions import packages as P
 from quillscan.functions.catalog import builtin_rules
 from quillscan.plans import samples
 from quillscan.sources.files import MAX_BYTES, packed
-from quillscan.sources.tables import dealt_table, read_table, scratch
+from quillscan.sources.tables import dealt_table, dealt_tasks, read_table, scratch
 
 
 def quoted(s: str) -> str:
@@ -214,7 +214,9 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(', "devDependencies": {"@'), F.col("source"), F.lit("/"), F.col("n3"), F.lit('": "*", "'), F.when(d % 2 == 0, F.col("n3")).otherwise(F.concat(F.lit("own-"), d.cast("string"))), F.lit('": "1"}'),
         F.lit(', "bundledDependencies": ["'), F.col("n4"), F.lit('x", "'), F.col("lang"), F.lit('-tool"]}'),
     )
-    rows = dealt_table(spark, sf_dir, "documents").withColumns({f"n{k}": name(k) for k in (1, 2, 3, 4)})
+    # The texts that don't become a manifest stay out of the shuffle.
+    needed = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", F.when(d % 11 == 5, F.col("text")).alias("text"))
+    rows = needed.repartition(dealt_tasks(spark, sf_dir, "documents", 8 << 20)).withColumns({f"n{k}": name(k) for k in (1, 2, 3, 4)})
     rows = rows.withColumns({"k1": (d % F.length("n1")).cast("int"), "k2": (1 + d % (F.length("n2") - 1)).cast("int")})
     content = F.when(d % 11 == 5, F.col("text")).when(d % 13 == 7, F.lit("[1]")).otherwise(text)
     return rows.select(F.concat(d.cast("string"), F.lit("/package.json")).alias("path"), content.alias("content"))
